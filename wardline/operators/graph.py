@@ -6,6 +6,8 @@ result is written to the shared folder before the next one starts.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,78 +74,84 @@ def affected_versions(edges: DataFrame, matches: DataFrame, vulnerable: DataFram
     return reach(seed, step, stages)
 
 
-def cycle_groups(edges: DataFrame) -> DataFrame:
+SMALL_CORE = 2_000
+
+
+def cycle_groups(edges: DataFrame, small_core: int = SMALL_CORE) -> DataFrame:
     """``node, cycle``: nodes that can reach themselves, grouped by mutual reach.
 
     A group is named after its smallest member. Nodes off every cycle are peeled
-    away first; what is left is split by colouring: each node takes the largest
+    away first. What is left is split by colouring: each node takes the largest
     label that reaches it, and walking back from a label's own node inside its
     colour gives exactly one group. Work per round is linear in the edges left,
-    where a closure would be quadratic.
+    where a closure would be quadratic; only a core measured at no more than
+    ``small_core`` edges is closed directly, which takes fewer rounds.
     """
     stages = Stages(edges.sparkSession, "cycles")
     links = stages.write(edges.select("src", "dst").distinct())
     loops = links.where(F.col("src") == F.col("dst")).select(F.col("src").alias("node"))
-    core = stages.write(links.where(F.col("src") != F.col("dst")))
-    groups = None
-    while True:
-        core = _peel(core, stages)
-        if core.isEmpty():
+    core, size = stages.measured(links.where(F.col("src") != F.col("dst")), F.count(F.lit(1)))
+    found = []
+    while size:
+        core, size = _peel(core, size, stages)
+        if size == 0:
+            break
+        if size <= small_core:
+            found.append(_mutual(core))
             break
         colours = _colour(core, stages)
-        found = _walk_back(core, colours)
-        groups = found if groups is None else groups.unionByName(found)
-        gone = found.select(F.col("node").alias("gone"))
-        core = stages.write(
-            core.join(gone, core["src"] == gone["gone"], "left_anti").join(
-                gone, core["dst"] == gone["gone"], "left_anti"
-            )
-        )
-    single = loops.select("node", F.col("node").alias("cycle"))
-    if groups is None:
-        return single
-    names = groups.groupBy("colour").agg(F.min("node").alias("cycle"), F.count(F.lit(1)).alias("size"))
-    named = groups.join(names.where("size > 1"), "colour").select("node", "cycle")
-    return named.unionByName(single.join(named, "node", "left_anti"))
-
-
-def _peel(core: DataFrame, stages: Stages) -> DataFrame:
-    """Drop edges until every node left has an edge in and an edge out."""
-    size = core.count()
+        group = stages.write(_walk_back(core, colours))
+        found.append(group.groupBy("colour").agg(F.min("node").alias("cycle")).join(group, "colour").select("node", "cycle"))
+        # An edge between two groups is on no cycle; one inside a group is settled.
+        left = core.join(group.select(F.col("node").alias("src")), "src", "left_anti")
+        left = left.join(group.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
+        core, size = stages.measured(left, F.count(F.lit(1)))
+    groups = loops.select("node", F.col("node").alias("cycle"))
+    if found:
+        members = reduce(DataFrame.unionByName, found)
+        sizes = members.groupBy("cycle").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        named = members.join(sizes, "cycle").select("node", "cycle")
+        groups = named.unionByName(groups.join(named, "node", "left_anti"))
+    return groups
+
+
+def _mutual(core: DataFrame) -> DataFrame:
+    """Groups by closure, for a core of bounded size."""
+    pairs = transitive(core)
+    back = pairs.select(F.col("node").alias("root"), F.col("root").alias("node"))
+    low = pairs.join(back, ["root", "node"]).groupBy(F.col("root").alias("node")).agg(F.min("node").alias("other"))
+    return low.select("node", F.least("node", "other").alias("cycle"))
+
+
+def _peel(core: DataFrame, size: int, stages: Stages) -> tuple[DataFrame, int]:
+    """Drop edges out of nodes nothing enters and into nodes nothing leaves, until none is left to drop."""
     while size:
-        inner = core.select(F.col("src").alias("node")).intersect(core.select(F.col("dst").alias("node")))
-        kept = core.join(inner, core["src"] == inner["node"], "left_semi").join(
-            inner, core["dst"] == inner["node"], "left_semi"
-        )
-        core = stages.write(kept)
-        left = core.count()
+        entered, left_from = core.select(F.col("dst").alias("src")), core.select(F.col("src").alias("dst"))
+        kept = core.join(entered, "src", "left_semi").join(left_from, "dst", "left_semi").select("src", "dst")
+        core, left = stages.measured(kept, F.count(F.lit(1)))
         if left == size:
             break
         size = left
-    return core
+    return core, size
 
 
 def _colour(core: DataFrame, stages: Stages) -> DataFrame:
     """Largest node that reaches each node, itself included."""
     nodes = core.select(F.col("src").alias("node")).distinct()
     labels = stages.write(nodes.select("node", F.col("node").alias("colour"), F.lit(True).alias("changed")))
-    while not labels.where("changed").isEmpty():
+    moving = 1
+    while moving:
         sent = (
             labels.where("changed")
             .join(core, F.col("node") == F.col("src"))
             .groupBy(F.col("dst").alias("node"))
             .agg(F.max("colour").alias("offer"))
         )
-        better = F.col("offer") > F.col("colour")
-        labels = stages.write(
-            labels.drop("changed")
-            .join(sent, "node", "left")
-            .select(
-                "node",
-                F.coalesce(F.greatest("colour", "offer"), F.col("colour")).alias("colour"),
-                F.coalesce(better, F.lit(False)).alias("changed"),
-            )
+        better = F.coalesce(F.col("offer") > F.col("colour"), F.lit(False))
+        moved = labels.join(sent, "node", "left").select(
+            "node", F.when(better, F.col("offer")).otherwise(F.col("colour")).alias("colour"), better.alias("changed")
         )
+        labels, moving = stages.measured(moved, F.count_if("changed"))
     return labels.drop("changed")
 
 
@@ -175,19 +183,15 @@ def lowest_trust(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     none = F.lit(None).cast("double")
     state = stages.write(start.select("*", F.lit(0).cast("long").alias("got"), none.alias("lowest")))
     own, low = F.col("intrinsic"), F.col("lowest")
-    settled = None
     while True:
         ready = state.where(F.col("got") == F.col("need"))
-        ready = stages.append(
-            ready.select("node", "intrinsic", (own * F.coalesce(low, F.lit(1.0).cast("double"))).alias("effective")),
-            "settled",
-        )
-        settled = ready
-        if ready.isEmpty():
+        score = own * F.coalesce(low, F.lit(1.0))
+        settled, count = stages.append(ready.select("node", "intrinsic", score.alias("effective")), "settled")
+        if count == 0:
             break
         waiting = state.where(F.col("got") < F.col("need"))
         news = (
-            links.join(ready.select(F.col("node").alias("dst"), "effective"), "dst")
+            links.join(settled.select(F.col("node").alias("dst"), "effective"), "dst")
             .groupBy(F.col("src").alias("node"))
             .agg(F.count(F.lit(1)).alias("more"), F.min("effective").alias("low"))
         )

@@ -2,8 +2,8 @@
 
 A loop step is written as a Parquet table in the shared folder and read back:
 that cuts the lineage, survives lost executors, gives the optimiser real sizes
-(so a small frontier is broadcast only when its measured size allows) and makes
-the stop test a footer count instead of a recomputation.
+(so a small frontier is broadcast only when its measured size allows). The stop
+test is observed while writing, so a round is one job.
 """
 
 from __future__ import annotations
@@ -11,7 +11,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from wardline.session import shared_folder
 
@@ -24,18 +25,23 @@ class Stages:
         self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
         self._next = 0
 
+    def _save(self, df: DataFrame, path: str, measure: Column) -> tuple[DataFrame, int]:
+        seen = Observation()
+        df.observe(seen, measure.alias("value")).write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), int(seen.get["value"] or 0)
+
     def write(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/t{self._next}"
+        return self.measured(df, F.count(F.lit(1)))[0]
+
+    def measured(self, df: DataFrame, measure: Column) -> tuple[DataFrame, int]:
+        """Write a table and return it with an aggregate taken on the way."""
         self._next += 1
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return self._save(df, f"{self.root}/t{self._next}", measure)
 
-    def append(self, df: DataFrame, table: str) -> DataFrame:
-        """Add one round's rows under a named table and read the rows of that round."""
-        path = f"{self.root}/{table}/round={self._next}"
+    def append(self, df: DataFrame, table: str) -> tuple[DataFrame, int]:
+        """Add one round's rows under a named table; returns those rows and their number."""
         self._next += 1
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return self._save(df, f"{self.root}/{table}/round={self._next}", F.count(F.lit(1)))
 
     def table(self, name: str, like: DataFrame) -> DataFrame:
         """All rounds appended so far, as one scan."""
@@ -62,11 +68,11 @@ def reach(
     rows for ever, and passing it is an error.
     """
     keys = seed.columns
-    frontier = stages.append(seed.distinct(), "seen")
+    frontier, found = stages.append(seed.distinct(), "seen")
     for _ in range(max_rounds):
-        if frontier.isEmpty():
+        if found == 0:
             return stages.table("seen", seed)
         seen = stages.table("seen", seed)
         fresh = step(frontier).select(*keys).distinct().join(seen, keys, "left_anti")
-        frontier = stages.append(fresh, "seen")
+        frontier, found = stages.append(fresh, "seen")
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")

@@ -76,9 +76,10 @@ FROM part
 """
 
 CHAIN_SIGNALS = """
-SELECT l_orderkey AS chain, l_linenumber AS position, CAST(1 AS DOUBLE) - l_tax AS provenance,
-  CAST(1 AS DOUBLE) - l_discount AS behavioral, l_quantity/CAST(50 AS DOUBLE) AS community, CAST(1 AS DOUBLE) AS historical
-FROM lineitem
+SELECT user_id AS chain, event_id AS position, CAST(1 AS DOUBLE) - CAST(event_id%13 AS DOUBLE)/CAST(100 AS DOUBLE) AS provenance,
+  CASE event_type WHEN 'click' THEN CAST(0.9 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS behavioral,
+  CAST(1 AS DOUBLE) AS community, CAST(1 AS DOUBLE) AS historical
+FROM events
 """
 
 DEP_EDGES = """

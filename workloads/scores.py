@@ -59,7 +59,7 @@ def trust_level(spark, sf_dir):
 def trust_chain(spark, sf_dir):
     rows = trust.score(fx.derive(spark, sf_dir, fx.CHAIN_SIGNALS)).select("chain", "position", "intrinsic")
     # Small blocks, so that chains of this data set span several of them.
-    found = trust.chain(rows, "chain", "position", block_rows=4)
+    found = trust.chain(rows, "chain", "position", block_rows=1000)
     return found.select("chain", "position", F.round("effective", 6).alias("effective"))
 
 
