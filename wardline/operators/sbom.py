@@ -33,6 +33,20 @@ def components(results: DataFrame, scores: DataFrame | None = None) -> DataFrame
     return rows.join(scores.select("seq", "trust_score", "trust_level"), "seq", "left")
 
 
+def two_decimals(score: Column) -> Column:
+    """``%.2f`` of a score in [0, 1], rounded by its exact binary value.
+
+    The JVM formatter rounds the shortest decimal form instead (0.485 becomes
+    0.49). Splitting the score into two short halves keeps every product exact.
+    """
+    high = score.cast("float").cast("double")
+    low = score - high
+    cents = F.floor(score * 100)
+    over = (high * 200 - (cents * 2 + 1)) + low * 200
+    rounded = cents + F.when(over > 0, 1).when(over == 0, cents % 2).otherwise(0)
+    return F.format_string("%d.%02d", F.floor(rounded / 100), rounded % 100)
+
+
 def properties(prefix: str = PROPERTY_PREFIX) -> Column:
     """Property list of a component row; entries without a value are left out."""
 
@@ -47,7 +61,7 @@ def properties(prefix: str = PROPERTY_PREFIX) -> Column:
             entry("is-safe", F.col("is_safe").cast("string"), always),
             entry("findings-count", F.col("findings_count").cast("string"), always),
             entry("capabilities", F.array_join("capabilities", ","), F.size("capabilities") > 0),
-            entry("trust-score", F.format_string("%.2f", "trust_score"), F.col("trust_score").isNotNull()),
+            entry("trust-score", two_decimals(F.col("trust_score")), F.col("trust_score").isNotNull()),
             entry("trust-level", F.col("trust_level"), F.col("trust_level").isNotNull()),
             entry("source-path", F.col("source_path"), F.col("source_path") != ""),
         )
