@@ -47,7 +47,7 @@ def evidence(paths: DataFrame) -> DataFrame:
         listed = F.when(F.col("path").isin(*p.config_paths) & (F.col("kind") == "file"), "config") if p.config_paths else None
         skills = F.when(F.col("path").isin(*p.skill_paths) & (F.col("kind") == "dir"), "skills") if p.skill_paths else None
         inside = F.when(top == p.dot_dir, role)
-        found = F.coalesce(*[c for c in (inside, listed, skills) if c is not None])
+        found = F.coalesce(*[c for c in (listed, skills, inside) if c is not None])
         fits = found.isNotNull() if p.platform == "all" else found.isNotNull() & (F.col("platform") == p.platform)
         hits.append(F.when(fits, _evidence(p.name, p.short_name, p.platform, found, top == p.dot_dir)))
     known_dirs = sorted({p.dot_dir for p in C.TOOL_PROFILES})

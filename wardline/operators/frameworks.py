@@ -72,6 +72,14 @@ def _zipped(format: str, kind: str, names: Column, texts: Column) -> Column:
     return F.transform(names, entry)
 
 
+def _named(format: str, kind: str, prefix: str, names: Column) -> Column:
+    return F.transform(names, lambda n: _definition(format, kind, F.concat(F.lit(prefix), n) if prefix else n))
+
+
+def _labelled(format: str, label: str, matches: Column) -> Column:
+    return F.transform(matches, lambda _: _definition(format, label, F.lit(label)))
+
+
 def definitions_column(content: Column, present: Column) -> Column:
     """Array of definitions for the formats in ``present``; others are not searched for."""
     none = F.array().cast(_DEFINITION)
@@ -81,12 +89,10 @@ def definitions_column(content: Column, present: Column) -> Column:
         if format == "mastra":
             found = _zipped(format, kind, names, _mastra_text(content, kind))
         else:
-            found = F.transform(
-                names, lambda n, f=format, k=kind, p=prefix: _definition(f, k, F.concat(F.lit(p), n) if p else n)
-            )
+            found = _named(format, kind, prefix, names)
         parts.append(F.when(F.array_contains(present, format), found.cast(_DEFINITION)).otherwise(none))
     for format, label, pattern in C.LABELLED_PATTERNS:
-        found = F.transform(X.find_all(content, pattern), lambda _, f=format, k=label: _definition(f, k, F.lit(k)))
+        found = _labelled(format, label, X.find_all(content, pattern))
         parts.append(F.when(F.array_contains(present, format), found.cast(_DEFINITION)).otherwise(none))
     for kind, names in (("toolkit", tuple(C.CAMEL_TOOLKITS)), ("agent", C.CAMEL_AGENTS)):
         hits = [

@@ -31,6 +31,13 @@ def servers(configs: DataFrame) -> DataFrame:
     return rows.where(F.col("name").isNotNull() & F.col("server").startswith("{"))
 
 
+def server_packages(configs: DataFrame) -> DataFrame:
+    """``seq, name, package``: npm packages among the arguments of each declared server."""
+    args = F.from_json("server", _SERVER)["args"]
+    rows = servers(configs).select("seq", "name", F.explode_outer(X.npm_packages(args)).alias("package"))
+    return rows.where(F.col("package").isNotNull())
+
+
 def skills_from_configs(configs: DataFrame) -> DataFrame:
     """Skill rows of ``seq, path, content`` configuration files.
 

@@ -54,7 +54,7 @@ def skills_from_markdown(files: DataFrame) -> DataFrame:
     return as_skills(rows)
 
 
-def read_skill_folder(spark: SparkSession, path: str) -> DataFrame:
+def read_skill_folder(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
     """Skill rows of every Markdown file below a folder."""
-    files = read_text_files(spark, path, "*.md")
+    files = read_text_files(spark, path, glob)
     return skills_from_markdown(files.select(F.xxhash64("path").alias("seq"), "path", "content"))

@@ -88,7 +88,7 @@ def skills_from_workflows(files: DataFrame) -> DataFrame:
         per_node(
             lambda n: F.concat(
                 node_commands(n["parameters"]),
-                F.flatten(F.transform(node_code(n["parameters"]), X.shell_verb_lines)),
+                F.flatten(F.transform(node_code(n["parameters"]), lambda c: X.shell_verb_lines(c))),
             )
         ).alias("shell_commands"),
         F.col("content").alias("raw_content"),

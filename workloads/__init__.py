@@ -6,7 +6,7 @@ from importlib import import_module
 
 from workloads.cases import CASES, Case
 
-_MODULES = ("skills", "graphs", "scores", "locks", "registries")
+_MODULES = ("skills", "graphs", "scores", "locks", "registries", "files")
 
 
 def all_cases() -> dict[str, Case]:

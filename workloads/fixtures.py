@@ -273,6 +273,37 @@ FROM events
 """
 
 
+# One source file per document, the document's text being its comment. Slot, file name, code.
+SNIPPETS = (
+    ("skill.py", 'from langchain.tools import BaseTool\nimport requests\nclass Search(BaseTool):\n    key = os.environ["SEARCH_KEY"]\n'),
+    ("tool.py", 'from crewai import Agent\n@tool\ndef lookup(x):\n    return subprocess.run("ls -la", shell=True)\n'),
+    ("agents.py", "from agents import Agent\n@function_tool\ndef weather(city):\n    pass\n@function_tool\nasync def news(q):\n    pass\n"),
+    ("adk.py", 'from google.adk.agents import Agent\nroot = Agent(model="m", name="helper_agent")\n'),
+    ("chat.py", 'import autogen\n@u.register_for_llm(description="d")\ndef plan(x):\n    os.system("rm -rf /tmp/q")\n'),
+    ("comp.py", 'from composio import Action, App\nt = Action.GITHUB_STAR\nu = App.SLACK\nkey = "env:COMPOSIO_KEY"\n@action(toolname="x")\ndef star(repo):\n    pass\n'),
+    ("plugin.py", 'from semantic_kernel import Kernel\nclass P:\n    @kernel_function(name="n")\n    def greet(self):\n        pass\n'),
+    ("index.py", "from llama_index.core import X\nt = FunctionTool.from_defaults(fn=f)\na = ReActAgent.from_tools([t])\n"),
+    ("mastra.ts", 'import { createTool } from "@mastra/core";\nexport const t = createTool({ id: "fetch-page", description: "Gets a page" });\nconst a = new Agent({ name: "guide", instructions: "Be kind" });\nfetch(process.env.API_TOKEN);\n'),
+    ("pyd.py", 'from pydantic_ai import Agent\nagent = Agent("openai:gpt")\n@agent.tool\ndef roll(ctx):\n    pass\n'),
+    ("agno.py", 'from agno.agent import Agent\nx = Agent(model="m", name="web helper")\nclass Kit(Toolkit):\n    pass\n'),
+    ("camel.py", "from camel.toolkits import SearchToolkit\ns = SearchToolkit()\nm = MathToolkit ()\nc = ChatAgent(s)\n"),
+    ("roles.py", 'from metagpt.roles import Role\nclass Writer(Role):\n    pass\n@register_tool(tags=["x"])\ndef count(a):\n    pass\n'),
+    ("hay.py", 'from haystack import Pipeline\nkey = Secret.from_env_var("HAY_TOKEN")\nt = create_tool_from_function(search_docs)\n'),
+    ("sdk.py", 'import claude_agent_sdk\n@tool\ndef read_it(p):\n    return open(p).read()\n'),
+    ("server.ts", 'import { Server } from "@modelcontextprotocol/sdk/server";\nserver.tool("list_files", h);\nconst f = fs.readFile(process.env["HOME_DIR"]); child_process.exec("ls");\n'),
+    ("server.py", "from mcp.server import Server\nimport os\nimport shutil\nimport httpx\nkey = os.getenv(\"MCP_SECRET\")\n"),
+    ("util.js", 'const a = require("axios"); const b = require("fs");\nexecSync("curl https://u.example.com/x"); http.get(u);\n'),
+    ("notes.txt", "from langchain import nothing\n"),
+    ("plain.py", "import json\nfrom os.path import join\n"),
+)
+SOURCE_FILES = (
+    "SELECT d.doc_id AS seq, concat('repo/', d.source, '/', d.doc_id, '/', s.file) AS path, concat(s.code, '# ', d.text) AS content"
+    " FROM documents d JOIN (VALUES "
+    + ", ".join(f"({i}, '{name}', '{code}')" for i, (name, code) in enumerate(SNIPPETS))
+    + f") AS s(slot, file, code) ON d.doc_id % {len(SNIPPETS)} = s.slot"
+)
+
+
 def spark_sql(sql: str, **parts: str) -> str:
     """Fill in the engine's hash function and nested statements for Spark."""
     return _fill(sql, r"sha2(\1, 256)", parts)
