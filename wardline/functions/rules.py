@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from wardline.functions import catalog as C
-from wardline.functions.text import matches, rx
+from wardline.functions.text import literals, matches, rx
 from wardline.schemas import FINDINGS_TYPE
 
 
@@ -76,22 +76,18 @@ def first_match_hits(
     return collect(*[hit(r) for r in rules])
 
 
+_LEVELS = [C.ACCESS_NAMES[level] for level in sorted(C.ACCESS_NAMES)]
+_SEVERITIES = [C.SEVERITY_NAMES[severity] for severity in sorted(C.SEVERITY_NAMES)]
+
+
 def level_name(level: Column) -> Column:
-    named = F.when(level == C.NONE, C.ACCESS_NAMES[C.NONE])
-    for value in (C.READ, C.WRITE, C.ADMIN):
-        named = named.when(level == value, C.ACCESS_NAMES[value])
-    return named
+    return F.get(literals(_LEVELS), level)
 
 
 def level_value(name: Column) -> Column:
-    value = F.when(name == C.ACCESS_NAMES[C.NONE], C.NONE)
-    for level in (C.READ, C.WRITE, C.ADMIN):
-        value = value.when(name == C.ACCESS_NAMES[level], level)
-    return value
+    """Access level of an upper-case name, NULL for an unknown one."""
+    return F.nullif(F.array_position(literals(_LEVELS), name), F.lit(0)) - 1
 
 
 def severity_name(severity: Column) -> Column:
-    named = F.when(severity == C.LOW, C.SEVERITY_NAMES[C.LOW])
-    for value in (C.MEDIUM, C.HIGH, C.CRITICAL):
-        named = named.when(severity == value, C.SEVERITY_NAMES[value])
-    return named
+    return F.get(literals(_SEVERITIES), severity - 1)

@@ -7,6 +7,7 @@ wanted name is cut out of the (short) matches afterwards.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -71,12 +72,18 @@ def url_host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, C.URL_HOST, 1))
 
 
+_SAFE_HOST = "|".join(
+    [
+        "^(?:" + "|".join(re.escape(h) for h in C.SAFE_HOSTS) + ")$",
+        "(?:" + "|".join(re.escape(h) for h in C.SAFE_HOST_SUFFIXES) + ")$",
+        "^" + re.escape(C.SAFE_HOST_PREFIX),
+    ]
+)
+
+
 def is_safe_url(url: Column) -> Column:
-    host = url_host(url)
-    safe = host.isin(*C.SAFE_HOSTS) | host.startswith(C.SAFE_HOST_PREFIX)
-    for suffix in C.SAFE_HOST_SUFFIXES:
-        safe = safe | host.endswith(suffix)
-    return safe
+    """Trusted host, a subdomain of one, or a ``docs.`` host; one test, so the host is cut out once."""
+    return url_host(url).rlike(_SAFE_HOST)
 
 
 # --- environment variables ----------------------------------------------------

@@ -181,22 +181,24 @@ def lowest_trust(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     needs = links.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("need"))
     start = nodes.select("node", "intrinsic").join(needs, "node", "left").fillna(0, ["need"])
     none = F.lit(None).cast("double")
-    state = stages.write(start.select("*", F.lit(0).cast("long").alias("got"), none.alias("lowest")))
-    own, low = F.col("intrinsic"), F.col("lowest")
+    settled = F.col("got") == F.col("need")
+    state = start.select("*", F.lit(0).cast("long").alias("got"), none.alias("lowest"))
+    score = F.col("intrinsic") * F.coalesce("lowest", F.lit(1.0))
     while True:
-        ready = state.where(F.col("got") == F.col("need"))
-        score = own * F.coalesce(low, F.lit(1.0))
-        settled, count = stages.append(ready.select("node", "intrinsic", score.alias("effective")), "settled")
+        # One table per round: rows settled in it leave, the others wait for the next.
+        state, count = stages.append(state, "state", F.count_if(settled))
         if count == 0:
             break
-        waiting = state.where(F.col("got") < F.col("need"))
+        ready = state.where(settled).select(F.col("node").alias("dst"), score.alias("effective"))
         news = (
-            links.join(settled.select(F.col("node").alias("dst"), "effective"), "dst")
+            links.join(ready, "dst")
             .groupBy(F.col("src").alias("node"))
             .agg(F.count(F.lit(1)).alias("more"), F.min("effective").alias("low"))
         )
-        state = stages.write(
-            waiting.join(news, "node", "left").select(
+        state = (
+            state.where(~settled)
+            .join(news, "node", "left")
+            .select(
                 "node",
                 "intrinsic",
                 "need",
@@ -204,6 +206,5 @@ def lowest_trust(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                 F.least("lowest", "low").alias("lowest"),
             )
         )
-    done = stages.table("settled", settled)
-    stuck = state.where(F.col("got") < F.col("need")).select("node", "intrinsic", none.alias("effective"))
-    return done.unionByName(stuck)
+    done = stages.table("state", state).where(settled).select("node", "intrinsic", score.alias("effective"))
+    return done.unionByName(state.select("node", "intrinsic", none.alias("effective")))

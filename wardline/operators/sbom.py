@@ -13,9 +13,14 @@ def purl(name: Column, version: Column) -> Column:
     return F.concat(F.lit(f"{PURL_TYPE}/"), name, F.lit("@"), version)
 
 
-def components(results: DataFrame, scores: DataFrame | None = None) -> DataFrame:
-    """One component per analysed skill, repeats kept; ``scores`` adds trust by ``seq``."""
-    rows = results.select(
+def components(results: DataFrame) -> DataFrame:
+    """One component per analysed skill, repeats kept.
+
+    ``trust_score`` and ``trust_level`` are taken along when the results carry them.
+    """
+    trust = {"trust_score": "double", "trust_level": "string"}
+    known = [F.col(c) if c in results.columns else F.lit(None).cast(t).alias(c) for c, t in trust.items()]
+    return results.select(
         "seq",
         "name",
         "version",
@@ -26,11 +31,8 @@ def components(results: DataFrame, scores: DataFrame | None = None) -> DataFrame
         "dependencies",
         "source_path",
         purl(F.col("name"), F.col("version")).alias("purl"),
+        *known,
     )
-    if scores is None:
-        none = {"trust_score": F.lit(None).cast("double"), "trust_level": F.lit(None).cast("string")}
-        return rows.withColumns(none)
-    return rows.join(scores.select("seq", "trust_score", "trust_level"), "seq", "left")
 
 
 def two_decimals(score: Column) -> Column:

@@ -139,11 +139,12 @@ def behavioral(findings: Column) -> Column:
 
 
 def scan_scores(results: DataFrame, weights: Mapping[str, float] = C.TRUST_WEIGHTS) -> DataFrame:
-    """Trust of analysed skills; signals that a scan cannot measure are neutral."""
-    neutral = {s: F.lit(C.NEUTRAL_SIGNAL) for s in C.TRUST_SIGNALS if s != "behavioral"}
-    signals = results.select("seq", "name", "version", behavioral(F.col("findings")).alias("behavioral"))
-    scored = signals.withColumns(neutral).withColumn("intrinsic", intrinsic(weights))
-    return scored.withColumns({"effective": F.col("intrinsic"), "level": level_name(F.col("intrinsic"))})
+    """Adds ``trust_score`` and ``trust_level`` to analysed skills; signals a scan cannot measure are neutral."""
+    check_weights(weights)
+    neutral = sum(weights[s] * C.NEUTRAL_SIGNAL for s in C.TRUST_SIGNALS if s != "behavioral")
+    score = clamp(F.lit(neutral) + F.lit(float(weights["behavioral"])) * behavioral(F.col("findings")))
+    scored = results.withColumn("trust_score", score)
+    return scored.withColumn("trust_level", level_name(F.col("trust_score")))
 
 
 def at_least(left: Sequence[str], right: Sequence[str]) -> Column:

@@ -38,10 +38,11 @@ class Stages:
         self._next += 1
         return self._save(df, f"{self.root}/t{self._next}", measure)
 
-    def append(self, df: DataFrame, table: str) -> tuple[DataFrame, int]:
-        """Add one round's rows under a named table; returns those rows and their number."""
+    def append(self, df: DataFrame, table: str, measure: Column | None = None) -> tuple[DataFrame, int]:
+        """Add one round's rows under a named table; returns those rows and a measure, by default their number."""
         self._next += 1
-        return self._save(df, f"{self.root}/{table}/round={self._next}", F.count(F.lit(1)))
+        rows = F.count(F.lit(1)) if measure is None else measure
+        return self._save(df, f"{self.root}/{table}/round={self._next}", rows)
 
     def table(self, name: str, like: DataFrame) -> DataFrame:
         """All rounds appended so far, as one scan."""

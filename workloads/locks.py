@@ -194,11 +194,10 @@ def lock_doc(spark, sf_dir):
 
 
 def _components(spark, sf_dir):
-    results = skills.results(spark, sf_dir)
+    rated = trust.scan_scores(skills.results(spark, sf_dir))
     # Only skills with fewer than two findings are rated; the rest stay unscored.
-    rated = trust.scan_scores(results.where("findings_count < 2"))
-    known = rated.select("seq", F.col("effective").alias("trust_score"), F.col("level").alias("trust_level"))
-    return sbom.components(results, known)
+    few = F.col("findings_count") < 2
+    return sbom.components(rated.withColumns({c: F.when(few, F.col(c)) for c in ("trust_score", "trust_level")}))
 
 
 _RATED = (

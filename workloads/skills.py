@@ -539,4 +539,4 @@ def trust_behavioral(spark, sf_dir):
 )
 def trust_scan(spark, sf_dir):
     scored = trust.scan_scores(results(spark, sf_dir))
-    return scored.select("seq", "name", F.round("effective", 4).alias("score"), "level")
+    return scored.select("seq", "name", F.round("trust_score", 4).alias("score"), F.col("trust_level").alias("level"))
