@@ -58,6 +58,17 @@ def test_rank_of_one_hot_name(spark):
     assert got == {r[0]: i + 1 for i, r in enumerate(order)}
 
 
+def test_hot_name_is_split_without_losing_matches(spark):
+    nodes = spark.createDataFrame([(i, "hot", v) for i, v in enumerate(VERSIONS)] + [(99, "cold", "1.0.0")], "seq int, name string, version string")
+    rows = [("x", "1.0.0", n, c) for n in ("hot", "cold") for c in CONSTRAINTS]
+    edges = spark.createDataFrame(rows, "name string, version string, dep_name string, raw_constraint string")
+    want = {("hot", c, v) for c in CONSTRAINTS for v in VERSIONS if holds(v, c)}
+    want |= {("cold", c, "1.0.0") for c in CONSTRAINTS if holds("1.0.0", c)}
+    for pairs_per_task in (10, 10_000):
+        got = versions.constraint_matches(edges, nodes, pairs_per_task).select("dep_name", "raw_constraint", "dep_version").collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 def test_last_row_of_a_version_wins(spark):
     nodes = spark.createDataFrame([(1, "a", "1.0.0", "old"), (5, "a", "1.0.0", "new"), (2, "b", "1.0.0", "x")], "seq int, name string, version string, note string")
     assert {(r.name, r.note) for r in versions.latest_nodes(nodes).collect()} == {("a", "new"), ("b", "x")}

@@ -46,8 +46,16 @@ def ranked(nodes: DataFrame) -> DataFrame:
     return placed.select(*nodes.columns, rank.alias("version_rank"))
 
 
-def constraint_matches(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Each distinct ``(dep_name, raw_constraint)`` with every version that satisfies it."""
+PAIRS_PER_TASK = 5_000_000
+
+
+def constraint_matches(edges: DataFrame, nodes: DataFrame, pairs_per_task: int = PAIRS_PER_TASK) -> DataFrame:
+    """Each distinct ``(dep_name, raw_constraint)`` with every version that satisfies it.
+
+    A name with very many constraints and versions is split: its constraints are
+    dealt over as many slots as its pair count asks for, and its versions are
+    repeated once per slot. Other names keep one slot and are not repeated.
+    """
     wanted = (
         edges.select("dep_name", "raw_constraint")
         .distinct()
@@ -56,8 +64,15 @@ def constraint_matches(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     have = with_semver(nodes).select(
         F.col("name").alias("dep_name"), F.col("version").alias("dep_version"), "semver", F.col("seq").alias("dep_seq")
     )
-    fits = satisfies(F.col("semver"), F.col("_constraint"))
-    return wanted.join(have, "dep_name").where(fits).drop("_constraint")
+    asked = edges.groupBy("dep_name").agg(F.count_distinct("raw_constraint").alias("_asked"))
+    offered = nodes.groupBy(F.col("name").alias("dep_name")).agg(F.count(F.lit(1)).alias("_offered"))
+    slots = F.ceil(F.col("_asked") * F.col("_offered") / pairs_per_task).cast("int")
+    hot = asked.join(offered, "dep_name").select("dep_name", slots.alias("_slots")).where("_slots > 1")
+    slots = F.coalesce("_slots", F.lit(1))
+    dealt = wanted.join(hot, "dep_name", "left").withColumn("_slot", F.pmod(F.hash("raw_constraint"), slots))
+    repeated = have.join(hot, "dep_name", "left").withColumn("_slot", F.explode(F.sequence(F.lit(0), slots - 1)))
+    pairs = dealt.drop("_slots").join(repeated.drop("_slots"), ["dep_name", "_slot"])
+    return pairs.where(satisfies(F.col("semver"), F.col("_constraint"))).drop("_constraint", "_slot")
 
 
 def resolve_all(edges: DataFrame, nodes: DataFrame) -> DataFrame:
