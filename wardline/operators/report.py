@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wardline.functions import catalog as C
 from wardline.functions.rules import level_name, severity_name
 from wardline.functions.text import clip
-from wardline.operators.scan import capabilities_of
 from wardline.plans.shape import pick, unnest
 
 
@@ -61,10 +60,18 @@ def findings_filter(table: DataFrame, severity: str = "ALL", format: str = "ALL"
 
 
 def capability_matrix(results: DataFrame) -> DataFrame:
-    """Inferred access per skill and resource by name; skills without any are dropped."""
-    wide = capabilities_of(results).groupBy("seq", "skill_name").pivot("resource", list(C.RESOURCES)).agg(F.max("access"))
-    named = {r: level_name(F.coalesce(r, F.lit(C.NONE))) for r in C.RESOURCES}
-    return wide.withColumns(named)
+    """Inferred access per skill and resource by name; skills without any are dropped.
+
+    A skill's capabilities are in its own row, so the row is widened in place: no pivot.
+    """
+
+    def access(resource: str) -> Column:
+        mine = F.filter("inferred", lambda c: c["resource"] == resource)
+        return level_name(F.coalesce(F.array_max(F.transform(mine, lambda c: c["access"])), F.lit(C.NONE)))
+
+    wide = F.array(F.struct(*[access(r).alias(r) for r in C.RESOURCES]))
+    rows = results.select("seq", F.col("name").alias("skill_name"), F.when(F.size("inferred") > 0, wide).alias("row"))
+    return unnest(rows, "row", ["seq", "skill_name"])
 
 
 def severity_share(findings: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -23,9 +23,17 @@ def drift_stream(contents: DataFrame, lock: DataFrame) -> DataFrame:
     return joined.select("name", F.coalesce(F.col("actual") == F.col("integrity"), F.lit(False)).alias("intact"))
 
 
+def utc_instant(ts: str) -> Column:
+    """Zone-less times read as UTC, whatever the session's zone."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col(ts)))
+
+
 def evidence_stream(evidence: DataFrame, lateness: str = "1 hour", window: str = "1 day") -> DataFrame:
     """Evidence summed per node, signal and time window; the watermark bounds the state."""
     good, _ = trust.split_evidence(evidence)
+    if dict(good.dtypes)["ts"] == "timestamp_ntz":
+        good = good.withColumn("ts", utc_instant("ts"))
     sums = (
         good.withWatermark("ts", lateness)
         .groupBy(F.window("ts", window), "node", "signal")

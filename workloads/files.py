@@ -571,10 +571,9 @@ def stream_scan(spark, sf_dir):
 def stream_evidence(spark, sf_dir):
     """Daily sums of the days that the watermark has closed."""
     _stream(spark, sf_dir, "events").createOrReplaceTempView("events")
-    evidence = spark.sql(fx.TRUST_EVIDENCE)
-    rows = evidence.withColumn("ts", F.to_utc_timestamp(F.col("ts").cast("timestamp"), "UTC"))
-    done = _finished(spark, streams.evidence_stream(rows), "stream-evidence")
-    day = F.date_format("window_start", "yyyy-MM-dd")
+    done = _finished(spark, streams.evidence_stream(spark.sql(fx.TRUST_EVIDENCE)), "stream-evidence")
+    days = F.floor(F.unix_seconds("window_start") / 86_400).cast("int")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), days).cast("string")
     return done.select(day.alias("day"), "node", "signal", F.round("delta", 6).alias("delta"), "pieces")
 
 

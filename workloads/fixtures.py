@@ -39,13 +39,14 @@ SELECT p_partkey AS seq, concat('pkg-', CAST(floor(p_partkey/4.0) AS BIGINT)) AS
 FROM part
 """
 
+# No package depends on itself.
 DEP_CONSTRAINTS = """
 SELECT p_partkey AS seq, concat('pkg-', CAST(floor(p_partkey/4.0) AS BIGINT)) AS name,
   concat(p_partkey%4, '.', p_size%10, '.', p_partkey%7) AS version,
   concat('pkg-', CAST(floor(p_partkey/8.0) AS BIGINT)) AS dep_name,
   CASE p_partkey%6 WHEN 0 THEN '*' WHEN 1 THEN '>=1.0.0' WHEN 2 THEN '^1.0.0' WHEN 3 THEN '~2.1.0'
     WHEN 4 THEN '>=0.5.0,<3.0.0' ELSE '!=1.1.1' END AS raw_constraint
-FROM part WHERE p_partkey >= 8
+FROM part WHERE floor(p_partkey/8.0) < floor(p_partkey/4.0)
 """
 
 CONFLICTS = """
@@ -84,14 +85,15 @@ SELECT user_id AS chain, event_id AS position, CAST(1 AS DOUBLE) - CAST(event_id
 FROM events
 """
 
+# Edges to smaller numbers only.
 DEP_EDGES = """
-SELECT p_partkey AS src, CAST(floor(p_partkey/2.0) AS BIGINT) AS dst FROM part WHERE p_partkey > 0
+SELECT p_partkey AS src, CAST(floor(p_partkey/2.0) AS BIGINT) AS dst FROM part WHERE floor(p_partkey/2.0) < p_partkey
 UNION
-SELECT p_partkey AS src, CAST(floor(p_partkey/3.0) AS BIGINT) AS dst FROM part WHERE p_partkey > 0
+SELECT p_partkey AS src, CAST(floor(p_partkey/3.0) AS BIGINT) AS dst FROM part WHERE floor(p_partkey/3.0) < p_partkey
 """
 
 CYCLE_EDGES = """
-SELECT CAST(floor(p_partkey/2.0) AS BIGINT) AS src, p_partkey AS dst FROM part WHERE p_partkey > 0 AND p_size = 7
+SELECT CAST(floor(p_partkey/2.0) AS BIGINT) AS src, p_partkey AS dst FROM part WHERE p_size = 7
 """
 
 TRUST_SIGNALS = """
@@ -157,7 +159,7 @@ LOCK_CHECKED = """
 SELECT p_partkey AS seq, concat('pkg-', p_partkey) AS name, CASE p_size WHEN 11 THEN '' ELSE '1.0.0' END AS version,
   CASE p_size%9 WHEN 0 THEN 'md5:abc' WHEN 1 THEN '' ELSE concat('sha256:', {sha:p_name}) END AS integrity,
   concat('pkg-', CAST(floor(p_partkey/2.0) AS BIGINT)) AS below, CASE WHEN p_size = 7 THEN concat('pkg-', p_partkey*2) ELSE '' END AS above
-FROM part WHERE p_partkey > 0
+FROM part WHERE floor(p_partkey/2.0) < p_partkey
 """
 
 LOCK_DOCUMENTS = """
