@@ -12,18 +12,21 @@ from pyspark.sql import functions as F
 
 from wardline.functions.text import strip
 
-_NUMBER = r"(0|[1-9][0-9]*)"
+_NUMBER = r"(?:0|[1-9][0-9]*)"
 _TAGS = r"(?:-[0-9A-Za-z\-.]+)?(?:\+[0-9A-Za-z\-.]+)?"
-VERSION = rf"^{_NUMBER}\.{_NUMBER}\.{_NUMBER}{_TAGS}$"
-ATOM = rf"^\s*(==|!=|>=|<=|>|<|\^|~)\s*{_NUMBER}\.{_NUMBER}\.{_NUMBER}{_TAGS}\s*$"
+_CORE = rf"({_NUMBER}\.{_NUMBER}\.{_NUMBER}){_TAGS}"
+VERSION = rf"^{_CORE}$"
+ATOM = rf"^(==|!=|>=|<=|>|<|\^|~)\s*{_CORE}$"
 
 
-def _triple(text: Column, pattern: str, first_group: int) -> Column:
+def _triple(text: Column, pattern: str, group: int) -> Column:
+    # One regular expression per text; the rest is a split of a short string.
+    core = F.regexp_extract(text, pattern, group)
+    numbers = F.split(core, r"\.")
     part = [
-        F.regexp_extract(text, pattern, first_group + i).try_cast("bigint").alias(name)
-        for i, name in enumerate(("major", "minor", "patch"))
+        F.get(numbers, F.lit(i)).try_cast("bigint").alias(name) for i, name in enumerate(("major", "minor", "patch"))
     ]
-    return F.when(text.rlike(pattern), F.struct(*part))
+    return F.when(core != "", F.struct(*part))
 
 
 def parse_version(text: Column) -> Column:
