@@ -24,12 +24,15 @@ def _dump(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 _ENTRIES = ("entries", fx.REGISTRY_ENTRIES)
 
+# Word boundaries are Unicode in the published rules; this engine's are not, so one
+# rule spells its boundary out and takes its first group as evidence.
+_EVIDENCE = "CASE WHEN pattern LIKE '%|chown)%' THEN regexp_extract({0}, pattern, 1) ELSE regexp_extract({0}, pattern) END"
 _CONTENT_RULES = r"""VALUES
   ('(?i)(requests\.post|httpx\.post|fetch\()\s*\(?\s*["'']https?://', 4, 'data_exfiltration', 'Potential data exfiltration pattern detected'),
   ('(?i)(webhook|exfil|phone[_\-]?home|beacon)', 4, 'data_exfiltration', 'Potential data exfiltration pattern detected'),
   ('(?i)base64\.(b64encode|encode)', 4, 'data_exfiltration', 'Potential data exfiltration pattern detected'),
   ('(?i)socket\.connect', 4, 'data_exfiltration', 'Potential data exfiltration pattern detected'),
-  ('(?i)(sudo|chmod\s+[0-7]{3,4}|chown)\b', 4, 'privilege_escalation', 'Dangerous system access pattern detected'),
+  ('(?i)(sudo|chmod\s+[0-7]{3,4}|chown)(?:[^\p{L}\p{M}\p{N}_]|$)', 4, 'privilege_escalation', 'Dangerous system access pattern detected'),
   ('(?i)(os\.system|subprocess\.(run|call|Popen))', 4, 'privilege_escalation', 'Dangerous system access pattern detected'),
   ('(?i)exec\s*\(|eval\s*\(', 4, 'privilege_escalation', 'Dangerous system access pattern detected'),
   ('(?i)__import__\s*\(', 4, 'privilege_escalation', 'Dangerous system access pattern detected'),
@@ -45,7 +48,7 @@ _CONTENT_RULES = r"""VALUES
 def content(table: str, key: str, text: str, extra: str = "") -> str:
     return (
         f"SELECT {key}, severity, message, attack_class, 'pattern_match' AS finding_type,"
-        f" substr(regexp_extract({text}, pattern), 1, 120) AS evidence FROM {table} JOIN ({_CONTENT_RULES})"
+        f" substr({_EVIDENCE.format(text)}, 1, 120) AS evidence FROM {table} JOIN ({_CONTENT_RULES})"
         f" AS r(pattern, severity, attack_class, message) ON regexp_matches({text}, pattern) {extra}"
     )
 
