@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import bpe
+from wardline.llm import bpe, langid, quality_knn, sampling, toxicity
 from workloads.cases import Case, Query
 
 CASES: dict[str, Case] = {}
@@ -35,3 +35,34 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@case("op3_langid")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = langid.train(docs, sampling.remainder("doc_id", 4) != 2)
+    return docs.select(
+        "doc_id", sampling.held_out("doc_id", 4, 2).alias("held_out"), langid.identify(docs, model).alias("found")
+    ).select("doc_id", "held_out", "found.lang_pred", "found.score", "found.ambiguous")
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+@case("op5_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = quality_knn.train(docs, _labels(spark, sf_dir), "quality", sampling.remainder("doc_id", 5) != 0)
+    return docs.select(
+        "doc_id", sampling.held_out("doc_id", 5, 0).alias("held_out"), quality_knn.score(docs, model).alias("score")
+    ).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@case("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = toxicity.train(docs, _labels(spark, sf_dir), "toxic", sampling.remainder("doc_id", 4) != 2)
+    return docs.select(
+        "doc_id", sampling.held_out("doc_id", 4, 2).alias("held_out"), toxicity.score(docs, model).alias("score")
+    ).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
