@@ -24,8 +24,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WINDOW_CHARS = 2_000_000
-MOST_WORDS = 300_000
+WINDOW_CHARS = 400_000
+WINDOW_IDS = 150_000
+MOST_WORDS = 200_000
 #: Fixed values of byte-level vocabularies: how a text is cut into words.
 SPLIT = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?LETTER+| ?NUMBER+| ?[^\p{White_Space}LETTERNUMBER]+"
@@ -281,7 +282,7 @@ def decode(df: DataFrame, vocabulary_path: str, ids: str = "ids", output: str =
         for batch in batches:
             sizes = pc.fill_null(pc.list_value_length(batch), 0).to_pylist()
             texts: list[str] = []
-            for start, end in _groups(sizes, WINDOW_CHARS):
+            for start, end in _groups(sizes, WINDOW_IDS):
                 ids = batch.slice(start, end - start).flatten().to_numpy(zero_copy_only=False)
                 texts += decoder.decode(ids, np.r_[0, np.cumsum(sizes[start:end])])
             yield pa.array(texts, pa.string())
