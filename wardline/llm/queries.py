@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import bpe, langid, quality_knn, sampling, toxicity
+from wardline.llm import bpe, langid, mixing, quality_knn, sampling, sharding, toxicity
 from workloads.cases import Case, Query
 
 CASES: dict[str, Case] = {}
@@ -66,3 +66,72 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(
         "doc_id", sampling.held_out("doc_id", 4, 2).alias("held_out"), toxicity.score(docs, model).alias("score")
     ).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@case("op2_sharding")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return sharding.shard(docs, 8).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+#: Position of a part of a source's demand, per weight class, by the mixing schedules.
+_POSITION = """
+CASE weight WHEN 1 THEN 0.0::DOUBLE + 2.0::DOUBLE * part / (1.0::DOUBLE + sqrt(greatest(1.0::DOUBLE + 0.0::DOUBLE * part, 0.0::DOUBLE)))
+WHEN 2 THEN 0.0::DOUBLE + 2.0::DOUBLE * part / (0.5::DOUBLE + sqrt(greatest(0.25::DOUBLE + 2.0::DOUBLE * part, 0.0::DOUBLE)))
+ELSE CASE WHEN part * 1.0625::DOUBLE >= 0.6875::DOUBLE
+  THEN 0.5::DOUBLE + 2.0::DOUBLE * (part * 1.0625::DOUBLE - 0.6875::DOUBLE)
+    / (1.25::DOUBLE + sqrt(greatest(1.5625::DOUBLE + -4.0::DOUBLE * (part * 1.0625::DOUBLE - 0.6875::DOUBLE), 0.0::DOUBLE)))
+  ELSE 2.0::DOUBLE * (part * 1.0625::DOUBLE) / (1.5::DOUBLE + sqrt(greatest(2.25::DOUBLE + -1.0::DOUBLE * (part * 1.0625::DOUBLE), 0.0::DOUBLE))) END END
+"""
+
+MIXED_SQL = rf"""
+WITH sized AS (
+  SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
+  FROM sized GROUP BY source
+), ordered AS (
+  SELECT *, 3 * sum(source_size) OVER below AS capped_before, sum(weight) OVER above AS open_weight,
+         (SELECT sum(source_size) FROM sources) AS total
+  FROM sources
+  WINDOW below AS (ORDER BY source_size::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+         above AS (ORDER BY source_size::DOUBLE / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+), level AS (
+  SELECT (total - COALESCE(capped_before, 0))::BIGINT AS share, open_weight::BIGINT AS parts
+  FROM ordered
+  WHERE 3 * source_size::HUGEINT * open_weight >= weight * (total - COALESCE(capped_before, 0))
+  ORDER BY source_size::DOUBLE / weight, source NULLS LAST LIMIT 1
+), priced AS (
+  SELECT s.*, CASE WHEN weight * share::HUGEINT > 3 * source_size::HUGEINT * parts THEN (3 * source_size)::DOUBLE
+              ELSE (weight * share)::DOUBLE / parts::DOUBLE END AS target
+  FROM sources s, level
+), placed AS (
+  SELECT d.doc_id, d.size, p.source_size, p.target, p.weight, floor(p.target)::BIGINT AS goal,
+         CASE WHEN p.source_size > 0 THEN floor(p.target)::BIGINT // p.source_size ELSE 0 END AS passes,
+         (sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(COALESCE(d.doc_id::VARCHAR, '') || ':' || d.size), d.doc_id, d.size
+              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size)::BIGINT AS start
+  FROM sized d JOIN priced p ON d.source IS NOT DISTINCT FROM p.source
+), taken AS (
+  SELECT *, (passes * size + greatest(0, least(size, goal - passes * source_size - start)))::BIGINT AS taken,
+         CASE WHEN goal > 0 THEN start::DOUBLE / goal::DOUBLE END AS part
+  FROM placed
+)
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN {_POSITION} END AS position FROM taken
+"""
+
+
+@case("op9_mixing", MIXED_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = mixing.plan(_documents(spark, sf_dir), ["doc_id"])
+    return planned.orderBy(F.col("position").asc_nulls_last(), "doc_id").select(
+        "doc_id", "size", "source_size", "target", "taken", "position"
+    )
