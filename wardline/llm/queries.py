@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import bpe, langid, mixing, quality_knn, sampling, sharding, toxicity
+from wardline.llm import bpe, langid, line_rules, mixing, quality_knn, sampling, sharding, toxicity
 from workloads.cases import Case, Query
 
 CASES: dict[str, Case] = {}
@@ -135,3 +135,60 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.orderBy(F.col("position").asc_nulls_last(), "doc_id").select(
         "doc_id", "size", "source_size", "target", "taken", "position"
     )
+
+
+CLEANED_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rn, doc_id, COALESCE(text, '') AS text,
+         regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT rn, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS win
+  FROM (SELECT rn, w, unnest(range(1, len(w) - 1)) AS i FROM docs)
+), repeated AS (
+  SELECT rn, i FROM (SELECT rn, i, count(*) OVER (PARTITION BY rn, win) AS n FROM windows) WHERE n > 1
+), covered AS (
+  SELECT rn, count(DISTINCT p) AS n FROM (SELECT rn, unnest([i, i + 1, i + 2]) AS p FROM repeated) GROUP BY rn
+), lines AS (
+  SELECT rn, line, len(line) AS size,
+         len(line) - len(replace(line, ' ', '')) AS gaps,
+         len(line) - len(replace(line, '|', '')) AS bars,
+         len(line) - len(replace(line, '!', '')) AS bangs,
+         len(line) - len(translate(line, '#*$%&<>', '')) AS noise
+  FROM (SELECT rn, unnest(string_split(text, chr(10))) AS line FROM docs)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), judged AS (
+  SELECT rn, count(*) - count(DISTINCT line) AS dup, sum(size)::BIGINT AS chars,
+         COALESCE(sum(size) FILTER (WHERE
+           (bars >= 2 AND bars * 4 >= gaps) OR noise * 10 > size OR (bangs >= 6 AND bangs * 2 > gaps)
+           OR (gaps >= 10 AND NOT regexp_matches(line, '[.!?,;:\x{2026}\x{3002}]'))
+           OR regexp_matches(line, '(?i)(accept (all )?cookies|cookie policy|privacy policy|terms of (use|service)|all rights reserved|click here|sign up (now|today)|subscribe to our|enable javascript|log in to|back to top|skip to content|licensed under|released under)')
+         ), 0)::BIGINT AS lost
+  FROM lines GROUP BY rn
+), measured AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words,
+         len(array_to_string(w, ''))::BIGINT AS word_chars,
+         (len(text) - len(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+         COALESCE(dup, 0)::BIGINT AS n_dup_lines, COALESCE(c.n, 0)::BIGINT AS n_repeat_words,
+         COALESCE(lost, 0)::BIGINT AS n_lost_chars, COALESCE(chars, 0) AS chars
+  FROM docs d LEFT JOIN covered c USING (rn) LEFT JOIN judged USING (rn)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lost_chars,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT 100 * n_lost_chars > 40 * chars AS kept
+FROM measured
+"""
+
+
+@case("op4_line_rules", CLEANED_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.clean(_documents(spark, sf_dir)).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "n_lost_chars",
+        "base_failed",
+        "kept",
+    )
