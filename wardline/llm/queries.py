@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import bpe, langid, line_rules, mixing, quality_knn, sampling, sharding, toxicity
+from wardline.llm import bpe, langid, line_rules, mixing, pii, quality_knn, sampling, sharding, toxicity
 from workloads.cases import Case, Query
 
 CASES: dict[str, Case] = {}
@@ -192,3 +192,19 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_failed",
         "kept",
     )
+
+
+@case("op1_pii")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_documents(spark, sf_dir).select("doc_id", "text"))
+    kinds = F.transform("_base", lambda x: x["k"])
+    counts = [
+        (F.size(kinds) - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)
+    ]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(pii.listing(F.col("_base")).cast("binary"), 256).alias("base_sha256"),
+        pii.listing(F.concat("_base", "_more")).alias("spans"),
+        F.size("_more").cast("long").alias("n_more"),
+    )
