@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import bpe, langid, line_rules, mixing, pii, quality_knn, sampling, sharding, toxicity
+from wardline.llm import bpe, langid, line_rules, mixing, pii, quality_knn, sampling, sharding, sketch_dedup, toxicity
 from workloads.cases import Case, Query
 
 CASES: dict[str, Case] = {}
@@ -208,3 +208,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
         pii.listing(F.concat("_base", "_more")).alias("spans"),
         F.size("_more").cast("long").alias("n_more"),
     )
+
+
+@case("op7_near_copies")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return sketch_dedup.classes(docs, shingle_words=4).select("doc_id", "n_shingles", "component_id", "kept")
