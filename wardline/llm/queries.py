@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import bpe, langid, line_rules, mixing, pii, quality_knn, sampling, sharding, sketch_dedup, toxicity
+from wardline.llm import bpe, langid, line_rules, mixing, pii, pq_dedup, quality_knn, sampling, sharding, sketch_dedup, toxicity
 from workloads.cases import Case, Query
 
 CASES: dict[str, Case] = {}
@@ -214,3 +214,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     return sketch_dedup.classes(docs, shingle_words=4).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@case("op6_vectors")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq_dedup.classes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
