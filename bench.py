@@ -32,6 +32,7 @@ QUERIES = (
     "transitive_deps",
     "vuln_propagate",
     "trust_dag",
+    "cycle_nodes",
 )
 
 

@@ -49,10 +49,9 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("small_core", [0, 2_000])
 @pytest.mark.parametrize("case", range(len(CASES)))
-def test_cycles(spark, case, small_core):
-    found = graph.cycle_groups(frame(spark, CASES[case]), small_core).collect()
+def test_cycles(spark, case):
+    found = graph.cycle_groups(frame(spark, CASES[case])).collect()
     assert {r.node: r.cycle for r in found} == cycles(CASES[case])
     assert len(found) == len(cycles(CASES[case]))
 

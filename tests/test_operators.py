@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from wardline import plugins
 from wardline.functions import catalog as C
+from wardline.functions import text
 from wardline.operators import capabilities, fleet, frameworks, lock, registry, sbom, scan, trust
 from wardline.schemas import as_skills
-from wardline.sources import manifests, sinks
+from wardline.sources import manifests, mcp, registries, sinks
 from wardline.sources.skills import read_skill_folder, skills_from_markdown
 
 
@@ -51,11 +52,12 @@ def test_aliases_are_opt_in(spark):
     assert scan.analyze(rows, aliases={"env": "environment"}).first().findings == []
 
 
-def test_rule_table_is_read_whole_or_refused(spark):
+def test_rule_table_is_read_whole(spark):
     rules = spark.createDataFrame([("x+", 3, "a", "m", "i")], "pattern string, severity int, attack_class string, message string, flags string")
     assert scan.rules_from_table(rules) == [C.Rule("x+", 3, "a", "m", "i")]
-    with pytest.raises(ValueError):
-        scan.rules_from_table(rules.crossJoin(spark.range(scan.MAX_RULES + 1)).drop("id"))
+    many = [C.Rule(f"x{i}y", 3, "a", f"m{i}", "") for i in range(450)]
+    hits = scan.apply_rules(spark.createDataFrame([("x7y x444y",)], "text string"), "text", many, ["text"])
+    assert sorted(r.message for r in hits.collect()) == ["m444", "m7"]
 
 
 CAPS = st.lists(st.tuples(st.sampled_from(["a", "b", "c"]), st.integers(0, 3)), max_size=6)
@@ -187,9 +189,9 @@ def test_registry_totals_skip_failed_entries(spark):
     assert registry.stats(failed, "mcp").first()[1:] == (2, 1, 0, 1, 1)
 
 
-def test_search_looks_at_twice_the_limit(spark):
+def test_search_looks_at_all_entries(spark):
     entries = spark.createDataFrame([(i, "hit" if i > 3 else "miss", "", "") for i in range(10)], "seq int, name string, description string, author string")
-    assert [r.seq for r in registry.search(entries, "HIT", 3).collect()] == [4, 5]
+    assert [r.seq for r in registry.search(entries, "HIT", 3).collect()] == [4, 5, 6]
 
 
 def test_fleet_needs_the_tool_folder(spark):
@@ -235,3 +237,38 @@ def test_scan_plan_has_no_join_and_reads_only_what_it_needs(spark, tmp_path):
     findings = scan.findings_of(scan.analyze(skills_from_markdown(spark.read.parquet(path))))
     plan = findings._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan and "unread" not in plan
+
+
+@pytest.mark.parametrize("lead", ["read", "sudo ", "SECRET", "os.environ[", "curl x | ", ".aws ", "base64.", "http://1.2.3.4", "root"])
+@pytest.mark.parametrize("step", [", read", " a", "|", ".", "x"])
+def test_content_rules_survive_long_repeats(spark, lead, step):
+    text = lead + step * (1_000_000 // len(step))
+    df = spark.createDataFrame([(text,)], "text string")
+    assert df.select(F.size(registry.content_findings(F.col("text"))).alias("n")).first().n >= 0
+
+
+def test_server_named_twice_in_one_file(spark):
+    content = '{"mcpServers": {"a": {"command": "x"}, "b": {"command": "y"}, "a": {"command": "z"}}, "servers": {"b": {"command": "w"}}}'
+    configs = spark.createDataFrame([(1, "p/.mcp.json", content)], "seq long, path string, content string")
+    assert sorted((r.name, r.server) for r in mcp.servers(configs).collect()) == [("a", '{"command":"z"}'), ("b", '{"command":"w"}')]
+
+
+def test_registry_dump_as_an_array(spark, tmp_path):
+    (tmp_path / "dump.json").write_text('[\n {"name": "one", "description": "d"},\n {"id": "two"}\n]\n')
+    dump = registries.read_dump(spark, str(tmp_path), whole_files=True)
+    assert [r.name for r in registries.mcp_entries(dump).orderBy("pos").collect()] == ["one", "two"]
+
+
+def test_registry_texts_are_searched_whole(spark):
+    late = "x" * 600 + " sudo rm"
+    payload = json.dumps({"objects": [{"package": {"name": "n", "description": late}}]})
+    entries = registries.npm_entries(spark.createDataFrame([(1, payload)], "seq long, payload string"))
+    found = entries.select(F.size(registry.content_findings(F.col("description"))).alias("n")).first().n
+    assert found == 1
+    assert entries.where(F.length("description") == len(late)).count() == 1
+
+
+def test_every_module_of_an_import_line(spark):
+    code = "import os.path as p, subprocess\nfrom json import loads, dumps\n  import a;b\n"
+    got = spark.createDataFrame([(code,)], "c string").select(text.python_imports(F.col("c")).alias("m")).first().m
+    assert got == ["a", "json", "os", "subprocess"]

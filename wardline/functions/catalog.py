@@ -184,7 +184,7 @@ CONTENT_RULES = (
     _content(_SECRETS, r"keyring\.|keychain"),
     _content(_BROAD, r"(full[_\s]?access|admin|root|superuser|all[_\s]?permissions)"),
     _content(_BROAD, r"\*\.\*|/\*\*/\*"),
-    _content(_BROAD, r"(read|write|execute)\s*(,\s*(read|write|execute)){2,}"),
+    _content(_BROAD, r"(read|write|execute)\s*(,\s*(read|write|execute)){2,}+"),
 )
 
 SCRIPT_RULES = tuple(

@@ -191,11 +191,19 @@ def js_exec_markers(text: Column, markers: Iterable[str] = C.JS_EXEC_MARKERS) ->
 
 
 def python_imports(text: Column) -> Column:
-    """Top-level module named on each ``import`` or ``from`` line, distinct and sorted."""
+    """Top-level modules named on ``import`` and ``from`` lines, distinct and sorted."""
     lines = F.transform(F.split(text, LINE_END), strip)
     wanted = F.filter(lines, lambda line: line.startswith("import ") | line.startswith("from "))
-    names = F.transform(wanted, lambda line: F.regexp_extract(line, rx(r"^\w+\s+([^\s.]*)"), 1))
-    return sorted_set(names)
+    # "import a.b as c, d" names two modules, "from a import b, c" one
+    listed = F.flatten(
+        F.transform(
+            wanted,
+            lambda line: F.when(line.startswith("from "), F.array(line.substr(F.lit(6), F.length(line)))).otherwise(
+                F.split(line.substr(F.lit(8), F.length(line)), ",")
+            ),
+        )
+    )
+    return sorted_set(F.transform(listed, lambda part: F.regexp_extract(strip(part), rx(r"^[^\s.;]*"), 0)))
 
 
 def js_requires(text: Column) -> Column:

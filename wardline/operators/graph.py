@@ -74,18 +74,13 @@ def affected_versions(edges: DataFrame, matches: DataFrame, vulnerable: DataFram
     return reach(seed, step, stages)
 
 
-SMALL_CORE = 2_000
-
-
-def cycle_groups(edges: DataFrame, small_core: int = SMALL_CORE) -> DataFrame:
+def cycle_groups(edges: DataFrame) -> DataFrame:
     """``node, cycle``: nodes that can reach themselves, grouped by mutual reach.
 
     A group is named after its smallest member. Nodes off every cycle are peeled
     away first. What is left is split by colouring: each node takes the largest
     label that reaches it, and walking back from a label's own node inside its
-    colour gives exactly one group. Work per round is linear in the edges left,
-    where a closure would be quadratic; only a core measured at no more than
-    ``small_core`` edges is closed directly, which takes fewer rounds.
+    colour gives exactly one group. Work per round is linear in the edges left.
     """
     stages = Stages(edges.sparkSession, "cycles")
     links = stages.write(edges.select("src", "dst").distinct())
@@ -96,9 +91,6 @@ def cycle_groups(edges: DataFrame, small_core: int = SMALL_CORE) -> DataFrame:
         core, size = _peel(core, size, stages)
         if size == 0:
             break
-        if size <= small_core:
-            found.append(_mutual(core))
-            break
         colours = _colour(core, stages)
         group = stages.write(_walk_back(core, colours))
         found.append(group.groupBy("colour").agg(F.min("node").alias("cycle")).join(group, "colour").select("node", "cycle"))
@@ -115,14 +107,6 @@ def cycle_groups(edges: DataFrame, small_core: int = SMALL_CORE) -> DataFrame:
     return groups
 
 
-def _mutual(core: DataFrame) -> DataFrame:
-    """Groups by closure, for a core of bounded size."""
-    pairs = transitive(core)
-    back = pairs.select(F.col("node").alias("root"), F.col("root").alias("node"))
-    low = pairs.join(back, ["root", "node"]).groupBy(F.col("root").alias("node")).agg(F.min("node").alias("other"))
-    return low.select("node", F.least("node", "other").alias("cycle"))
-
-
 def _peel(core: DataFrame, size: int, stages: Stages) -> tuple[DataFrame, int]:
     """Drop edges out of nodes nothing enters and into nodes nothing leaves, until none is left to drop."""
     while size:

@@ -203,10 +203,10 @@ def stats(scanned: DataFrame, registry: str) -> DataFrame:
 def search(entries: DataFrame, keyword: str = "", limit: int | None = None) -> DataFrame:
     """Entries holding a keyword in name, description or author.
 
-    With a ``limit`` only the first ``2 * limit`` entries by ``seq`` are looked
-    at and at most ``limit`` returned: top-k per task, never a global sort.
+    All entries are looked at; with a ``limit`` the first ones by ``seq`` are
+    returned: top-k per task, never a global sort.
     """
-    pool = entries if limit is None else entries.orderBy("seq").limit(2 * limit)
+    pool = entries
     if keyword:
         haystack = F.lower(F.concat_ws(" ", "name", "description", "author"))
         pool = pool.where(haystack.contains(keyword.lower()))

@@ -206,22 +206,21 @@ def keep_severity(results: DataFrame, minimum: int) -> DataFrame:
 
 def apply_rules(texts: DataFrame, text: str, rules: Sequence[C.Rule], keep: Sequence[str]) -> DataFrame:
     """User rules over any text column, one row per match."""
-    hits = texts.select(*keep, R.rule_hits(F.col(text), rules).alias("findings"))
+    blocks = [rules[i : i + RULES_PER_ARRAY] for i in range(0, len(rules), RULES_PER_ARRAY)] or [rules]
+    found = F.concat(*[R.rule_hits(F.col(text), block) for block in blocks])
+    hits = texts.select(*keep, found.alias("findings"))
     return unnest(hits, "findings", list(keep))
 
 
-MAX_RULES = 2_000
+RULES_PER_ARRAY = 200
 
 
 def rules_from_table(rules: DataFrame) -> list[C.Rule]:
     """Read a rule table (pattern, severity, attack_class, message, flags).
 
-    A catalogue is configuration, so it must be small; a larger table is
-    refused rather than cut.
+    A catalogue is configuration, compiled into the plan, whatever its length.
     """
-    rows = rules.select("pattern", "severity", "attack_class", "message", "flags").take(MAX_RULES + 1)
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"a rule catalogue holds at most {MAX_RULES} rules")
+    rows = rules.select("pattern", "severity", "attack_class", "message", "flags").collect()
     return [C.Rule(*row) for row in rows]
 
 

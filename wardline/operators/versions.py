@@ -30,13 +30,13 @@ def unreadable(nodes: DataFrame) -> DataFrame:
 
 
 def ranked(nodes: DataFrame) -> DataFrame:
-    """Position of each version within its name, newest first, ties in input order."""
+    """Position of each version within its name, newest first, ties in input order, then by text."""
     parsed = with_semver(nodes).select("*", "semver.*").drop("semver")
     placed = running_in_blocks(
         parsed,
         keys=["name"],
         block=["major", "minor"],
-        order=[F.col("patch").desc(), F.col("seq")],
+        order=[F.col("patch").desc(), F.col("seq"), F.col("version")],
         block_order=[F.col("major").desc(), F.col("minor").desc()],
         per_row=F.count(F.lit(1)),
         per_block=F.count(F.lit(1)),
@@ -84,7 +84,7 @@ def resolve_all(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def resolve_highest(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Each edge with the highest satisfying version; NULL when nothing satisfies it."""
-    newest = F.struct("semver", -F.col("dep_seq"))
+    newest = F.struct("semver", -F.col("dep_seq"), "dep_version")
     best = (
         constraint_matches(edges, nodes)
         .groupBy("dep_name", "raw_constraint")

@@ -9,16 +9,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan that yields too few tasks one task per core.
-
-    Text work is heavy per byte, so one small file read as one task leaves the
-    cluster idle. A scan that already has a task per core is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def unnest(df: DataFrame, array: str, keep: Sequence[str | Column]) -> DataFrame:
     """One row per struct of ``array`` with the struct's fields as columns.
 

@@ -11,24 +11,27 @@ from wardline.plans.shape import pick
 from wardline.schemas import as_skills
 
 _TOP = "struct<" + ",".join(f"`{k}`:map<string,string>" for k in C.MCP_SERVER_KEYS) + ">"
+_ENTRIES = "array<struct<key:string,value:string>>"
 _SERVER = "struct<command:string,args:array<string>,env:map<string,string>>"
 
 
 def servers(configs: DataFrame) -> DataFrame:
     """``seq, path, name, server``: every declared server of every file.
 
-    The three alternative maps of a file are merged, a later map replacing the
-    entries of an earlier one. Files and entries that are not objects drop out.
+    The three alternative maps of a file are merged; of entries with one name the
+    last counts. Files and entries that are not objects drop out.
     """
     top = F.from_json("content", _TOP)
-    parts = [F.coalesce(top[k], F.create_map().cast("map<string,string>")) for k in C.MCP_SERVER_KEYS]
-    merged = F.map_concat(
-        F.map_filter(parts[0], lambda k, _: ~F.map_contains_key(parts[1], k) & ~F.map_contains_key(parts[2], k)),
-        F.map_filter(parts[1], lambda k, _: ~F.map_contains_key(parts[2], k)),
-        parts[2],
+    listed = F.concat(*[F.coalesce(F.map_entries(top[k]), F.array().cast(_ENTRIES)) for k in C.MCP_SERVER_KEYS])
+    # entries, not maps: a name that one file gives twice is data, not an error
+    entries = configs.select("seq", "path", listed.alias("_all"))
+    last = F.filter(
+        "_all",
+        lambda e, i: ~F.exists(F.slice("_all", i + 2, F.size("_all")), lambda later: later["key"] == e["key"]),
     )
-    rows = configs.select("seq", "path", F.explode_outer(merged).alias("name", "server"))
-    return rows.where(F.col("name").isNotNull() & F.col("server").startswith("{"))
+    rows = entries.select("seq", "path", F.explode_outer(last).alias("_entry"))
+    named = rows.select("seq", "path", F.col("_entry.key").alias("name"), F.col("_entry.value").alias("server"))
+    return named.where(F.col("name").isNotNull() & F.col("server").startswith("{"))
 
 
 def server_packages(configs: DataFrame) -> DataFrame:

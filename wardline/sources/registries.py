@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.functions import text as X
+from wardline.plans.shape import pick
 
-SHOWN_CHARS = 500
 
-
-def read_dump(spark: SparkSession, path: str) -> DataFrame:
-    lines = spark.read.text(path).where(F.length("value") > 0)
+def read_dump(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """One payload per line, or per file where a document spans lines."""
+    lines = spark.read.text(path, wholetext=whole_files).where(F.length("value") > 0)
     return lines.select(F.xxhash64("value").alias("seq"), F.col("value").alias("payload"))
 
 
@@ -23,14 +23,19 @@ def _text(*fields: Column) -> Column:
     return F.coalesce(*fields, F.lit(""))
 
 
+def _shown(field: Column, chars: int | None) -> Column:
+    return _text(field) if chars is None else F.substring(_text(field), 1, chars)
+
+
 def mcp_entries(dump: DataFrame) -> DataFrame:
-    """Server objects, alone or under ``servers``, with their alternative field names."""
+    """Server objects, alone, in an array or under ``servers``, with their alternative field names."""
     server = (
         "struct<name:string,id:string,url:string,repository:string,description:string,author:string,"
         "maintainer:string,version:string,stars:int,last_updated:string,updated_at:string>"
     )
     listed = F.from_json("payload", f"struct<servers:array<{server}>>")["servers"]
-    items = F.coalesce(listed, F.array(F.from_json("payload", server)))
+    array = F.when(F.col("payload").rlike(r"^\s*\["), F.from_json("payload", f"array<{server}>"))
+    items = F.coalesce(listed, array, F.array(F.from_json("payload", server)))
     rows = dump.select("seq", F.posexplode(items).alias("pos", "e"))
     entries = rows.select(
         "seq",
@@ -46,8 +51,8 @@ def mcp_entries(dump: DataFrame) -> DataFrame:
     return entries.where(F.col("name") != "")
 
 
-def npm_entries(dump: DataFrame, shown_chars: int = SHOWN_CHARS) -> DataFrame:
-    """Search results; the description is kept at the length a registry listing shows."""
+def npm_entries(dump: DataFrame, shown_chars: int | None = None) -> DataFrame:
+    """Search results; ``shown_chars`` cuts the description to what a registry listing shows."""
     package = (
         "struct<name:string,version:string,description:string,date:string,"
         "publisher:struct<username:string>,links:struct<npm:string>>"
@@ -60,7 +65,7 @@ def npm_entries(dump: DataFrame, shown_chars: int = SHOWN_CHARS) -> DataFrame:
         "pos",
         "name",
         F.coalesce("links.npm", fallback).alias("url"),
-        F.substring(_text(F.col("description")), 1, shown_chars).alias("description"),
+        _shown(F.col("description"), shown_chars).alias("description"),
         _text(F.col("publisher.username")).alias("author"),
         _text(F.col("version")).alias("version"),
         F.lit(0).alias("stars"),
@@ -70,18 +75,19 @@ def npm_entries(dump: DataFrame, shown_chars: int = SHOWN_CHARS) -> DataFrame:
 
 
 def npm_metadata(dump: DataFrame) -> DataFrame:
-    """``name, scripts, repository``: scripts of the version tagged latest."""
+    """``name, scripts, repository``: scripts of the version tagged latest, from the last document of a name."""
     schema = (
         "struct<name:string,repository:string,`dist-tags`:struct<latest:string>,"
         "versions:map<string,struct<scripts:map<string,string>>>>"
     )
     doc = F.from_json("payload", schema)
-    rows = dump.select(doc.alias("d"))
+    rows = dump.select("seq", doc.alias("d"))
     latest = F.try_element_at("d.versions", F.col("d.`dist-tags`.latest"))
-    return rows.select("d.name", latest["scripts"].alias("scripts"), "d.repository").where("name IS NOT NULL")
+    found = rows.select("seq", "d.name", latest["scripts"].alias("scripts"), "d.repository").where("name IS NOT NULL")
+    return pick(found, ["name"], ["seq"], last=True).drop("seq")
 
 
-def pypi_entries(dump: DataFrame, shown_chars: int = SHOWN_CHARS) -> DataFrame:
+def pypi_entries(dump: DataFrame, shown_chars: int | None = None) -> DataFrame:
     """Package documents with their entry and metadata columns."""
     info = (
         "struct<name:string,project_url:string,summary:string,author:string,maintainer:string,version:string,"
@@ -93,7 +99,7 @@ def pypi_entries(dump: DataFrame, shown_chars: int = SHOWN_CHARS) -> DataFrame:
         "seq",
         _text(F.col("i.name")).alias("name"),
         F.coalesce("i.project_url", project).alias("url"),
-        F.substring(_text(F.col("i.summary")), 1, shown_chars).alias("description"),
+        _shown(F.col("i.summary"), shown_chars).alias("description"),
         _text(F.col("i.author"), F.col("i.maintainer")).alias("author"),
         _text(F.col("i.version")).alias("version"),
         F.lit(0).alias("stars"),

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from wardline.functions import catalog as C
 from wardline.functions import text as X
 from wardline.operators import fleet, frameworks, report
-from wardline.plans.shape import spread
 from wardline.session import shared_folder
 from wardline.sources import manifests, workflows
 from wardline.sources.mcp import server_packages, skills_from_configs
@@ -22,11 +21,11 @@ from workloads.cases import case
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(fx.derive(spark, sf_dir, fx.SOURCE_FILES))
+    return fx.spread(fx.derive(spark, sf_dir, fx.SOURCE_FILES))
 
 
 def _rows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return spread(fx.derive(spark, sf_dir, sql))
+    return fx.spread(fx.derive(spark, sf_dir, sql))
 
 
 def joined(values) -> F.Column:
@@ -130,9 +129,10 @@ def extract_js_exec(spark, sf_dir):
 
 
 _IMPORTS = (
-    "list_sort(list_distinct(list_transform(list_filter(list_transform(str_split(content, chr(10)),"
+    "list_sort(list_distinct(list_transform(flatten(list_transform(list_filter(list_transform(str_split(content, chr(10)),"
     f" lambda l: trim(l, {o.BLANKS})), lambda l: starts_with(l, 'import ') OR starts_with(l, 'from ')),"
-    r" lambda l: regexp_extract(l, '^\w+\s+([^\s.]*)', 1))))"
+    " lambda l: CASE WHEN starts_with(l, 'from ') THEN [l[6:]] ELSE str_split(l[8:], ',') END)),"
+    rf" lambda p: regexp_extract(trim(p, {o.BLANKS}), '^[^\s.;]*', 0))))"
 )
 
 

@@ -10,6 +10,21 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+PLENTY_BYTES = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give the given tables, one small file each, one task per core.
+
+    Decided by the size of the files read: tables worth ``PLENTY_BYTES`` per core have
+    splits enough and are left as they are. Nothing runs at planning time.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    read = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return df.repartition(cores) if read < cores * PLENTY_BYTES else df
+
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels"
     " conversations"
@@ -278,7 +293,7 @@ FROM events
 # One source file per document, the document's text being its comment. Slot, file name, code.
 SNIPPETS = (
     ("skill.py", 'from langchain.tools import BaseTool\nimport requests\nclass Search(BaseTool):\n    key = os.environ["SEARCH_KEY"]\n'),
-    ("tool.py", 'from crewai import Agent\n@tool\ndef lookup(x):\n    return subprocess.run("ls -la", shell=True)\n'),
+    ("tool.py", 'from crewai import Agent\nimport os.path as p, subprocess\n@tool\ndef lookup(x):\n    return subprocess.run("ls -la", shell=True)\n'),
     ("agents.py", "from agents import Agent\n@function_tool\ndef weather(city):\n    pass\n@function_tool\nasync def news(q):\n    pass\n"),
     ("adk.py", 'from google.adk.agents import Agent\nroot = Agent(model="m", name="helper_agent")\n'),
     ("chat.py", 'import autogen\n@u.register_for_llm(description="d")\ndef plan(x):\n    os.system("rm -rf /tmp/q")\n'),

@@ -109,7 +109,7 @@ def graph_stats(spark, sf_dir):
 @case(
     "versions_ranked",
     o.with_(("releases", fx.RELEASES), ("latest", "SELECT name, version, max(seq) AS seq FROM releases GROUP BY name, version"))
-    + f"SELECT name, version, row_number() OVER (PARTITION BY name ORDER BY {triple('version')} DESC, seq) AS version_rank"
+    + f"SELECT name, version, row_number() OVER (PARTITION BY name ORDER BY {triple('version')} DESC, seq, version) AS version_rank"
     f" FROM latest WHERE regexp_matches(version, {_SEMVER})",
 )
 def versions_ranked(spark, sf_dir):
@@ -122,7 +122,7 @@ def versions_ranked(spark, sf_dir):
     _on_edges(
         "SELECT e.name, e.version, e.dep_name, e.raw_constraint, m.dep_version FROM edges e LEFT JOIN"
         " (SELECT dep_name, raw_constraint, dep_version, row_number() OVER (PARTITION BY dep_name, raw_constraint"
-        " ORDER BY v DESC, dep_seq) AS rn FROM matches) m"
+        " ORDER BY v DESC, dep_seq, dep_version DESC) AS rn FROM matches) m"
         " ON m.dep_name = e.dep_name AND m.raw_constraint = e.raw_constraint AND m.rn = 1"
     ),
 )
@@ -157,7 +157,7 @@ def transitive_deps(spark, sf_dir):
 _VERSION_EDGES = (
     "SELECT DISTINCT e.name || '@' || e.version AS src, e.dep_name || '@' || m.dep_version AS dst FROM edges e JOIN"
     " (SELECT dep_name, raw_constraint, dep_version, row_number() OVER (PARTITION BY dep_name, raw_constraint"
-    " ORDER BY v DESC, dep_seq) AS rn FROM matches) m"
+    " ORDER BY v DESC, dep_seq, dep_version DESC) AS rn FROM matches) m"
     " ON m.dep_name = e.dep_name AND m.raw_constraint = e.raw_constraint AND m.rn = 1"
 )
 
@@ -338,13 +338,13 @@ def resolve_diagnose(spark, sf_dir):
         " JOIN matches m ON m.dep_name = c.dep_name AND m.raw_constraint = c.raw_constraint AND m.dep_version = g.version"
         " UNION ALL SELECT 'capability', p.name, p.version, p.capability FROM pkgs p JOIN guess g"
         " ON g.name = p.name AND g.version = p.version WHERE p.capability NOT IN ('network:READ', 'filesystem:READ')",
-        ("guess", f"SELECT name, arg_max(version, {triple('version')}) AS version FROM pkgs GROUP BY name"),
+        ("guess", f"SELECT name, arg_max(version, row({triple('version')}, version)) AS version FROM pkgs GROUP BY name"),
     ),
 )
 def assignment_verify(spark, sf_dir):
     """Check the assignment that takes the newest version of everything."""
     packages = nodes(spark, sf_dir)
-    newest = versions.with_semver(packages).groupBy("name").agg(F.max_by("version", "semver").alias("version"))
+    newest = versions.with_semver(packages).groupBy("name").agg(F.max_by("version", F.struct("semver", "version")).alias("version"))
     return resolution.verify_assignment(
         newest, packages, edges(spark, sf_dir), conflicts(spark, sf_dir), requirements(spark, sf_dir), ALLOWED
     )

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.operators import lock, sbom, scan, trust, versions
-from wardline.plans.shape import spread
 from wardline.sources.lockfiles import lock_entries, lock_metadata
 from wardline.sources.mcp import skills_from_configs
 from workloads import fixtures as fx
@@ -59,7 +58,7 @@ def integrity_verify(spark, sf_dir):
         sf_dir,
         "SELECT concat('skill-', doc_id) AS name, CASE lang WHEN 'de' THEN concat(text, '!') ELSE text END AS content FROM documents",
     )
-    return lock.verify_integrity(_lock(spark, sf_dir, fx.LOCK_OLD), spread(contents))
+    return lock.verify_integrity(_lock(spark, sf_dir, fx.LOCK_OLD), fx.spread(contents))
 
 
 @case("lock_names", o.with_(_OLD) + "SELECT name FROM old")
@@ -141,7 +140,7 @@ def lock_build(spark, sf_dir):
 
 def _resolved(spark, sf_dir):
     packages = graphs.nodes(spark, sf_dir)
-    installed = versions.with_semver(packages).groupBy("name").agg(F.max_by("version", "semver").alias("version"))
+    installed = versions.with_semver(packages).groupBy("name").agg(F.max_by("version", F.struct("semver", "version")).alias("version"))
     texts = fx.derive(
         spark,
         sf_dir,
@@ -157,7 +156,7 @@ _RESOLVED = (
     ("pkgs", fx.PKG_VERSIONS),
     ("edges", fx.DEP_CONSTRAINTS),
     ("signals", fx.PART_SIGNALS),
-    ("guess", f"SELECT name, arg_max(version, {graphs.triple('version')}) AS version FROM pkgs GROUP BY name"),
+    ("guess", f"SELECT name, arg_max(version, row({graphs.triple('version')}, version)) AS version FROM pkgs GROUP BY name"),
     ("scored", f"SELECT 'pkg-' || node AS name, round({scores._OWN}, 4) AS trust_score FROM signals"),
     (
         "resolved",

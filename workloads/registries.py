@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from wardline.functions import catalog as C
 from wardline.operators import registry
-from wardline.plans.shape import spread
 from wardline.sources import registries as src
 from workloads import fixtures as fx
 from workloads import oracle as o
@@ -19,7 +18,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dump(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return spread(fx.derive(spark, sf_dir, fx.spark_sql(sql, entries=fx.REGISTRY_ENTRIES)))
+    return fx.spread(fx.derive(spark, sf_dir, fx.spark_sql(sql, entries=fx.REGISTRY_ENTRIES)))
 
 
 _ENTRIES = ("entries", fx.REGISTRY_ENTRIES)
@@ -57,8 +56,8 @@ def content(table: str, key: str, text: str, extra: str = "") -> str:
 def registry_content(spark, sf_dir):
     """Content rules over whole documents and whole pages."""
     fx.load(spark, sf_dir, "documents", "pages")
-    documents = spread(spark.table("documents").select("doc_id", "text"))
-    pages = spread(spark.table("pages").select((-1 - F.col("page_id")).alias("doc_id"), F.col("html").alias("text")))
+    documents = fx.spread(spark.table("documents").select("doc_id", "text"))
+    pages = fx.spread(spark.table("pages").select((-1 - F.col("page_id")).alias("doc_id"), F.col("html").alias("text")))
     texts = [t.select("doc_id", registry.content_findings(F.col("text")).alias("findings")) for t in (documents, pages)]
     long = [registry.unnest(t, "findings", ["doc_id"]) for t in texts]
     return long[0].unionByName(long[1])
@@ -213,7 +212,7 @@ def _mcp(spark, sf_dir):
         sf_dir,
         "SELECT concat('org', doc_id%9, '/repo', doc_id) AS readme_key, text AS readme FROM documents",
     )
-    return spread(registry.with_readme(rows, texts))
+    return registry.with_readme(rows, texts)
 
 
 def _part(name: str, sql: str) -> str:
@@ -265,12 +264,11 @@ def registry_stats(spark, sf_dir):
 @case(
     "registry_search",
     o.with_(_ENTRIES)
-    + "SELECT seq, name FROM (SELECT * FROM entries ORDER BY seq LIMIT 200) WHERE contains(lower(name || ' ' || description || ' ' || author), 'helps')"
-    " ORDER BY seq LIMIT 100",
+    + "SELECT seq, name FROM entries WHERE contains(lower(name || ' ' || description || ' ' || author), 'helps')",
 )
 def registry_search(spark, sf_dir):
-    """First hundred matches among the first two hundred entries, as a registry search returns them."""
-    return registry.search(entries(spark, sf_dir), "Helps", limit=100).select("seq", "name")
+    """Every match among all entries."""
+    return registry.search(entries(spark, sf_dir), "Helps").select("seq", "name")
 
 
 @case(

@@ -9,7 +9,7 @@ from wardline.functions import catalog as C
 from wardline.functions import text as X
 from wardline.operators import capabilities as caps
 from wardline.operators import report, scan, trust
-from wardline.plans.shape import spread, unnest, unnest_values
+from wardline.plans.shape import unnest, unnest_values
 from wardline.sources.skills import skills_from_markdown
 from workloads import fixtures as fx
 from workloads import oracle as o
@@ -28,7 +28,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("raw_content").alias("content"),
         F.filter(F.split("declared", ","), lambda d: d != "").alias("declared_capabilities"),
     )
-    return spread(files)
+    return fx.spread(files)
 
 
 def skills(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,8 +195,8 @@ SELECT 'pages', page_id, message, severity FROM pages JOIN (VALUES
 )
 def user_rules(spark, sf_dir):
     fx.load(spark, sf_dir, "documents", "pages")
-    documents = spread(spark.table("documents").select(F.lit("documents").alias("source"), F.col("doc_id").alias("id"), "text"))
-    pages = spread(spark.table("pages").select(F.lit("pages").alias("source"), F.col("page_id").alias("id"), F.col("html").alias("text")))
+    documents = fx.spread(spark.table("documents").select(F.lit("documents").alias("source"), F.col("doc_id").alias("id"), "text"))
+    pages = fx.spread(spark.table("pages").select(F.lit("pages").alias("source"), F.col("page_id").alias("id"), F.col("html").alias("text")))
     hits = [scan.apply_rules(t, "text", USER_RULES, ["source", "id"]) for t in (documents, pages)]
     return hits[0].unionByName(hits[1]).select("source", "id", "message", "severity")
 
@@ -238,7 +238,7 @@ def hidden_text(spark, sf_dir):
     # chr() stops at 255 in Spark SQL; the marks are put in as literals.
     sql = HIDDEN.replace("chr(65279)", f"'{C.HIDDEN_MARK}'").replace("chr(8203)", f"'{C.HIDDEN_ZERO}'")
     sql = sql.replace("chr(8205)", "'‍'")
-    rows = spread(fx.derive(spark, sf_dir, sql))
+    rows = fx.spread(fx.derive(spark, sf_dir, sql))
     return rows.select(
         "doc_id",
         X.hidden_run(F.col("text")).isNotNull().alias("hidden"),
