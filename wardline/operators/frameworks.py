@@ -72,15 +72,48 @@ def _zipped(format: str, kind: str, names: Column, texts: Column) -> Column:
     return F.transform(names, entry)
 
 
-def _named(format: str, kind: str, prefix: str, names: Column) -> Column:
-    return F.transform(names, lambda n: _definition(format, kind, F.concat(F.lit(prefix), n) if prefix else n))
+def _named(format: str, kind: str, prefix: str, names: Column, texts: Column | None) -> Column:
+    def full(name: Column) -> Column:
+        return F.concat(F.lit(prefix), name) if prefix else name
 
+    if texts is None:
+        return F.transform(names, lambda n: _definition(format, kind, full(n)))
+    return F.zip_with(names, texts, lambda n, t: _definition(format, kind, full(n), X.strip(t)))
 
-def _labelled(format: str, label: str, matches: Column) -> Column:
-    return F.transform(matches, lambda _: _definition(format, label, F.lit(label)))
 
+def _labelled(format: str, kind: str, label: str, matches: Column) -> Column:
+    return F.transform(matches, lambda _: _definition(format, kind, F.lit(label)))
 
-def definitions_column(content: Column, present: Column) -> Column:
+
+def _named_tools(content: Column) -> Column:
+    """Functions of the file that an agent's ``tools`` list names."""
+    listed = F.array_join(X.find_all(content, r"\btools\s*=\s*\[([^\]]*+)\]", 1), " ")
+    names = F.array_except(F.split(listed, r"\W+"), X.literals([*C.ADK_BUILTIN_TOOLS, ""]))
+    return F.array_intersect(X.find_all(content, r"\bdef\s+(\w+)", 1), names)
+
+
+def file_stem(path: Column) -> Column:
+    return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
+
+
+def _server_tools(content: Column) -> Column:
+    patterns = [(p, flags) for format, kind, p, flags, _ in C.DEFINITION_PATTERNS if (format, kind) == ("mcp_server", "tool")]
+    return F.concat(*[X.find_all(content, p, 1, flags) for p, flags in patterns])
+
+
+def _of_the_file(content: Column, present: Column, path: Column) -> Column:
+    """Definitions that stand for a whole file: a server, or a module with references only."""
+    tools, stem = _server_tools(content), file_stem(path)
+    about = F.concat(
+        F.lit("MCP server ("), F.size(tools).cast("string"), F.lit(" tools): "), F.array_join(F.slice(tools, 1, C.SHOWN_SERVER_TOOLS), ", ")
+    )
+    server = F.when(F.array_contains(present, "mcp_server"), _definition("mcp_server", "server", stem, about))
+    action = next(p for format, kind, p, *_ in C.DEFINITION_PATTERNS if (format, kind) == ("composio", "action"))
+    bare = F.array_contains(present, "composio") & ~X.matches(content, action) & (F.size(X.action_refs(content)) > 0)
+    return F.array_compact(F.array(server, F.when(bare, _definition("composio", "module", stem)))).cast(_DEFINITION)
+
+
+def definitions_column(content: Column, present: Column, path: Column) -> Column:
     """Array of definitions for the formats in ``present``; others are not searched for."""
     none = F.array().cast(_DEFINITION)
     parts = []
@@ -89,10 +122,14 @@ def definitions_column(content: Column, present: Column) -> Column:
         if format == "mastra":
             found = _zipped(format, kind, names, _mastra_text(content, kind))
         else:
-            found = _named(format, kind, prefix, names)
+            texts = X.find_all(content, pattern, 2, flags) if pattern.endswith(C.FUNCTION_TAIL) else None
+            found = _named(format, kind, prefix, names, texts)
         parts.append(F.when(F.array_contains(present, format), found.cast(_DEFINITION)).otherwise(none))
-    for format, label, pattern in C.LABELLED_PATTERNS:
-        found = _labelled(format, label, X.find_all(content, pattern))
+    adk = _named("google_adk", "function_tool", "", _named_tools(content), None).cast(_DEFINITION)
+    parts.append(F.when(F.array_contains(present, "google_adk"), adk).otherwise(none))
+    parts.append(_of_the_file(content, present, path))
+    for format, kind, label, pattern in C.LABELLED_PATTERNS:
+        found = _labelled(format, kind, label, X.find_all(content, pattern))
         parts.append(F.when(F.array_contains(present, format), found.cast(_DEFINITION)).otherwise(none))
     for kind, names in (("toolkit", tuple(C.CAMEL_TOOLKITS)), ("agent", C.CAMEL_AGENTS)):
         hits = [
@@ -109,7 +146,7 @@ def definitions_column(content: Column, present: Column) -> Column:
 def definitions(files: DataFrame) -> DataFrame:
     """``seq, path, format, kind, name, description``: one row per tool, agent or class."""
     known = files.select("seq", "path", "content", formats(F.col("path"), F.col("content")).alias("formats"))
-    found = known.select("seq", "path", definitions_column(F.col("content"), F.col("formats")).alias("found"))
+    found = known.select("seq", "path", definitions_column(F.col("content"), F.col("formats"), F.col("path")).alias("found"))
     return unnest(found, "found", ["seq", "path"])
 
 
@@ -194,13 +231,13 @@ def tool_reference_capabilities(names: Column, builtins: Sequence[str] = C.ADK_B
 
 
 def skills_from_source(files: DataFrame) -> DataFrame:
-    """Skill rows, one per definition, ready for the analyser."""
+    """Skill rows, one per definition, ready for the analyser; a server file is one row, tools and all."""
     known = files.select("seq", "path", "content", formats(F.col("path"), F.col("content")).alias("formats"))
     found = unnest(
-        known.select("seq", "path", "content", definitions_column(F.col("content"), F.col("formats")).alias("found")),
+        known.select("seq", "path", "content", definitions_column(F.col("content"), F.col("formats"), F.col("path")).alias("found")),
         "found",
         ["seq", "path", "content"],
-    )
+    ).where((F.col("format") != "mcp_server") | (F.col("kind") == "server"))
     script = F.col("format").isin("mastra", "mcp_server") & ~F.col("path").rlike(r"\.py$")
     text = F.col("content")
     env_js = X.env_in_js(text)
@@ -211,6 +248,7 @@ def skills_from_source(files: DataFrame) -> DataFrame:
         "format",
         "description",
         F.when(script, js_capabilities(text, env_js, C.JS_EXEC_MARKERS))
+        .when(F.col("format") == "mcp_server", python_capabilities(text, X.python_imports(text), X.env_in_python(text)))
         .when(F.col("format") == "composio", X.action_refs(text))
         .when(F.col("format") == "camel", toolkit_capabilities(F.col("name")))
         .otherwise(F.array().cast("array<string>"))
@@ -218,7 +256,10 @@ def skills_from_source(files: DataFrame) -> DataFrame:
         F.when(script, F.array().cast("array<string>")).otherwise(X.python_imports(text)).alias("dependencies"),
         F.array(text).alias("code_blocks"),
         F.when(script, X.urls_in_code(text)).otherwise(X.urls(text)).alias("urls"),
-        F.when(script, env_js).otherwise(X.env_secret_refs(text)).alias("env_vars"),
+        F.when(script, env_js)
+        .when(F.col("format") == "mcp_server", X.env_in_python(text))
+        .otherwise(X.env_secret_refs(text))
+        .alias("env_vars"),
         F.when(script, X.js_exec_markers(text)).otherwise(X.shell_call_strings(text)).alias("shell_commands"),
         text.alias("raw_content"),
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import catalog as C
 from wardline.functions import text as X
-from wardline.operators import fleet, frameworks, report
+from wardline.operators import fleet, frameworks, report, scan
 from wardline.session import shared_folder
 from wardline.sources import manifests, workflows
 from wardline.sources.mcp import server_packages, skills_from_configs
@@ -164,47 +164,97 @@ def extract_action_refs(spark, sf_dir):
 
 # --- frameworks --------------------------------------------------------------------------
 
-_DETECT = " UNION ".join(
-    f"SELECT seq, path, {o.q(name)} AS format FROM files WHERE regexp_matches(path, {o.q(path)})"
-    + (f" AND regexp_matches(content, {o.q(content)})" if content else "")
-    for name, path, content in C.FRAMEWORK_MARKERS
+# Formats of each snippet's file, by slot, as a reader of the snippets would list them.
+_FORMATS = (
+    (0, "langchain"), (1, "crewai"), (1, "langchain"), (2, "openai_agents"), (3, "google_adk"), (4, "autogen"), (5, "composio"),
+    (6, "semantic_kernel"), (7, "llamaindex"), (8, "mastra"), (9, "pydanticai"), (10, "agno"), (11, "camel"), (12, "metagpt"),
+    (13, "haystack"), (14, "anthropic_sdk"), (14, "langchain"), (15, "mcp_server"), (16, "mcp_server"), (20, "openai_agents"),
+    (21, "google_adk"), (22, "langchain"), (23, "autogen"), (24, "composio"), (25, "semantic_kernel"), (26, "llamaindex"),
+    (27, "pydanticai"), (28, "camel"), (29, "metagpt"), (30, "haystack"), (31, "anthropic_sdk"), (32, "mcp_server"), (33, "claude"),
+    (34, "openclaw"), (35, "dify"),
+)
+# Their definitions: slot, format, kind, name, description.
+_DEFINITIONS = (
+    (0, "langchain", "class", "Search", ""),
+    (1, "crewai", "function", "lookup", ""),
+    (1, "langchain", "function", "lookup", ""),
+    (2, "openai_agents", "function_tool", "weather", ""),
+    (2, "openai_agents", "function_tool", "news", ""),
+    (3, "google_adk", "agent", "helper_agent", ""),
+    (4, "autogen", "function", "plan", ""),
+    (5, "composio", "action", "star", ""),
+    (6, "semantic_kernel", "function", "greet", ""),
+    (7, "llamaindex", "function_tool", "function_tool", ""),
+    (7, "llamaindex", "react_agent", "react_agent", ""),
+    (8, "mastra", "tool", "fetch-page", "Gets a page"),
+    (8, "mastra", "agent", "guide", "Mastra agent: Be kind"),
+    (9, "pydanticai", "agent", "agent_openai:gpt", ""),
+    (9, "pydanticai", "function", "roll", ""),
+    (10, "agno", "agent", "web helper", ""),
+    (10, "agno", "toolkit", "Kit", ""),
+    (11, "camel", "toolkit", "SearchToolkit", "CAMEL-AI SearchToolkit"),
+    (11, "camel", "toolkit", "MathToolkit", "CAMEL-AI MathToolkit"),
+    (11, "camel", "agent", "ChatAgent", "CAMEL-AI ChatAgent"),
+    (12, "metagpt", "class", "Writer", ""),
+    (12, "metagpt", "function", "count", ""),
+    (13, "haystack", "tool", "search_docs", ""),
+    (14, "anthropic_sdk", "function", "read_it", ""),
+    (14, "langchain", "function", "read_it", ""),
+    (15, "mcp_server", "tool", "list_files", ""),
+    (15, "mcp_server", "server", "server", "MCP server (1 tools): list_files"),
+    (16, "mcp_server", "server", "server", "MCP server (0 tools): "),
+    (20, "openai_agents", "function_tool", "find", "Finds things."),
+    (20, "openai_agents", "agent", "helper", ""),
+    (20, "openai_agents", "hosted_tool", "WebSearchTool", ""),
+    (20, "openai_agents", "mcp_server", "MCPServerStdio", ""),
+    (20, "openai_agents", "mcp_server", "https://m.example.com", ""),
+    (21, "google_adk", "agent", "dice", ""),
+    (21, "google_adk", "function_tool", "roll", ""),
+    (21, "google_adk", "callback", "guard", ""),
+    (21, "google_adk", "mcp_toolset", "mcp_toolset", ""),
+    (22, "langchain", "class", "Deep", ""),
+    (22, "langchain", "function", "look", ""),
+    (23, "autogen", "schema", "fetch_it", ""),
+    (24, "composio", "module", "refs", ""),
+    (25, "semantic_kernel", "function", "wave", "Waves."),
+    (26, "llamaindex", "reader", "WikipediaReader", ""),
+    (27, "pydanticai", "function", "spin", ""),
+    (28, "camel", "function_tool", "add", ""),
+    (29, "metagpt", "function", "sum_up", ""),
+    (29, "metagpt", "class", "Boss", ""),
+    (30, "haystack", "component", "reader", ""),
+    (31, "anthropic_sdk", "agent", "critic", ""),
+    (31, "anthropic_sdk", "mcp_server", "local", ""),
+    (31, "anthropic_sdk", "hook", "hook", ""),
+    (32, "mcp_server", "tool", "run", "Runs it."),
+    (32, "mcp_server", "server", "server2", "MCP server (1 tools): run"),
 )
 
 
+def _by_slot(rows, columns: str) -> str:
+    listed = ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else o.q(v) for v in row) + ")" for row in rows)
+    return f"SELECT seq, path, {columns} FROM files JOIN (VALUES {listed}) AS e(slot, {columns}) ON seq % {len(fx.SNIPPETS)} = slot"
+
+
+_DETECT = _by_slot(_FORMATS, "format")
+
+
 @case("framework_detect", o.with_(_FILES) + _DETECT)
 def framework_detect(spark, sf_dir):
     return frameworks.detect(files(spark, sf_dir))
 
 
-_NAMED = " UNION ALL ".join(
-    f"SELECT seq, d.path, format, {o.q(kind)} AS kind, {o.q(prefix)} || unnest("
-    + o.find_all("content", (f"(?{flags})" if flags else "") + pattern, 1)
-    + f") AS name FROM detected d JOIN files USING (seq) WHERE format = {o.q(name)}"
-    for name, kind, pattern, flags, prefix in C.DEFINITION_PATTERNS
-)
-_LABELLED = " UNION ALL ".join(
-    f"SELECT seq, path, format, {o.q(label)}, {o.q(label)} FROM (SELECT seq, d.path, format, unnest({o.find_all('content', pattern)})"
-    f" FROM detected d JOIN files USING (seq) WHERE format = {o.q(name)})"
-    for name, label, pattern in C.LABELLED_PATTERNS
-)
-_CAMEL = " UNION ALL ".join(
-    f"SELECT seq, d.path, format, '{kind}', {o.q(n)} FROM detected d JOIN files USING (seq) WHERE format = 'camel'"
-    rf" AND regexp_matches(content, '\b{n}\s*\(')"
-    for kind, names in (("toolkit", tuple(C.CAMEL_TOOLKITS)), ("agent", C.CAMEL_AGENTS))
-    for n in names
-)
-
-
-@case(
-    "framework_definitions",
-    o.with_(_FILES, ("detected", _DETECT), ("found", f"{_NAMED} UNION ALL {_LABELLED} UNION ALL {_CAMEL}"))
-    + "SELECT seq, path, format, kind, name, CASE WHEN format = 'camel' THEN 'CAMEL-AI ' || name WHEN name = 'fetch-page' THEN 'Gets a page'"
-    " WHEN name = 'guide' THEN 'Mastra agent: Be kind' ELSE '' END AS description FROM found",
-)
+@case("framework_definitions", o.with_(_FILES) + _by_slot(_DEFINITIONS, "format, kind, name, description"))
 def framework_definitions(spark, sf_dir):
     return frameworks.definitions(files(spark, sf_dir))
 
 
+@case("source_findings")
+def source_findings(spark, sf_dir):
+    """Source files through their definitions to findings."""
+    return scan.findings_of(scan.analyze(frameworks.skills_from_source(files(spark, sf_dir))))
+
+
 @case(
     "framework_catalogue",
     o.with_(_FILES, ("detected", _DETECT), ("known", "SELECT unnest([" + ", ".join(o.q(f) for f in C.FRAMEWORKS) + "]) AS framework"))
