@@ -5,10 +5,11 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry_points
-from workloads import compare
+from workloads import all_cases, compare
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
+QUERIES = {name: case.run for name, case in all_cases().items()}
+ORACLES = {name: case.sql for name, case in all_cases().items() if case.sql is not None}
 
 
 @pytest.fixture(scope="module")
@@ -27,6 +28,10 @@ def test_query(name, spark, db):
         assert got[1]
 
 
+def test_every_case_is_registered():
+    assert set(QUERIES) <= set(entry_points.queries()) and set(ORACLES) <= set(entry_points.oracle_sql())
+
+
 def test_entry(spark):
     df = entry_points.entry(spark)
     assert df.columns[:2] == ["seq", "skill_name"]
