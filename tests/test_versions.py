@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 
+import pytest
 from pyspark.sql import functions as F
 
 from wardline.functions import semver
@@ -97,3 +98,19 @@ def test_valid_assignment_breaks_nothing(spark):
     assert broken(("a", "1.0.0"), ("b", "2.0.0")) == ["dependency"]
     assert broken(("b", "1.0.0"), ("b", "2.0.0")) == ["at_most_one", "requirement"]
     assert broken(("a", "9.0.0")) == ["requirement", "unknown_version"] or broken(("a", "9.0.0")) == ["unknown_version"]
+
+
+@pytest.mark.parametrize("asked, offered", [(1, 3000), (60, 50), (300, 1)])
+def test_hot_names_are_split_on_both_sides(spark, asked, offered):
+    edges = spark.range(asked).selectExpr("'a' AS name", "'1' AS version", "'hot' AS dep_name", "concat('>=', id, '.0.0') AS raw_constraint")
+    nodes = spark.range(offered).selectExpr("id AS seq", "'hot' AS name", "concat(id, '.0.0') AS version")
+    got = versions.constraint_matches(edges, nodes, pairs_per_task=100)
+    assert got.count() == sum(max(0, offered - a) for a in range(asked))
+    assert got.select("raw_constraint", "dep_version").distinct().count() == got.count()
+
+
+def test_one_name_with_all_versions_is_ranked_over_ranges(spark):
+    nodes = spark.range(20_000).selectExpr("id % 7 AS seq", "'hot' AS name", "concat('0.0.', id) AS version")
+    rows = versions.ranked(nodes).collect()
+    assert sorted(r.version_rank for r in rows) == list(range(1, 20_001))
+    assert all(r.version == f"0.0.{20_000 - r.version_rank}" for r in rows)

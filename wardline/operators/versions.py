@@ -8,11 +8,12 @@ and edges only ever join to that reduced table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.semver import parse_constraint, parse_version, satisfies
 from wardline.plans.shape import pick, running_in_blocks
+from wardline.plans.stages import Stages
 
 
 def latest_nodes(nodes: DataFrame) -> DataFrame:
@@ -30,14 +31,21 @@ def unreadable(nodes: DataFrame) -> DataFrame:
 
 
 def ranked(nodes: DataFrame) -> DataFrame:
-    """Position of each version within its name, newest first, ties in input order, then by text."""
+    """Position of each version within its name, newest first, ties in input order, then by text.
+
+    All rows are dealt over ranges of name and order and ranked inside a range; the rows
+    of a name in earlier ranges are added from the ranges' counts. No name is too large.
+    """
+    stages = Stages(nodes.sparkSession, "ranked")
     parsed = with_semver(nodes).select("*", "semver.*").drop("semver")
+    order = [F.col("major").desc(), F.col("minor").desc(), F.col("patch").desc(), F.col("seq"), F.col("version")]
+    ranges = parsed.repartitionByRange(F.col("name"), *order).withColumn("_range", F.spark_partition_id())
     placed = running_in_blocks(
-        parsed,
+        stages.write(ranges),
         keys=["name"],
-        block=["major", "minor"],
-        order=[F.col("patch").desc(), F.col("seq"), F.col("version")],
-        block_order=[F.col("major").desc(), F.col("minor").desc()],
+        block=["_range"],
+        order=order,
+        block_order=[F.col("_range")],
         per_row=F.count(F.lit(1)),
         per_block=F.count(F.lit(1)),
         across=F.sum("_block"),
@@ -52,9 +60,9 @@ PAIRS_PER_TASK = 5_000_000
 def constraint_matches(edges: DataFrame, nodes: DataFrame, pairs_per_task: int = PAIRS_PER_TASK) -> DataFrame:
     """Each distinct ``(dep_name, raw_constraint)`` with every version that satisfies it.
 
-    A name with very many constraints and versions is split: its constraints are
-    dealt over as many slots as its pair count asks for, and its versions are
-    repeated once per slot. Other names keep one slot and are not repeated.
+    A name with very many pairs is split into a grid: its constraints are dealt over
+    rows and its versions over columns, as many cells as its pair count asks for and
+    shaped so that the longer side is split more. Each side is repeated along the other.
     """
     wanted = (
         edges.select("dep_name", "raw_constraint")
@@ -66,13 +74,20 @@ def constraint_matches(edges: DataFrame, nodes: DataFrame, pairs_per_task: int =
     )
     asked = edges.groupBy("dep_name").agg(F.count_distinct("raw_constraint").alias("_asked"))
     offered = nodes.groupBy(F.col("name").alias("dep_name")).agg(F.count(F.lit(1)).alias("_offered"))
-    slots = F.ceil(F.col("_asked") * F.col("_offered") / pairs_per_task).cast("int")
-    hot = asked.join(offered, "dep_name").select("dep_name", slots.alias("_slots")).where("_slots > 1")
-    slots = F.coalesce("_slots", F.lit(1))
-    dealt = wanted.join(hot, "dep_name", "left").withColumn("_slot", F.pmod(F.hash("raw_constraint"), slots))
-    repeated = have.join(hot, "dep_name", "left").withColumn("_slot", F.explode(F.sequence(F.lit(0), slots - 1)))
-    pairs = dealt.drop("_slots").join(repeated.drop("_slots"), ["dep_name", "_slot"])
-    return pairs.where(satisfies(F.col("semver"), F.col("_constraint"))).drop("_constraint", "_slot")
+    cells = F.ceil(F.col("_asked") * F.col("_offered") / pairs_per_task)
+    wide = F.greatest(F.least(F.ceil(F.sqrt(cells * F.col("_offered") / F.col("_asked"))), cells), F.lit(1))
+    grid = asked.join(offered, "dep_name").where(cells > 1)
+    grid = grid.select("dep_name", wide.cast("int").alias("_wide"), F.ceil(cells / wide).cast("int").alias("_high"))
+    wide, high = F.coalesce("_wide", F.lit(1)), F.coalesce("_high", F.lit(1))
+
+    def dealt(side: DataFrame, key: str, own: Column, mine: str, other: Column, theirs: str) -> DataFrame:
+        placed = side.join(grid, "dep_name", "left").withColumn(mine, F.pmod(F.hash(key), own))
+        return placed.withColumn(theirs, F.explode(F.sequence(F.lit(0), other - 1))).drop("_wide", "_high")
+
+    rows = dealt(wanted, "raw_constraint", high, "_row", wide, "_column")
+    columns = dealt(have, "dep_version", wide, "_column", high, "_row")
+    pairs = rows.join(columns, ["dep_name", "_row", "_column"])
+    return pairs.where(satisfies(F.col("semver"), F.col("_constraint"))).drop("_constraint", "_row", "_column")
 
 
 def resolve_all(edges: DataFrame, nodes: DataFrame) -> DataFrame:
