@@ -598,8 +598,7 @@ def _finished(spark: SparkSession, stream: DataFrame, label: str) -> DataFrame:
 @case("stream_scan", o.scan(f"SELECT {o.HIT_COLUMNS} FROM findings"))
 def stream_scan(spark, sf_dir):
     """The corpus arriving as a stream gives the findings of the batch scan."""
-    _stream(spark, sf_dir, "documents").createOrReplaceTempView("documents")
-    corpus = spark.sql(fx.SKILL_CORPUS)
+    corpus = spark.sql(fx.SKILL_CORPUS.replace("FROM documents", "FROM {arriving}"), arriving=_stream(spark, sf_dir, "documents"))
     rows = corpus.select(
         "seq",
         "version",
@@ -620,8 +619,8 @@ def stream_scan(spark, sf_dir):
 )
 def stream_evidence(spark, sf_dir):
     """Daily sums of the days that the watermark has closed."""
-    _stream(spark, sf_dir, "events").createOrReplaceTempView("events")
-    done = _finished(spark, streams.evidence_stream(spark.sql(fx.TRUST_EVIDENCE)), "stream-evidence")
+    evidence = spark.sql(fx.TRUST_EVIDENCE.replace("FROM events", "FROM {arriving}"), arriving=_stream(spark, sf_dir, "events"))
+    done = _finished(spark, streams.evidence_stream(evidence), "stream-evidence")
     days = F.floor(F.unix_seconds("window_start") / 86_400).cast("int")
     day = F.date_add(F.lit("1970-01-01").cast("date"), days).cast("string")
     return done.select(day.alias("day"), "node", "signal", F.round("delta", 6).alias("delta"), "pieces")
