@@ -88,3 +88,17 @@ def test_deduplicate_keeps_one_of_each_group(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert S.classes(df).count() == 0 and S.deduplicate(df).count() == 0
+
+
+def test_packed_sketches_count_equal_bins(spark):
+    random = np.random.default_rng(4)
+    row = np.repeat([0, 1], 500)
+    values = random.integers(0, 2**63, 600).astype(np.uint64)
+    bins = S.sketch(row, np.concatenate([values[:500], values[100:]]), 2)
+    packed = S.packed_bands(bins)
+    df = spark.createDataFrame([(packed[0].tolist(), packed[1].tolist())], "a array<long>, b array<long>")
+    got = df.select(S.equal_bins(S.F.col("a"), S.F.col("b")).alias("n"), S.first_common(S.F.col("a"), S.F.col("b")).alias("i")).first()
+    short = S.mix(bins) >> np.uint64(64 - S.BITS)
+    assert got["n"] == (short[0] == short[1]).sum()
+    common = np.flatnonzero(packed[0] == packed[1])
+    assert got["i"] == (common[0] if len(common) else -1)

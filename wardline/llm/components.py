@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from wardline.plans.stages import Stages
 
 
+LEAST_TASKS = 12
+ROWS_PER_TASK = 100_000
+
+
+def tasks_for(rows: int, per_task: int = ROWS_PER_TASK) -> int:
+    """Tasks for a measured number of narrow rows, so that small rounds do not run many empty tasks."""
+    return max(LEAST_TASKS, -(-rows // per_task))
+
+
 def components(edges: DataFrame, stages: Stages) -> DataFrame:
     """(node, component) of every node of the edges (a, b); the component is its smallest node.
 
@@ -16,18 +25,20 @@ def components(edges: DataFrame, stages: Stages) -> DataFrame:
     and each round's table is written.
     """
     both = edges.select("a", "b").where("a != b")
-    both = stages.write(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = stages.write(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component")))
+    both, count = stages.measured(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))), F.count(F.lit(1)))
+    tasks = tasks_for(count)
+    first = both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component"))
+    labels = stages.write(first.coalesce(tasks))
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node"))
-        lower = labels.join(near.agg(F.min("component").alias("lower")), "node")
+        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").coalesce(tasks)
+        offers = near.groupBy(F.col("a").alias("node")).agg(F.min("component").alias("lower"))
+        lower = labels.join(offers, "node").coalesce(tasks).withColumn("lower", F.least("component", "lower"))
         hop = labels.select(F.col("node").alias("lower"), F.col("component").alias("root"))
-        jumped = lower.withColumn("lower", F.least("component", "lower")).join(hop, "lower", "left")
-        new = jumped.select("node", F.least("lower", F.coalesce("root", "lower")).alias("new"), "component")
-        labels, moved = stages.measured(
-            new.select("node", F.col("new").alias("component"), (F.col("new") != F.col("component")).alias("moved")),
-            F.count_if("moved"),
+        new = lower.join(hop, "lower", "left").select("node", F.least("lower", F.coalesce("root", "lower")).alias("new"), "component")
+        moved = F.col("new") != F.col("component")
+        labels, count = stages.measured(
+            new.select("node", F.col("new").alias("component"), moved.alias("moved")).coalesce(tasks), F.count_if("moved")
         )
         labels = labels.drop("moved")
-        if not moved:
+        if not count:
             return labels

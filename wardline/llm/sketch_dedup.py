@@ -7,9 +7,10 @@ bin, so that all bins always fill. Equal bins estimate the similarity. Bands of
 give candidate pairs, which are verified on the full sets.
 
 Equal sets are one node, so copies cost nothing. Within a bucket of a band not all pairs are
-compared: first every node with the smallest, then only nodes of different components.
-A bucket is done when all its nodes are in one component or every node outside of its
-largest component has been compared with all others.
+compared: first every node with a few leaders, then leaders from outside the bucket's
+largest component with the nodes of other components, more of them each time. A bucket is
+done when all its nodes are in one component or every node outside of its largest
+component has been compared with all others.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing,
 each its own component. A row without id takes part in links; a component's id is the
@@ -27,14 +28,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.components import components
+from wardline.llm.components import components, tasks_for
 from wardline.llm.textops import LOWER, WHITE, blocks, mix, rows_at, runs, span_hashes
 from wardline.plans.stages import Stages
 
-BANDS = 40
-ROWS = 7
+BANDS = 28
+ROWS = 6
+BITS = 10
 BINS = BANDS * ROWS
 LINK_PERCENT = 80
+MORE_LEADERS = 64
+#: Candidates whose estimate is this many standard deviations below the limit are not verified.
+DEVIATIONS = 4
+PAIRS_PER_TASK = 20_000
 _U = np.uint64
 
 
@@ -96,12 +102,31 @@ def sketch(row: np.ndarray, elements: np.ndarray, texts: int, bins: int = BINS)
     return full
 
 
-def band_keys(bins: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """One 64-bit key per band, different for equal bins in different bands."""
-    key = np.broadcast_to(np.arange(bands, dtype=np.uint64)[None, :], (len(bins), bands)).copy()
+def packed_bands(bins: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """One long per band: a few bits of each of its bins, side by side."""
+    short = mix(bins) >> _U(64 - BITS)
+    packed = np.zeros((len(bins), bands), dtype=np.uint64)
     for i in range(rows):
-        key = mix(key * _U(0x9E3779B97F4A7C15) + bins[:, i::rows][:, :bands])
-    return key.view(np.int64)
+        packed |= short[:, i::rows][:, :bands] << _U(i * BITS)
+    return packed.view(np.int64)
+
+
+def equal_bins(left: Column, right: Column) -> Column:
+    """How many bins of two packed sketches are equal."""
+    low = sum(((1 << (BITS - 1)) - 1) << (i * BITS) for i in range(ROWS))
+    high = sum(1 << (i * BITS + BITS - 1) for i in range(ROWS))
+
+    def unequal(x: Column) -> Column:
+        carried = x.bitwiseAND(F.lit(low)) + F.lit(low)
+        return F.bit_count(carried.bitwiseOR(x).bitwiseAND(F.lit(high)))
+
+    different = F.zip_with(left, right, lambda x, y: unequal(x.bitwiseXOR(y)))
+    return F.lit(BINS) - F.aggregate(different, F.lit(0), lambda total, n: total + n)
+
+
+def first_common(left: Column, right: Column) -> Column:
+    """Place of the first band that two packed sketches share, from 0; -1 if there is none."""
+    return F.array_position(F.zip_with(left, right, lambda x, y: x == y), True).cast("int") - 1
 
 
 def _fingerprints(row: np.ndarray, elements: np.ndarray, texts: int) -> list[bytes | None]:
@@ -125,7 +150,7 @@ def signatures(df: DataFrame, shingle_words: int, text: str = "text") -> DataFra
             for start, end, row, elements in text_sets(batch, shingle_words):
                 n.append(np.bincount(row, minlength=end - start))
                 node += _fingerprints(row, elements, end - start)
-                bands.append(band_keys(sketch(row, elements, end - start)))
+                bands.append(packed_bands(sketch(row, elements, end - start)))
             listed = np.concatenate(bands)
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(listed) + 1) * BANDS, pa.int32()), pa.array(listed.reshape(-1)))
             yield pa.StructArray.from_arrays([pa.array(np.concatenate(n)), pa.array(node, pa.binary()), keys], ["n", "node", "bands"])
@@ -150,10 +175,11 @@ def shingle_sets(df: DataFrame, shingle_words: int, text: str = "text") -> Colum
     return listed(F.coalesce(F.col(text), F.lit("")))
 
 
-def _leaders(open_rows: DataFrame, which: Column, slots: int, turn: int) -> DataFrame:
-    """One node per bucket and slot among the rows that ``which`` holds for."""
+def _leaders(rows: DataFrame, slots: int, turn: int) -> DataFrame:
+    """One node per bucket and slot."""
     slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(slots))
-    return open_rows.where(which).groupBy("band", slot.alias("slot")).agg(F.min("node").alias("leader"))
+    found = rows.groupBy("band", slot.alias("slot")).agg(F.min("node").alias("node"))
+    return found.select("band", "node", F.lit(True).alias("leads"))
 
 
 def links(df: DataFrame, signed: DataFrame, shingle_words: int, stages: Stages, percent: int = LINK_PERCENT, text: str = "text") -> DataFrame:
@@ -163,18 +189,21 @@ def links(df: DataFrame, signed: DataFrame, shingle_words: int, stages: Stages,
         .groupBy("node", "n_shingles")
         .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("row"), F.first("bands").alias("bands"))
     )
-    banded = nodes.select("node", F.col("n_shingles").alias("n"), "row", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("leader")).where("members > 1")
-    members, found = stages.measured(banded.join(shared.select("band", "leader"), "band"), F.count(F.lit(1)))
-    none = df.sparkSession.createDataFrame([], "node binary, component binary")
+    each = nodes.select("node", F.posexplode("bands").alias("place", "packed"))
+    banded = each.select("node", "place", F.xxhash64("place", "packed").alias("band"))
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    facts = nodes.select("node", F.col("n_shingles").alias("n"), "row", F.col("bands").alias("sketch"))
+    members, found = stages.measured(banded.join(shared.select("band"), "band").join(facts, "node"), F.count(F.lit(1)))
     if not found:
-        return none
+        return df.sparkSession.createDataFrame([], "node binary, component binary")
+    tasks = tasks_for(found)
     # the sets of nodes that share a bucket, from one row of each
     wanted = members.groupBy("node").agg(F.first("row").alias("row")).select(F.col("row.doc_id").alias("_id"), F.col("row._key").alias("_k"))
     rows = df.select("doc_id", F.col(text).alias("_text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_key"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k"))
     some = rows.join(wanted.distinct(), same, "left_semi").select(shingle_sets(df, shingle_words, "_text").alias("s"))
     sets = stages.write(some.select("s.*").groupBy("node").agg(F.first("shingles").alias("shingles")))
+    members = members.drop("row")
 
     def verified(pairs: DataFrame) -> DataFrame:
         a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
@@ -187,31 +216,50 @@ def links(df: DataFrame, signed: DataFrame, shingle_words: int, stages: Stages,
     def alike(left: Column, right: Column) -> Column:
         return (100 * left >= percent * right) & (100 * right >= percent * left)
 
-    sizes = members.select(F.col("band"), F.col("node").alias("leader"), F.col("n").alias("size"))
-    star = members.where("node != leader").join(sizes, ["band", "leader"]).where(alike(F.col("n"), F.col("size")))
-    pairs = star.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    edges, _ = stages.append(verified(pairs), "edges")
-    tried, _ = stages.append(pairs, "tried")
-    led = members.select("band", F.col("leader").alias("node")).distinct()
-    slots, turn = 4, 1
+    limit, bins = percent / 100, BINS
+    least = bins * (limit - DEVIATIONS * (limit * (1 - limit) / bins) ** 0.5)
+
+    def compared(rows: DataFrame) -> DataFrame:
+        """Verified pairs of each leader with the nodes of other components in its bucket, each pair once.
+
+        A pair belongs to the first band that both share; a node that has led was compared already.
+        """
+        lead = rows.where("leads").select(
+            "band", F.col("node").alias("leader"), F.col("component").alias("own"), F.col("n").alias("size"), F.col("sketch").alias("ahead")
+        )
+        meet = (
+            (F.col("component") != F.col("own"))
+            & ~F.col("led")
+            & (~F.col("leads") | (F.col("leader") < F.col("node")))
+            & alike(F.col("n"), F.col("size"))
+            & (first_common(F.col("sketch"), F.col("ahead")) == F.col("place"))
+            & (equal_bins(F.col("sketch"), F.col("ahead")) >= least)
+        )
+        apart = rows.join(lead, "band").where(meet)
+        pairs = apart.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+        pairs, count = stages.measured(pairs.coalesce(tasks), F.count(F.lit(1)))
+        return verified(pairs).coalesce(tasks_for(count, PAIRS_PER_TASK))
+
+    slots, turn = 1, 0
+    rows = members.withColumns({"component": F.col("node"), "led": F.lit(False)})
+    leaders = stages.write(_leaders(rows, slots, turn).coalesce(tasks))
     while True:
+        marked = rows.join(leaders, ["band", "node"], "left").withColumn("leads", F.coalesce("leads", F.lit(False)))
+        rows = stages.write(marked.coalesce(tasks))
+        edges, _ = stages.append(compared(rows), "edges")
         labels = components(stages.table("edges", edges), stages)
-        own = F.coalesce("component", "node")
-        placed = members.select("band", "node", "n").join(labels, "node", "left").withColumn("component", own)
-        per = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("rows"))
+        plain = rows.select("band", "place", "node", "n", "sketch", (F.col("led") | F.col("leads")).alias("led"))
+        placed = plain.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        placed = stages.write(placed.coalesce(tasks))
+        per = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("rows")).coalesce(tasks)
         largest = per.groupBy("band").agg(F.max(F.struct("rows", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("parts"))
-        open_rows = placed.join(largest.where("parts > 1").select("band", "main"), "band")
-        strays = open_rows.where(F.col("component") != F.col("main")).join(led, ["band", "node"], "left_anti")
-        leaders, left = stages.measured(_leaders(strays, F.lit(True), slots, turn).drop("slot"), F.count(F.lit(1)))
+        rows = stages.write(placed.join(largest.where("parts > 1").select("band", "main"), "band").coalesce(tasks))
+        strays = rows.where((F.col("component") != F.col("main")) & ~F.col("led"))
+        slots, turn = slots * MORE_LEADERS, turn + 1
+        leaders, left = stages.measured(_leaders(strays, slots, turn).coalesce(tasks), F.count(F.lit(1)))
         if not left:
             return labels
-        lead = leaders.join(placed.withColumnsRenamed({"node": "leader", "component": "own", "n": "size"}), ["band", "leader"])
-        apart = open_rows.join(lead, "band").where((F.col("component") != F.col("own")) & alike(F.col("n"), F.col("size")))
-        fresh = apart.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        pairs, _ = stages.append(fresh.join(stages.table("tried", tried), ["a", "b"], "left_anti"), "tried")
-        stages.append(verified(pairs), "edges")
-        led = stages.write(led.unionByName(leaders.withColumnRenamed("leader", "node")))
-        slots, turn = slots * 4, turn + 1
+        rows = rows.drop("main")
 
 
 def _labelled(df: DataFrame, shingle_words: int, percent: int, text: str) -> DataFrame:
