@@ -61,9 +61,13 @@ def test_base_spans_match_plain_patterns(spark):
 
 
 def test_many_spans_and_long_runs(spark):
-    texts = [" ".join(f"u{i}@h{i}.org" for i in range(1200)), "a" * 1_000_000, "1.2." * 8_000, "a@" + "b." * 50_000 + "c", "+1" + " " * 300_000]
+    emails = " ".join(f"u{i}@h{i}.org" for i in range(1200))
+    dots = "a@" + "b." * 20_000 + "c"
+    texts = [emails, "a" * 1_000_000, "1.2." * 8_000, dots, "+1" + " " * 300_000]
+    addresses = ",".join(f"ip:{8 * i}:{8 * i + 7}" for i in range(4_000))
     got = found(spark, texts)
-    assert [got[i][0] for i in range(len(texts))] == [",".join(expected(t)) for t in texts]
+    # the plain patterns need quadratic time on the long runs
+    assert [got[i][0] for i in range(5)] == [",".join(expected(emails)), "", addresses, f"email:0:{len(dots)}", ""]
 
 
 def test_whole_table_against_plain_patterns(spark):

@@ -20,25 +20,34 @@ def tasks_for(rows: int, per_task: int = ROWS_PER_TASK) -> int:
 def components(edges: DataFrame, stages: Stages) -> DataFrame:
     """(node, component) of every node of the edges (a, b); the component is its smallest node.
 
-    Labels spread along edges and jump to their label's label, so that the number of
-    rounds grows with the logarithm of a component's breadth. Only labels are shuffled
-    and each round's table is written.
+    Every node hooks onto its smallest neighbour, hooks are followed to their ends by
+    doubling, and edges are drawn anew between those ends; edges inside a component drop
+    out, so that each round works on fewer. Every round's tables are written.
     """
-    both = edges.select("a", "b").where("a != b")
-    both, count = stages.measured(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))), F.count(F.lit(1)))
-    tasks = tasks_for(count)
-    first = both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component"))
-    labels = stages.write(first.coalesce(tasks))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").coalesce(tasks)
-        offers = near.groupBy(F.col("a").alias("node")).agg(F.min("component").alias("lower"))
-        lower = labels.join(offers, "node").coalesce(tasks).withColumn("lower", F.least("component", "lower"))
-        hop = labels.select(F.col("node").alias("lower"), F.col("component").alias("root"))
-        new = lower.join(hop, "lower", "left").select("node", F.least("lower", F.coalesce("root", "lower")).alias("new"), "component")
-        moved = F.col("new") != F.col("component")
-        labels, count = stages.measured(
-            new.select("node", F.col("new").alias("component"), moved.alias("moved")).coalesce(tasks), F.count_if("moved")
+    apart = edges.where("a != b").select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
+    live, count = stages.measured(apart, F.count(F.lit(1)))
+    labels = None
+    while labels is None or count:
+        tasks = tasks_for(count)
+        ends = live.select(F.col("high").alias("node"), F.col("low").alias("other")).unionByName(
+            live.select(F.col("low").alias("node"), F.col("high").alias("other"))
         )
-        labels = labels.drop("moved")
-        if not count:
-            return labels
+        hooks = ends.groupBy("node").agg(F.least("node", F.min("other")).alias("root"))
+        hooks = stages.write(hooks.coalesce(tasks))
+        moved = 1
+        while moved:
+            ahead = hooks.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            jumped = hooks.join(ahead, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved"))
+            hooks, moved = stages.measured(jumped.coalesce(tasks), F.count_if("moved"))
+            hooks = hooks.drop("moved")
+        if labels is None:
+            labels = hooks.withColumnRenamed("root", "component")
+        else:
+            further = hooks.select(F.col("node").alias("component"), "root")
+            joined = labels.join(further, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+            labels = stages.write(joined.coalesce(tasks))
+        lows, highs = hooks.toDF("low", "first"), hooks.toDF("high", "second")
+        drawn = live.join(lows, "low").join(highs, "high").where("first != second")
+        again = drawn.select(F.least("first", "second").alias("low"), F.greatest("first", "second").alias("high")).distinct()
+        live, count = stages.measured(again.coalesce(tasks), F.count(F.lit(1)))
+    return labels

@@ -240,14 +240,15 @@ def links(df: DataFrame, signed: DataFrame, shingle_words: int, stages: Stages,
         pairs, count = stages.measured(pairs.coalesce(tasks), F.count(F.lit(1)))
         return verified(pairs).coalesce(tasks_for(count, PAIRS_PER_TASK))
 
-    slots, turn = 1, 0
+    slots, turn, labels = 1, 0, None
     rows = members.withColumns({"component": F.col("node"), "led": F.lit(False)})
     leaders = stages.write(_leaders(rows, slots, turn).coalesce(tasks))
     while True:
         marked = rows.join(leaders, ["band", "node"], "left").withColumn("leads", F.coalesce("leads", F.lit(False)))
         rows = stages.write(marked.coalesce(tasks))
-        edges, _ = stages.append(compared(rows), "edges")
-        labels = components(stages.table("edges", edges), stages)
+        # the labels so far stand for all edges found before
+        edges = stages.write(compared(rows))
+        labels = components(edges if labels is None else edges.unionByName(labels.toDF("a", "b")), stages)
         plain = rows.select("band", "place", "node", "n", "sketch", (F.col("led") | F.col("leads")).alias("led"))
         placed = plain.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         placed = stages.write(placed.coalesce(tasks))
