@@ -90,6 +90,25 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert got[13] == ("", "") and got[14] == ("", "")
 
 
+def test_labels_side_by_side_become_patterns(spark):
+    contacts = [
+        f"email: u{i}@host.org phone: +1 (212) 555-{1000 + i} ip: 10.0.0.{i}\nphone: +1 (212) 555-{2000 + i}, phone: +1 (212) 555-{3000 + i}"
+        for i in range(12)
+    ]
+    unseen = ["email: someone@intranet here", "so phone: 212-555-7788 it is", "ip: 999.1.1.1 now"]
+    got = found(spark, contacts + unseen)
+    assert [got[12 + i][1] for i in range(3)] == ["email:7:23", "phone:10:22", "ip:4:13"]
+
+
+def test_uses_before_no_identifier_count_in_all_texts(spark):
+    seeds = [f"so reach the +1 (212) 555-{1000 + i}" for i in range(12)]
+    far = [f"{i} " + "the rest " * 2 + "x" * 200 for i in range(12)]
+    unseen = ["it was the 2004-555-1234 again"]
+    assert found(spark, seeds + far + unseen)[24] == ("", "")
+    # copies of a text add nothing, to either side
+    assert found(spark, seeds + ["the rest"] * 40 + unseen)[52] == ("", "phone:11:24")
+
+
 def test_redaction_and_repeated_rows(spark):
     rows = [(1, "x a@b.org y 10.0.0.1", "s"), (1, "x a@b.org y 10.0.0.1", "s"), (None, "+1 403 555 9312é", None), (2, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, _key string")

@@ -4,12 +4,14 @@ The fixed patterns find e-mail addresses, IP addresses, card and phone numbers i
 whole text, with code-point offsets. These seeds induce lexical patterns: the word, or the
 two words, that stand before them. Pattern and instance scores are then computed in turn
 over the pattern-instance graph. A pattern's score is the weight of its known instances
-among all its instances and all other uses of its words near identifiers, so that common
-words never become patterns; an instance's score joins those of its patterns. Tokens of
-the right shape that score high in the end are added as spans of the pattern's kind.
+among all its instances and all uses of its words, in all texts, that stand before no
+identifier, so that common words never become patterns while a label beside other labels
+does; an instance's score joins those of its patterns. Tokens of the right shape that score
+high in the end are added as spans of the pattern's kind.
 
-All of it is DataFrame expressions: texts are read once, only occurrences are shuffled, and
-counts are combined before the shuffle.
+All of it is DataFrame expressions: texts are read twice, for occurrences and for the uses
+of the patterns found; only occurrences are shuffled, and counts are combined before the
+shuffle.
 
 Defined results: a null text counts as empty and has no spans; spans of one kind never
 overlap each other, spans of different kinds may; repeated rows get the same spans; added
@@ -53,7 +55,7 @@ LEAST_SEEDS = 5
 LEAST_PATTERN = 0.6
 LEAST_INSTANCE = 0.8
 BLOCK = 512
-_NO_SPANS = "array<struct<k:int,s:int,e:int,v:string,l:string,r:string>>"
+_NO_SPANS = "array<struct<k:int,s:int,e:int,v:string,l:string,first:boolean>>"
 
 
 def _with(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -84,14 +86,14 @@ def _sums_before(lengths: Column) -> Column:
 
 
 def _spans(text: Column, pattern: str, kind: int, valid: Callable[[Column], Column]) -> Column:
-    """Valid matches of a pattern with their code-point offsets, end exclusive, and the text around each.
+    """Valid matches of a pattern with their code-point offsets, end exclusive, and the text before each.
 
-    The text around a match ends where the next match of the pattern begins.
+    The text before a match begins where the last match of the pattern ended; ``first`` tells
+    that it begins with the whole text.
     """
 
     def pieces(gaps: Column) -> Column:
         found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        ahead = F.transform(F.slice(gaps, F.lit(2), F.size(gaps)), lambda gap: F.left(gap, F.lit(CONTEXT_CHARS)))
         behind = F.zip_with(
             gaps,
             found,
@@ -99,7 +101,7 @@ def _spans(text: Column, pattern: str, kind: int, valid: Callable[[Column], Colu
                 F.length(gap).alias("gap"), F.length(m).alias("size"), m.alias("v"), F.right(gap, F.lit(CONTEXT_CHARS)).alias("l")
             ),
         )
-        return F.slice(F.zip_with(behind, ahead, lambda p, r: p.withField("r", r)), F.lit(1), F.size(found))
+        return F.slice(behind, F.lit(1), F.size(found))
 
     def placed(found: Column) -> Column:
         before = _sums_before(F.transform(found, lambda p: p["gap"] + p["size"]))
@@ -107,8 +109,9 @@ def _spans(text: Column, pattern: str, kind: int, valid: Callable[[Column], Colu
 
     def span(p: Column, b: Column) -> Column:
         start = b + p["gap"]
+        first = (b == 0) & (p["gap"] <= CONTEXT_CHARS)
         return F.struct(
-            F.lit(kind).alias("k"), start.alias("s"), (start + p["size"]).alias("e"), p["v"].alias("v"), p["l"].alias("l"), p["r"].alias("r")
+            F.lit(kind).alias("k"), start.alias("s"), (start + p["size"]).alias("e"), p["v"].alias("v"), p["l"].alias("l"), first.alias("first")
         )
 
     return F.filter(_with(_with(F.split(text, pattern, -1), pieces), placed), lambda x: valid(x["v"]))
@@ -160,7 +163,7 @@ def candidates(text: Column, base: Column) -> Column:
             kind = F.when(value.rlike(SHAPES[name]), F.lit(i)).otherwise(kind)
         start = x["s"] + lead
         return F.struct(
-            kind.alias("k"), start.alias("s"), (start + F.length(value)).alias("e"), value.alias("v"), x["l"].alias("l"), x["r"].alias("r")
+            kind.alias("k"), start.alias("s"), (start + F.length(value)).alias("e"), value.alias("v"), x["l"].alias("l"), x["first"].alias("first")
         )
 
     def whole(x: Column) -> Column:
@@ -178,14 +181,20 @@ def candidates(text: Column, base: Column) -> Column:
     return F.when(text.rlike(r"@|[0-9][0-9.-]{2,}[0-9]"), free).otherwise(none)
 
 
+def _stands(left: Column, first: Column, words: int) -> Column:
+    """Whether the last words of a left side are words of the whole text as well, not parts of longer ones."""
+    last = r"\S++\s++" * words + "$"
+    return left.rlike(r"\s" + last) | (first & left.rlike("^" + last))
+
+
 def _contexts(spans: Column, seed: bool) -> Column:
     def around(x: Column) -> Column:
-        left, right = F.lower(x["l"]), F.lower(x["r"])
+        left = F.lower(x["l"])
         return F.struct(
             x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), F.lit(seed).alias("seed"),
             F.regexp_extract(left, r"(?<!\S)(\S++)\s*+$", 1).alias("one"),
             F.regexp_extract(left, r"(?<!\S)(\S++\s++\S++)\s*+$", 1).alias("two"),
-            F.array_remove(F.split(F.concat(F.regexp_replace(left, r"(?<!\S)\S++\s*+$", ""), F.lit(" "), right), r"\s+"), "").alias("near"),
+            _stands(left, x["first"], 1).alias("apart_one"), _stands(left, x["first"], 2).alias("apart_two"),
         )
 
     return F.transform(spans, around)
@@ -204,29 +213,62 @@ def occurrences(df: DataFrame, text: str = "text") -> DataFrame:
     return both.select("doc_id", "_key", "_base", seen.alias("_seen"))
 
 
-def bootstrap(found: DataFrame, stages: Stages, rounds: int = ROUNDS) -> DataFrame:
-    """Accepted (value, kind) pairs of unseen identifiers, from the table of occurrences."""
+def _patterns(one: Column, two: Column) -> tuple[Column, Column]:
+    return F.concat(F.lit("1 "), one), F.concat(F.lit("2 "), F.regexp_replace(two, r"\s+", " "))
+
+
+def elsewhere_counts(df: DataFrame, found: DataFrame, graph: DataFrame, stages: Stages, text: str = "text") -> DataFrame:
+    """How often, in all distinct texts, the words of a pattern stand before no seed or candidate.
+
+    Only for patterns with instances enough to become good. Each of n copies of a text counts
+    as its nth part.
+    """
+    able = stages.write(
+        graph.groupBy("pattern", "word", "k").agg(F.count(F.lit(1)).alias("all"))
+        .where(F.col("all") >= LEAST_SEEDS).select("pattern", "word").distinct()
+    )
+    copies = stages.write(found.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
+    # the empty one stands for no word before the first of a text
+    split = F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+")
+    pairs = F.zip_with(F.concat(F.array(F.lit("")), split), split, lambda p, w: F.struct(p.alias("p"), w.alias("w")))
+    weighted = df.select(text_key(text).alias("_key"), pairs.alias("_pairs")).join(copies, "_key", "left")
+    words = weighted.select(F.explode("_pairs").alias("x"), (1 / F.coalesce("n", F.lit(1))).alias("part")).select("x.*", "part")
+    one, two = _patterns(F.col("w"), F.when(F.col("p") != "", F.concat_ws(" ", "p", "w")))
+    used = (
+        words.join(able.select(F.col("word").alias("w")).distinct(), "w", "left_semi")
+        .select(F.explode(F.array(one, two)).alias("pattern"), "part")
+        .join(able.select("pattern"), "pattern", "left_semi")
+        .groupBy("pattern").agg(F.sum("part").alias("uses"))
+    )
+    before = found.select("_key", F.explode("_seen").alias("o")).select("_key", "o.*")
+    one, two = _patterns(F.col("one"), F.col("two"))
+    aligned = F.explode(F.array(F.when(F.col("apart_one"), one), F.when(F.col("apart_two"), two))).alias("pattern")
+    taken = before.select("_key", "s", aligned).where(F.col("pattern").isNotNull()).join(able.select("pattern"), "pattern", "left_semi")
+    own = taken.distinct().groupBy("pattern").agg(F.count(F.lit(1)).alias("own"))
+    left = F.greatest(F.round(F.col("uses") - F.coalesce("own", F.lit(0)), 3), F.lit(0.0))
+    return stages.write(used.join(own, "pattern", "left").select("pattern", left.alias("elsewhere")))
+
+
+def bootstrap(df: DataFrame, found: DataFrame, stages: Stages, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+    """Accepted (value, kind) pairs of unseen identifiers, from the documents and their table of occurrences."""
     each = found.select(F.explode("_seen").alias("o")).select("o.*")
     # distinct values per pattern: copies of a document add nothing
     graph = stages.write(
         each.select(
-            F.explode(F.array(F.concat(F.lit("1 "), "one"), F.concat(F.lit("2 "), F.regexp_replace("two", r"\s+", " ")))).alias("pattern"),
+            F.explode(F.array(*_patterns(F.col("one"), F.col("two")))).alias("pattern"),
             F.col("one").alias("word"), F.col("k"), F.col("v"), F.col("seed"),
         )
         .where(F.length("pattern") > 2)
         .groupBy("pattern", "word", "k", "v").agg(F.max("seed").alias("seed"))
     )
-    words = graph.select("word").distinct()
-    # how often the words before identifiers stand elsewhere near identifiers, per distinct value
-    near = each.select("v", F.explode(F.array_distinct("near")).alias("word")).distinct()
-    elsewhere = stages.write(near.join(words, "word").groupBy("word").agg(F.count(F.lit(1)).alias("elsewhere")))
+    elsewhere = elsewhere_counts(df, found, graph, stages, text)
     instances = stages.write(graph.groupBy("k", "v").agg(F.max(F.col("seed").cast("double")).alias("score")))
     for _ in range(rounds):
         patterns = (
             graph.join(instances, ["k", "v"])
-            .groupBy("pattern", "word", "k")
+            .groupBy("pattern", "k")
             .agg(F.sum("score").alias("known"), F.count(F.lit(1)).alias("all"))
-            .join(elsewhere, "word", "left")
+            .join(elsewhere, "pattern", "left")
         )
         worth = F.col("known") / (F.col("all") + F.coalesce("elsewhere", F.lit(0)))
         good = patterns.withColumn("worth", worth).where((F.col("known") >= LEAST_SEEDS) & (F.col("worth") >= LEAST_PATTERN))
@@ -245,7 +287,7 @@ def find(df: DataFrame, text: str = "text") -> DataFrame:
     """One row per document: doc_id, _key, _base spans and _more spans (of unseen identifiers)."""
     stages = Stages(df.sparkSession, "pii")
     found = stages.write(occurrences(df, text))
-    accepted = bootstrap(found, stages)
+    accepted = bootstrap(df, found, stages, text)
     each = found.select("doc_id", "_key", F.explode("_seen").alias("o")).where(~F.col("o.seed"))
     more = (
         each.select("doc_id", "_key", "o.k", "o.v", "o.s", "o.e")
