@@ -48,6 +48,9 @@ CASES = [
 ]
 
 
+CARDS = [c for c in (f"4000 0000 0000 {n}" for n in range(1000, 2000)) if luhn(c.replace(" ", ""))][:90]
+
+
 def found(spark, texts, extra="lang string"):
     rows = [(i, t, None) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, f"doc_id long, text string, {extra}")
@@ -109,6 +112,26 @@ def test_uses_before_no_identifier_count_in_all_texts(spark):
     assert found(spark, seeds + ["the rest"] * 40 + unseen)[52] == ("", "phone:11:24")
 
 
+def test_unseen_forms_after_labels(spark):
+    labels = [f"phone: +1 (212) 555-{1000 + i}\ncard: {card}\nemail: u{i}@host.org" for i, card in enumerate(CARDS)]
+    phones = ["(212) 555-7788", "212 555 7788", "2125557788", "212-555-7788", "212.555.7788", "212 - 555 - 7788", "(212)555-7788"]
+    cards = ["4111-1111-1111-1112", "4111 1111 1111 1112", "4111111111111112"]
+    unseen = [("phone", p) for p in phones] + [("card", c) for c in cards] + [("email", "me@hq")]
+    texts = [f"my {kind}: {value}, 3rd floor" for kind, value in unseen]
+    apart = ["phone: 212-555-7799 212-555-7700 x", "phone: (212-555-7711) 2nd", "id 2125557799x phone: 12345678.jpg", "phone: 646 555 1234 5th door"]
+    got = found(spark, labels + texts + apart)
+    want = [f"{kind}:{len(kind) + 5}:{len(kind) + 5 + len(value)}" for kind, value in unseen]
+    assert [got[len(CARDS) + i][1] for i in range(len(texts))] == want
+    assert [got[len(CARDS) + len(texts) + i][1] for i in range(4)] == ["phone:7:19", "phone:8:20", "", "phone:7:19"]
+
+
+def test_candidates_of_long_runs(spark):
+    texts = ["1 " * 300_000, "1)" * 300_000 + "x", "(1" * 300_000, "1 - " * 100_000 + "x", "." * 300_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    sizes = pii.occurrences(df).select(pii.F.size("_seen").alias("n")).collect()
+    assert [r["n"] for r in sizes] == [0] * len(texts)
+
+
 def test_redaction_and_repeated_rows(spark):
     rows = [(1, "x a@b.org y 10.0.0.1", "s"), (1, "x a@b.org y 10.0.0.1", "s"), (None, "+1 403 555 9312é", None), (2, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, _key string")

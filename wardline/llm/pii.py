@@ -42,13 +42,20 @@ NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){1
 _OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _TOKEN = "[A-Za-z0-9@._%+-]"
 CANDIDATE = rf"(?<!{_TOKEN})(?:[A-Za-z@._%+-]*+[0-9]|[A-Za-z._%+-]++@){_TOKEN}*+"
-#: Shapes that a token must have to be taken for a kind.
+#: Runs of digits in pieces joined by brackets, dots, hyphens and single blanks. A piece of
+#: seven digits or more ends its run, as a blank after it may part two numbers. A piece that
+#: goes on in letters joins no run; alone it is matched with them, to be dropped whole.
+_PIECE = r"\(?[0-9]++(?:[().-]{1,2}[0-9]++)*+"
+_SHORT = r"\(?[0-9](?:[().-]{0,2}[0-9]){0,5}+\)?(?:\x20|\x20?-\x20)"
+_MORE = r"[()._%+@-]{0,2}[A-Za-z0-9]"
+RUN = rf"(?<!{_TOKEN})[._%+@-]*+(?:{_SHORT}(?={_PIECE}(?!{_MORE})))*+{_PIECE}(?:{_MORE})?+"
+#: Shapes that a token must have to be taken for a kind, and digits that a run must have.
 SHAPES = {
     "email": r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+[A-Za-z0-9.-]*$",
     "ip": r"^[0-9]{1,4}(\.[0-9]{1,4}){3,5}$",
-    "card": r"^[0-9]{12,19}$",
-    "phone": r"^(?=(?:[^0-9]*[0-9]){7,12}[^0-9]*$)[0-9]+(?:[.-][0-9]+)+$",
 }
+DIGITS = {"card": (12, 19), "phone": (7, 15)}
+_ONLY_RUN = r"^[0-9().\x20-]+$"
 CONTEXT_CHARS = 120
 ROUNDS = 3
 LEAST_SEEDS = 5
@@ -152,20 +159,33 @@ def base_spans(text: Column) -> Column:
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """Tokens in the shape of a kind that no fixed pattern covers; ``k`` is that kind."""
+    """Tokens and runs in the shape of a kind that no fixed pattern covers; ``k`` is that kind.
+
+    What has the shape of several kinds is a candidate of each. The last piece of a run is a
+    candidate beside the run, with the same end.
+    """
     none = F.array().cast(_NO_SPANS)
+    bracket = r"^[._%+@-]*\((?!.*\))"
 
-    def shaped(x: Column) -> Column:
-        value = F.regexp_replace(x["v"], r"^[._%+@-]+|[._%+@-]+$", "")
-        lead = F.length(x["v"]) - F.length(F.regexp_replace(x["v"], r"^[._%+@-]+", ""))
-        kind = F.lit(None).cast("int")
-        for i, name in enumerate(KINDS):
-            kind = F.when(value.rlike(SHAPES[name]), F.lit(i)).otherwise(kind)
-        start = x["s"] + lead
+    def trimmed(x: Column) -> Column:
+        rest = F.regexp_replace(x["v"], rf"{bracket}|^[._%+@-]+", "")
+        value = F.regexp_replace(rest, r"[._%+@-]+$", "")
+        start = x["s"] + F.length(x["v"]) - F.length(rest)
         return F.struct(
-            kind.alias("k"), start.alias("s"), (start + F.length(value)).alias("e"), value.alias("v"), x["l"].alias("l"), x["first"].alias("first")
+            x["k"].alias("k"), start.alias("s"), (start + F.length(value)).alias("e"), value.alias("v"), x["l"].alias("l"), x["first"].alias("first")
         )
 
+    def last_piece(x: Column) -> Column:
+        value = F.regexp_replace(F.regexp_extract(x["v"], r"\x20(\S+)$", 1), bracket, "")
+        left = F.concat(x["l"], F.left(x["v"], F.length(x["v"]) - F.length(value)))
+        return F.struct(
+            x["k"].alias("k"), (x["e"] - F.length(value)).alias("s"), x["e"].alias("e"), value.alias("v"),
+            F.right(left, F.lit(CONTEXT_CHARS)).alias("l"), (x["first"] & (F.length(left) <= CONTEXT_CHARS)).alias("first"),
+        )
+
+    def of_kind(spans: Column, name: str, fits: Callable[[Column], Column]) -> Column:
+        return F.transform(F.filter(spans, lambda x: fits(x["v"])), lambda x: x.withField("k", F.lit(KINDS.index(name))))
+
     def whole(x: Column) -> Column:
         address = (x["k"] == 0) & x["v"].rlike(PATTERNS["email"])
         return address | ((x["k"] == 1) & _valid("ip", x["v"]))
@@ -173,12 +193,21 @@ def candidates(text: Column, base: Column) -> Column:
     def apart(x: Column) -> Column:
         return ~F.exists(base, lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"]))
 
-    tokens = _spans(text, CANDIDATE, -1, lambda m: F.length(m) >= 6)
-    free = F.filter(
-        F.transform(tokens, shaped),
-        lambda x: F.when(x["k"].isNull() | whole(x), False).otherwise(apart(x)),
-    )
-    return F.when(text.rlike(r"@|[0-9][0-9.-]{2,}[0-9]"), free).otherwise(none)
+    def free(spans: Column) -> Column:
+        return F.filter(spans, lambda x: F.when(whole(x), False).otherwise(apart(x)))
+
+    def in_tokens(tokens: Column) -> Column:
+        return F.concat(*[of_kind(tokens, name, lambda v, shape=shape: v.rlike(shape)) for name, shape in SHAPES.items()])
+
+    def in_runs(runs: Column) -> Column:
+        both = F.concat(runs, F.transform(F.filter(runs, lambda x: F.contains(x["v"], F.lit(" "))), last_piece))
+        return _with(both, lambda r: F.concat(*[of_kind(r, n, lambda v, d=d: F.length(_digits(v)).between(*d)) for n, d in DIGITS.items()]))
+
+    tokens = F.transform(_spans(text, CANDIDATE, -1, lambda m: F.lit(True)), trimmed)
+    found = F.transform(_spans(text, RUN, -1, lambda m: F.length(_digits(m)) >= DIGITS["phone"][0]), trimmed)
+    runs = F.filter(found, lambda x: x["v"].rlike(_ONLY_RUN))
+    every = F.concat(free(_with(tokens, in_tokens)), free(_with(runs, in_runs)))
+    return F.when(text.rlike(r"@|[0-9](?:[\x20().-]*+[0-9]){3}"), every).otherwise(none)
 
 
 def _stands(left: Column, first: Column, words: int) -> Column:
@@ -292,7 +321,10 @@ def find(df: DataFrame, text: str = "text") -> DataFrame:
     more = (
         each.select("doc_id", "_key", "o.k", "o.v", "o.s", "o.e")
         .join(accepted, ["k", "v"])
-        .groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_text_key"))
+        # of a run and its last piece, the run
+        .groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_text_key"), "k", "e")
+        .agg(F.min("s").alias("s"))
+        .groupBy("_id", "_text_key")
         .agg(F.collect_set(F.struct("k", "s", "e")).alias("_more"))
     )
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_text_key"))
