@@ -241,7 +241,7 @@ class Decoder:
         return [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])]
 
 
-def _groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+def item_groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of about ``most`` units each; one large item stands alone."""
     start, total = 0, 0
     for i, size in enumerate(sizes):
@@ -263,7 +263,7 @@ def encode(df: DataFrame, vocabulary_path: str, text: str = "text", output: str
         for batch in batches:
             sizes = [x or 0 for x in pc.binary_length(batch).to_pylist()]
             parts = [pa.array([], pa.list_(pa.int32()))]
-            for start, end in _groups(sizes, WINDOW_CHARS):
+            for start, end in item_groups(sizes, WINDOW_CHARS):
                 texts = [x or "" for x in batch.slice(start, end - start).to_pylist()]
                 ids, offsets = encoder.encode(texts)
                 parts.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids)))
@@ -282,7 +282,7 @@ def decode(df: DataFrame, vocabulary_path: str, ids: str = "ids", output: str =
         for batch in batches:
             sizes = pc.fill_null(pc.list_value_length(batch), 0).to_pylist()
             texts: list[str] = []
-            for start, end in _groups(sizes, WINDOW_IDS):
+            for start, end in item_groups(sizes, WINDOW_IDS):
                 ids = batch.slice(start, end - start).flatten().to_numpy(zero_copy_only=False)
                 texts += decoder.decode(ids, np.r_[0, np.cumsum(sizes[start:end])])
             yield pa.array(texts, pa.string())

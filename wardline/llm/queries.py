@@ -6,7 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import bpe, langid, line_rules, mixing, pii, pq_dedup, quality_knn, sampling, sharding, sketch_dedup, toxicity
+from wardline.llm import (
+    bpe,
+    langid,
+    line_rules,
+    mixing,
+    piece_bpe,
+    pii,
+    pq_dedup,
+    quality_knn,
+    sampling,
+    sharding,
+    sketch_dedup,
+    toxicity,
+)
 from workloads.cases import Case, Query
 
 CASES: dict[str, Case] = {}
@@ -24,12 +37,8 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-@case("op10_bpe")
-def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    docs = _documents(spark, sf_dir).select("doc_id", "text")
-    encoded = bpe.encode(docs, path).select("doc_id", "ids")
-    return bpe.decode(encoded, path).select(
+def _token_digests(decoded: DataFrame) -> DataFrame:
+    return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
@@ -37,6 +46,22 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@case("op10_bpe")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    encoded = bpe.encode(docs, path).select("doc_id", "ids")
+    return _token_digests(bpe.decode(encoded, path))
+
+
+@case("op11_pieces")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    encoded = piece_bpe.encode(docs, path).select("doc_id", "ids")
+    return _token_digests(piece_bpe.decode(encoded, path))
+
+
 @case("op3_langid")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
