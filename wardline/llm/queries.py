@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.llm import (
+    align,
     bpe,
     langid,
     line_rules,
@@ -71,6 +72,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("doc_id", "held_out", "found.lang_pred", "found.score", "found.ambiguous")
 
 
+@case("op12_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align.align(_documents(spark, sf_dir), *paths)
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
