@@ -21,4 +21,4 @@ def test_query(name, spark):
 
 def test_registered():
     names = entry_points.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))

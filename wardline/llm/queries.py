@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from wardline.llm import (
     align,
     bpe,
+    conversation_repair,
     langid,
     line_rules,
     mixing,
@@ -78,6 +79,12 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(_documents(spark, sf_dir), *paths)
 
 
+@case("op13_conversations")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversation_repair.repair(*conversation_repair.damaged(rows))
+
+
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
