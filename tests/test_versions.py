@@ -114,3 +114,46 @@ def test_one_name_with_all_versions_is_ranked_over_ranges(spark):
     rows = versions.ranked(nodes).collect()
     assert sorted(r.version_rank for r in rows) == list(range(1, 20_001))
     assert all(r.version == f"0.0.{20_000 - r.version_rank}" for r in rows)
+
+
+def test_stretches_agree_with_the_rules_on_every_version(spark):
+    texts = [*CONSTRAINTS, ">1.0.0,<1.0.0", "!=1.0.0,!=1.2.3", "!=1.0.0,==1.0.0", ">=1.0.0,!=1.0.0,!=9.9.9,<2.0.0", "==1.0.0,", "=>1", "^1.2.0,~1.2.0"]
+    own = [*VERSIONS, "1.2.4", "0.0.2", "1.0.1", "9223372036854775807.0.0", "99999999999999999999.0.0", *BROKEN]
+    df = spark.createDataFrame([(v, c) for v in own for c in texts], "v string, c string")
+    v, c = semver.parse_version(F.col("v")), semver.parse_constraint(F.col("c"))
+    inside = F.exists(semver.spans(c), lambda s: (s["low"] <= semver.sort_key(v)) & (semver.sort_key(v) < s["high"]))
+    rows = df.where(v.isNotNull()).select("v", "c", semver.satisfies(v, c).alias("want"), inside.alias("got")).collect()
+    assert [r for r in rows if r.want != r.got] == [] and len({r.want for r in rows}) == 2
+
+
+def test_matching_sorts_versions_and_ends_instead_of_comparing_them(spark):
+    """100,000 versions of one name against 500 constraints: 50 million pairs that are never made."""
+    n, asked = 100_000, 500
+    nodes = spark.range(n).selectExpr("id AS seq", "'hot' AS name", "concat(id div 1000, '.', id % 1000 div 10, '.', id % 10) AS version")
+    edges = spark.range(asked).selectExpr(
+        "'a' AS name", "cast(id AS string) AS version", "'hot' AS dep_name",
+        "concat('>=', id % 100, '.', id, '.0,<', id % 100, '.', id + 2, '.0,!=', id % 100, '.', id, '.5') AS raw_constraint",
+    )
+    placed, stretches = versions.placed_spans(edges, nodes)
+    assert placed.count() == n and stretches.count() == 200  # only minors below 100 exist, each stretch in two
+    matched = versions.constraint_matches(edges, nodes)
+    assert matched.count() == sum(9 + (10 if m < 99 else 0) for m in range(100))
+    plan = matched._jdf.queryExecution().executedPlan().toString()
+    assert "Join [dep_name" in plan and "NestedLoop" not in plan
+    highest = {r.version: r.dep_version for r in versions.resolve_highest(edges, nodes).collect()}
+    assert all(highest[str(m)] == f"{m}.{min(m + 1, 99)}.9" for m in range(100))
+    assert all(highest[str(m)] is None for m in range(100, asked))
+    rules = resolution.dependency_rules(edges, nodes)
+    assert rules.where("impossible").count() == 400 and rules.agg(F.max("candidates")).first()[0] == 19
+
+
+def test_best_of_equal_versions_and_repeated_rows(spark):
+    rows = [(3, "a", "1.0.0+x"), (1, "a", "1.0.0"), (1, "a", "1.0.0-rc"), (1, "a", "1.0.0"), (9, "a", "bad"), (0, None, "2.0.0")]
+    nodes = spark.createDataFrame(rows, "seq int, name string, version string")
+    wants = [("x", "1", "a", "*"), ("x", "1", "a", "^1.0.0"), ("x", "1", "a", None), ("x", "1", None, "*"), ("x", "1", "z", "*")]
+    edges = spark.createDataFrame(wants, "name string, version string, dep_name string, raw_constraint string")
+    got = versions.resolve_highest(edges, nodes).select("dep_name", "raw_constraint", "dep_version").collect()
+    best = "1.0.0-rc"  # of equal versions the earliest input, then the last text
+    want = {("a", "*", best), ("a", "^1.0.0", best), ("a", None, None), (None, "*", None), ("z", "*", None)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert versions.constraint_matches(edges, nodes).count() == 8

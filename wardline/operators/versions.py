@@ -2,16 +2,16 @@
 
 Node tables hold ``seq, name, version``; edge tables hold
 ``name, version, dep_name, raw_constraint``. Constraints repeat far more often
-than edges do, so they are parsed and matched once per distinct text and name,
-and edges only ever join to that reduced table.
+than edges do, so they are parsed once per distinct text and name and turned into
+stretches of the version order; edges only ever join to that reduced table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.functions.semver import parse_constraint, parse_version, satisfies
+from wardline.functions.semver import parse_constraint, parse_version, sort_key, spans
 from wardline.plans.shape import pick, running_in_blocks
 from wardline.plans.stages import Stages
 
@@ -54,40 +54,81 @@ def ranked(nodes: DataFrame) -> DataFrame:
     return placed.select(*nodes.columns, rank.alias("version_rank"))
 
 
-PAIRS_PER_TASK = 5_000_000
+PAIRS_PER_TASK = 1_000_000
 
 
-def constraint_matches(edges: DataFrame, nodes: DataFrame, pairs_per_task: int = PAIRS_PER_TASK) -> DataFrame:
-    """Each distinct ``(dep_name, raw_constraint)`` with every version that satisfies it.
+def placed_spans(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Readable versions by place, and the stretches of places that each constraint admits.
+
+    A version's ``place`` is the number of versions of its name before it: by order, then
+    later input first, then text, so that the last place of a stretch is its best version.
+    Constraints are turned into stretches of the order; versions and the ends of stretches
+    are sorted together, once, and an end gets the number of versions before it. No version
+    is ever compared with a constraint: work is a sort of versions and ends. All rows are
+    dealt over ranges of name and order, so no name is too large for a task.
 
-    A name with very many pairs is split into a grid: its constraints are dealt over
-    rows and its versions over columns, as many cells as its pair count asks for and
-    shaped so that the longer side is split more. Each side is repeated along the other.
+    Returns ``dep_name, place, dep_version, semver, dep_seq`` and
+    ``dep_name, raw_constraint, first, after``, of which stretches without a version are left out.
     """
-    wanted = (
-        edges.select("dep_name", "raw_constraint")
-        .distinct()
-        .withColumn("_constraint", parse_constraint(F.col("raw_constraint")))
+    stages = Stages(nodes.sparkSession, "spans")
+    parsed = edges.select("dep_name", "raw_constraint").distinct().where(F.col("dep_name").isNotNull())
+    wanted = parsed.withColumn("_spans", spans(parse_constraint(F.col("raw_constraint"))))
+    ends = wanted.select("dep_name", "raw_constraint", F.posexplode("_spans").alias("part", "_span")).select(
+        "dep_name", "raw_constraint", "part", F.explode(F.array("_span.low", "_span.high")).alias("key")
+    )
+    have = with_semver(nodes).where(F.col("name").isNotNull())
+    offered = have.select(
+        F.col("name").alias("dep_name"),
+        F.col("version").alias("dep_version"),
+        "semver",
+        F.col("seq").alias("dep_seq"),
+        sort_key(F.col("semver")).alias("key"),
+    ).withColumn("versions", F.lit(1))
+    both = offered.unionByName(ends.withColumn("versions", F.lit(0)), allowMissingColumns=True)
+    # an end stands before the versions that are equal to it
+    order = [F.col("key"), F.col("versions"), F.col("dep_seq").desc(), F.col("dep_version")]
+    ranges = both.repartitionByRange(F.col("dep_name"), *order).withColumn("_range", F.spark_partition_id())
+    running = running_in_blocks(
+        stages.write(ranges),
+        keys=["dep_name"],
+        block=["_range"],
+        order=order,
+        block_order=[F.col("_range")],
+        per_row=F.sum("versions"),
+        per_block=F.sum("versions"),
+        across=F.sum("_block"),
     )
-    have = with_semver(nodes).select(
-        F.col("name").alias("dep_name"), F.col("version").alias("dep_version"), "semver", F.col("seq").alias("dep_seq")
+    before = F.col("_within") - F.col("versions") + F.coalesce("_before", F.lit(0))
+    counted = stages.write(running.withColumn("place", before).drop("_within", "_before", "_range", "key"))
+    placed = counted.where("versions = 1").select("dep_name", "place", "dep_version", "semver", "dep_seq")
+    stretches = (
+        counted.where("versions = 0")
+        .groupBy("dep_name", "raw_constraint", "part")
+        .agg(F.min("place").alias("first"), F.max("place").alias("after"))
     )
-    asked = edges.groupBy("dep_name").agg(F.count_distinct("raw_constraint").alias("_asked"))
-    offered = nodes.groupBy(F.col("name").alias("dep_name")).agg(F.count(F.lit(1)).alias("_offered"))
-    cells = F.ceil(F.col("_asked") * F.col("_offered") / pairs_per_task)
-    wide = F.greatest(F.least(F.ceil(F.sqrt(cells * F.col("_offered") / F.col("_asked"))), cells), F.lit(1))
-    grid = asked.join(offered, "dep_name").where(cells > 1)
-    grid = grid.select("dep_name", wide.cast("int").alias("_wide"), F.ceil(cells / wide).cast("int").alias("_high"))
-    wide, high = F.coalesce("_wide", F.lit(1)), F.coalesce("_high", F.lit(1))
+    return placed, stretches.where("first < after").drop("part")
 
-    def dealt(side: DataFrame, key: str, own: Column, mine: str, other: Column, theirs: str) -> DataFrame:
-        placed = side.join(grid, "dep_name", "left").withColumn(mine, F.pmod(F.hash(key), own))
-        return placed.withColumn(theirs, F.explode(F.sequence(F.lit(0), other - 1))).drop("_wide", "_high")
 
-    rows = dealt(wanted, "raw_constraint", high, "_row", wide, "_column")
-    columns = dealt(have, "dep_version", wide, "_column", high, "_row")
-    pairs = rows.join(columns, ["dep_name", "_row", "_column"])
-    return pairs.where(satisfies(F.col("semver"), F.col("_constraint"))).drop("_constraint", "_row", "_column")
+def constraint_counts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``dep_name, raw_constraint, candidates``: how many versions satisfy each constraint that any satisfies."""
+    _, stretches = placed_spans(edges, nodes)
+    return stretches.groupBy("dep_name", "raw_constraint").agg(F.sum(F.col("after") - F.col("first")).alias("candidates"))
+
+
+def constraint_matches(edges: DataFrame, nodes: DataFrame, pairs_per_task: int = PAIRS_PER_TASK) -> DataFrame:
+    """Each distinct ``(dep_name, raw_constraint)`` with every version that satisfies it.
+
+    The places of each stretch are listed and looked up by equality: rows are only made for
+    matches. A long stretch is cut first and its cuts are dealt over the tasks.
+    """
+    placed, stretches = placed_spans(edges, nodes)
+    size = F.lit(pairs_per_task).cast("long")
+    cuts = stretches.select(
+        "dep_name", "raw_constraint", "after", F.explode(F.sequence(F.col("first"), F.col("after") - 1, size)).alias("start")
+    ).repartition("dep_name", "raw_constraint", "start")
+    stop = F.least(F.col("start") + size, F.col("after")) - 1
+    listed = cuts.select("dep_name", "raw_constraint", F.explode(F.sequence(F.col("start"), stop)).alias("place"))
+    return listed.join(placed, ["dep_name", "place"]).select("dep_name", "raw_constraint", "dep_version", "semver", "dep_seq")
 
 
 def resolve_all(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -98,13 +139,13 @@ def resolve_all(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def resolve_highest(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Each edge with the highest satisfying version; NULL when nothing satisfies it."""
-    newest = F.struct("semver", -F.col("dep_seq"), "dep_version")
-    best = (
-        constraint_matches(edges, nodes)
-        .groupBy("dep_name", "raw_constraint")
-        .agg(F.max_by("dep_version", newest).alias("dep_version"))
-    )
+    """Each edge with the highest satisfying version; NULL when nothing satisfies it.
+
+    That version is the last place of the constraint's last stretch: one lookup each.
+    """
+    placed, stretches = placed_spans(edges, nodes)
+    last = stretches.groupBy("dep_name", "raw_constraint").agg((F.max("after") - 1).alias("place"))
+    best = last.join(placed, ["dep_name", "place"]).select("dep_name", "raw_constraint", "dep_version")
     return edges.join(best, ["dep_name", "raw_constraint"], "left").select(
         "name", "version", "dep_name", "raw_constraint", "dep_version"
     )
