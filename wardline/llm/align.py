@@ -38,7 +38,7 @@ from wardline.llm import bpe, piece_bpe
 from wardline.llm.bpe import gather, item_groups
 from wardline.plans.stages import Stages
 
-WINDOW_CHARS = 100_000
+WINDOW_CHARS = 250_000
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 #: Distinct (document, pair) entries of a block, and links made at once.
 BLOCK_ENTRIES = 1_000_000
@@ -86,11 +86,11 @@ def common_ends(a_end: np.ndarray, b_end: np.ndarray, a_last: np.ndarray, b_last
         cut_b.append(split_b)
         wider = ~found & ((first > low_a) | (last < high_a - 1))
         low_a, high_a, low_b, high_b, width = (
-            np.r_[low_a[found], split_a + 1, low_a[wider]],
-            np.r_[split_a, high_a[found], high_a[wider]],
-            np.r_[low_b[found], split_b + 1, low_b[wider]],
-            np.r_[split_b, high_b[found], high_b[wider]],
-            np.r_[np.zeros(2 * len(split_a), dtype=np.int64), 2 * width[wider] + 1],
+            np.concatenate((low_a[found], split_a + 1, low_a[wider])),
+            np.concatenate((split_a, high_a[found], high_a[wider])),
+            np.concatenate((low_b[found], split_b + 1, low_b[wider])),
+            np.concatenate((split_b, high_b[found], high_b[wider])),
+            np.concatenate((np.zeros(2 * len(split_a), dtype=np.int64), 2 * width[wider] + 1)),
         )
     last_a = np.concatenate(cut_a)
     order = np.argsort(last_a)

@@ -39,8 +39,8 @@ from wardline.llm.bpe import NO_RANK, gather, item_groups
 
 WINDOW_CHARS = 100_000
 WINDOW_IDS = 100_000
-MOST_WORDS = 100_000
-MOST_CHARS = 2_000_000
+MOST_WORDS = 250_000
+MOST_CHARS = 5_000_000
 MOST_ROUNDS = 48
 #: Fixed values of the model file: the space mark, and the kinds of pieces.
 SPACE = "▁"
@@ -60,9 +60,9 @@ class Model(NamedTuple):
     pair_id: np.ndarray
     base: int
     touchy: np.ndarray  # pieces with a pair that ranks no later than the piece itself
-    character: np.ndarray  # sorted code points that are pieces
-    character_id: np.ndarray
-    neighbours: np.ndarray  # sorted first * 2**21 + second of characters side by side in some piece
+    character: np.ndarray  # symbol of each code point
+    alphabet: np.ndarray  # number of each code point among the characters of pieces, 0 for any other
+    neighbours: np.ndarray  # whether two such characters stand side by side in some piece
     spaces_lead: bool  # no piece has a space mark after another character
     byte_id: np.ndarray
     id_bytes: list[bytes]
@@ -140,8 +140,17 @@ def load_model(path: str) -> Model:
                         touchy[ids[half]] = True
     keys = np.array(sorted(pairs), dtype=np.int64)
     found = np.array([pairs[k] for k in keys.tolist()], dtype=np.int64).reshape(-1, 2)
-    single = sorted((ord(t), i) for t, i in ids.items() if len(t) == 1)
-    beside = {ord(t[i]) << 21 | ord(t[i + 1]) for t in ids for i in range(len(t) - 1)}
+    character = np.arange(size, base, dtype=np.int32)
+    for text, number in ids.items():
+        if len(text) == 1:
+            character[ord(text)] = number
+    used = sorted({c for t in ids for c in t})
+    alphabet = np.zeros(_POINTS, dtype=np.int32)
+    alphabet[[ord(c) for c in used]] = np.arange(1, len(used) + 1)
+    neighbours = np.zeros((len(used) + 1, len(used) + 1), dtype=bool)
+    for text in ids:
+        own = alphabet[[ord(c) for c in text]]
+        neighbours[own[:-1], own[1:]] = True
     byte_id = np.zeros(256, dtype=np.int64)
     id_bytes, strips = [b""] * size, np.zeros(size, dtype=np.int8)
     for i, (text, _, kind) in enumerate(pieces):
@@ -161,9 +170,9 @@ def load_model(path: str) -> Model:
         found[:, 1],
         base,
         touchy,
-        np.array([c for c, _ in single], dtype=np.int64),
-        np.array([i for _, i in single], dtype=np.int64),
-        np.array(sorted(beside), dtype=np.int64),
+        character,
+        alphabet,
+        neighbours,
         not any(SPACE in t.lstrip(SPACE) for t in ids),
         byte_id,
         id_bytes,
@@ -171,16 +180,11 @@ def load_model(path: str) -> Model:
     )
 
 
-def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place of each key by binary search, and whether it is there."""
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return at, sorted_keys[at] == keys
-
-
 def _pairs(model: Model, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rank and piece of pairs of symbols; ``NO_RANK`` where they make no piece."""
-    at, known = _find(model.pair_keys, left * model.base + right)
-    return np.where(known, model.pair_rank[at], NO_RANK), model.pair_id[at]
+    keys = left * model.base + right
+    at = np.minimum(np.searchsorted(model.pair_keys, keys), len(model.pair_keys) - 1)
+    return np.where(model.pair_keys[at] == keys, model.pair_rank[at], NO_RANK), model.pair_id[at]
 
 
 def _in_order(symbols: list[int], model: Model, table: dict[int, tuple[int, int]]) -> tuple[list[int], list[int]]:
@@ -231,18 +235,18 @@ def _first_only(word: np.ndarray, stop: np.ndarray) -> np.ndarray:
 def merge_rounds(words: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all words in one flat array, and where each word starts (one more for the end)."""
     lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    points = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    points = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)
     if not len(points):
         return np.zeros(0, dtype=np.int64), np.zeros(len(words) + 1, dtype=np.int64)
     owner = np.repeat(np.arange(len(words)), lengths)
-    at, known = _find(model.character, points)
-    symbol = np.where(known, model.character_id[at], model.size + points)
-    _, joined = _find(model.neighbours, points[:-1] << 21 | points[1:])
-    word = np.r_[0, np.cumsum(~joined | (owner[1:] != owner[:-1]))]
+    symbol = model.character[points].astype(np.int64)
+    letter = model.alphabet[points]
+    joined = model.neighbours[letter[:-1], letter[1:]] & (owner[1:] == owner[:-1])
+    word = np.r_[0, np.cumsum(~joined)]
     place = np.arange(len(points))
     rank = np.full(len(symbol), NO_RANK)  # of the pair that begins at each place
     piece = np.zeros(len(symbol), dtype=np.int64)
-    changed = np.arange(len(symbol))
+    changed = np.flatnonzero(joined)
     done_place, done_symbol = [], []
     rounds, table = 0, {}
     while len(symbol):
