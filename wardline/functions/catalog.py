@@ -404,92 +404,21 @@ HAYSTACK_NAME_CAPABILITIES = (
     ("converter", "data:convert"),
 )
 
-# Parts of the patterns below: nested brackets once, further decorators, the function's name
-# and its docstring. Repeats that hold groups are possessive or bounded, so that no text
-# makes the matcher recurse without end.
-_CALL = r"\([^()]*+(?:\([^()]*+\)[^()]*+)*+\)"
-_FUNCTION = (
-    rf"(?:\s*{_CALL})?+[^\n]*+\n(?:[ \t]*+@[^\n]*+\n)*+\s*+(?:async\s++)?+def\s++(\w++)"
-    rf"(?:\s*+{_CALL}[^\n:]*+:\s*+(?:\"\"\"|''')\s*+([^\"']*+))?+"
-)
-FUNCTION_TAIL = _FUNCTION
 SHOWN_SERVER_TOOLS = 5
-_INSIDE = r"(?:[^()]*+\([^()]*+\)){0,40}?[^()]*?"
-
-
-def _subclass(base: str) -> str:
-    return rf"class\s+(\w+)\s*\((?:[^)]*[^\w)])?(?:{base})\b[^)]*\)"
-
-
-# Classes of the agent kits that a pattern names (fixed values).
 HOSTED_TOOLS = ("WebSearchTool", "FileSearchTool", "CodeInterpreterTool", "ComputerTool")
 AGENT_SERVERS = ("MCPServerStdio", "MCPServerHTTP", "MCPServerSse", "MCPServerStreamableHttp")
-
-# (format, kind, pattern, flags, name prefix): group 1 of each match names one definition;
-# a second group is its description.
-DEFINITION_PATTERNS = (
-    ("openai_agents", "function_tool", r"@(?:\w+\.)?function_tool\b" + _FUNCTION, "", ""),
-    ("openai_agents", "agent", rf"\bAgent\s*\({_INSIDE}\bname\s*=\s*[\"']([^\"']+)[\"']", "", ""),
-    (
-        "openai_agents",
-        "mcp_server",
-        rf"\b(?:{'|'.join(AGENT_SERVERS)})\s*\([^()]*?\b(?:command|url)\s*=\s*[\"']([^\"']+)[\"']",
-        "",
-        "",
-    ),
-    ("google_adk", "agent", rf"Agent\s*\({_INSIDE}\bname\s*=\s*[\"'](\w+)[\"']", "", ""),
-    ("google_adk", "function_tool", r"\bFunctionTool\s*\(\s*(?:func\s*=\s*)?(\w+)", "", ""),
-    ("google_adk", "callback", r"\b(?:before|after)_(?:agent|model|tool)_callback\s*=\s*(\w+)", "", ""),
-    ("langchain", "class", _subclass("BaseTool"), "", ""),
-    ("langchain", "function", r"@(?:\w+\.)?tool\b" + _FUNCTION, "", ""),
-    ("crewai", "class", _subclass("BaseTool"), "", ""),
-    ("crewai", "function", r"@(?:\w+\.)?tool\b" + _FUNCTION, "", ""),
-    ("autogen", "function", r"@\w+\.register_for_llm\b" + _FUNCTION, "", ""),
-    (
-        "autogen",
-        "schema",
-        r"[\"']type[\"']\s*:\s*[\"']function[\"']\s*,\s*[\"']function[\"']\s*:\s*\{\s*[\"']name[\"']\s*:\s*[\"']([^\"']+)[\"']",
-        "",
-        "",
-    ),
-    ("composio", "action", r"@action\b" + _FUNCTION, "", ""),
-    ("semantic_kernel", "function", r"@(?:\w+\.)?kernel_function\b" + _FUNCTION, "", ""),
-    ("llamaindex", "reader", r"\b([A-Z]\w*Reader)\s*\(", "", ""),
-    ("mastra", "tool", r"createTool\s*\(\s*\{[^}]*?id\s*:\s*[\"']([^\"']+)[\"']", "s", ""),
-    ("mastra", "agent", r"new\s+Agent\s*\(\s*\{[^}]*?name\s*:\s*[\"']([^\"']+)[\"']", "s", ""),
-    ("pydanticai", "agent", r"Agent\s*\(\s*[\"']([^\"']+)[\"']", "", "agent_"),
-    ("pydanticai", "function", r"@\w+\.(?:tool_plain|tool)\b" + _FUNCTION, "", ""),
-    ("agno", "agent", rf"Agent\s*\({_INSIDE}\bname\s*=\s*[\"']([^\"']+)[\"']", "", ""),
-    ("agno", "toolkit", _subclass("Toolkit"), "", ""),
-    ("camel", "function_tool", r"\bFunctionTool\s*\(\s*(?:func\s*=\s*)?(\w+)", "", ""),
-    ("metagpt", "class", _subclass("Role|Action"), "", ""),
-    ("metagpt", "function", r"@register_tool\b" + _FUNCTION, "", ""),
-    ("haystack", "tool", r"create_tool_from_function\s*\(\s*(\w+)\s*\)", "", ""),
-    ("haystack", "component", r"\.add_component\s*\(\s*(?:name\s*=\s*)?[\"']([^\"']+)[\"']", "", ""),
-    ("anthropic_sdk", "function", r"@(?:\w+\.)?tool\b" + _FUNCTION, "", ""),
-    ("anthropic_sdk", "agent", r"[\"']([\w-]+)[\"']\s*:\s*AgentDefinition\s*\(", "", ""),
-    ("anthropic_sdk", "mcp_server", r"create_sdk_mcp_server\s*\(\s*(?:name\s*=\s*)?[\"']([^\"']+)[\"']", "", ""),
-    ("mcp_server", "tool", r"@\w+\.tool\b" + _FUNCTION, "", ""),
-    ("mcp_server", "tool", r"(?<![@\w.])\w+\.tool\s*\(\s*[\"']([^\"']+)[\"']", "", ""),
-)
-# (format, kind, label, pattern): each match yields one definition named by the label.
-LABELLED_PATTERNS = (
-    ("llamaindex", "function_tool", "function_tool", r"FunctionTool\.from_defaults\s*\("),
-    ("llamaindex", "query_engine_tool", "query_engine_tool", r"QueryEngineTool\s*\("),
-    ("llamaindex", "react_agent", "react_agent", r"ReActAgent\.from_tools\s*\("),
-    ("google_adk", "mcp_toolset", "mcp_toolset", r"\bMCPToolset\s*\("),
-    ("anthropic_sdk", "hook", "hook", r"\bHookMatcher\s*\("),
-    *[
-        ("openai_agents", "hosted_tool", name, rf"(?m)^\s*from\s+[\w.]+\s+import\s+(?:\([^)]*|[^\n(]*)\b{name}\b")
-        for name in HOSTED_TOOLS
-    ],
-    *[
-        ("openai_agents", "mcp_server", name, rf"\b{name}\s*\((?![^()]*\b(?:command|url)\s*=\s*[\"'])")
-        for name in AGENT_SERVERS
-    ],
-)
-MASTRA_TOOL_DESCRIPTION = r"createTool\s*\(\s*\{[^}]*?description\s*:\s*[\"']([^\"']+)[\"']"
-MASTRA_AGENT_INSTRUCTIONS = r"new\s+Agent\s*\(\s*\{[^}]*?instructions\s*:\s*[\"']([^\"']+)[\"']"
+INDEX_AGENTS = ("ReActAgent", "FunctionCallingAgent", "OpenAIAgent", "CustomSimpleAgentWorker")
+INDEX_READERS = (
+    "SimpleWebPageReader", "SimpleDirectoryReader", "DatabaseReader", "WikipediaReader", "BeautifulSoupWebReader",
+    "TrafilaturaWebReader", "SlackReader", "DiscordReader", "GithubRepositoryReader", "GoogleDocsReader",
+    "NotionPageReader", "S3Reader",
+)
+#: Script objects of one format: how one begins, the key that names it, and the key that describes it.
+MASTRA_OBJECTS = {
+    "tool": (r"createTool\s*+\(\s*+\{", "id", "description"),
+    "agent": (r"new\s++Agent\s*+\(\s*+\{", "name", "instructions"),
+}
+AGNO_BUILTIN_IMPORTS = r"from\s++(?:agno|phi)\.tools\.\w++\s++import\s++([^\n]++)"
 
 # --- trust (fixed values) ----------------------------------------------------
 

