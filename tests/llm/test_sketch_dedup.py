@@ -58,6 +58,27 @@ def test_against_all_pairs(spark):
     assert got == brute(rows, 4)
 
 
+def test_one_bucket_of_many_distinct_copies(spark, monkeypatch):
+    """Hundreds of texts alike between 0.6 and 1 share buckets and fall into many components; blocks are small."""
+    monkeypatch.setattr(S, "BLOCK_NODES", 150)
+    random = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = [" ".join(near(random, base, share)) for share in random.uniform(0, 0.08, 700)]
+    rows += [" ".join(base[:140] + [f"end{k}", f"fin{k}"]) for k in range(60)]
+    rows = list(enumerate(rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in S.classes(df, 4).collect()}
+    want = brute(rows, 4)
+    assert got == want and 20 < len({c for _, c in want.values()}) < 740
+
+
+def test_a_very_long_text(spark):
+    text = " ".join(f"w{i}" for i in range(200_000))
+    df = spark.createDataFrame([(1, text), (2, text.replace("w777 ", "z ")), (3, text[: len(text) // 2])], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in S.classes(df, 4).collect()}
+    assert got == {1: (199_997, 1), 2: (199_997, 1), 3: (got[3][0], 3)}
+
+
 def test_whole_table_against_all_pairs(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]

@@ -6,11 +6,13 @@ rounds end when every bin is filled; in the second half of the rounds each goes
 bin, so that all bins always fill. Equal bins estimate the similarity. Bands of bins
 give candidate pairs, which are verified on the full sets.
 
-Equal sets are one node, so copies cost nothing. Within a bucket of a band not all pairs are
-compared: first every node with a few leaders, then leaders from outside the bucket's
-largest component with the nodes of other components, more of them each time. A bucket is
-done when all its nodes are in one component or every node outside of its largest
-component has been compared with all others.
+Equal sets are one node, so copies cost nothing. Within a bucket of a band every node is
+first compared with one leader. A bucket whose nodes are then in one component is done. In
+the others the nodes outside of the bucket's largest component, its strays, are compared
+with each other and with those inside. That is dealt over a grid: blocks of strays against
+blocks of strays and of the rest, bounded in rows and in shingles. A task compares the
+sketches of its two blocks, verifies candidates of different components on the full sets,
+most similar first, and returns a spanning forest of the links it found, never pairs.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing,
 each its own component. A row without id takes part in links; a component's id is the
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +40,9 @@ ROWS = 6
 BITS = 10
 BINS = BANDS * ROWS
 LINK_PERCENT = 80
-MORE_LEADERS = 64
+#: Nodes and shingles of a block of the grid, as expected sizes.
+BLOCK_NODES = 512
+BLOCK_SHINGLES = 1_000_000
 #: Candidates whose estimate is this many standard deviations below the limit are not verified.
 DEVIATIONS = 4
 PAIRS_PER_TASK = 20_000
@@ -175,11 +180,17 @@ def shingle_sets(df: DataFrame, shingle_words: int, text: str = "text") -> Colum
     return listed(F.coalesce(F.col(text), F.lit("")))
 
 
-def _leaders(rows: DataFrame, slots: int, turn: int) -> DataFrame:
-    """One node per bucket and slot."""
-    slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(slots))
-    found = rows.groupBy("band", slot.alias("slot")).agg(F.min("node").alias("node"))
-    return found.select("band", "node", F.lit(True).alias("leads"))
+def _equal_bins(differ: np.ndarray) -> np.ndarray:
+    """As :func:`equal_bins`, of the packed differences of many pairs."""
+    low = _U(sum(((1 << (BITS - 1)) - 1) << (i * BITS) for i in range(ROWS)))
+    high = _U(sum(1 << (i * BITS + BITS - 1) for i in range(ROWS)))
+    unequal = (((differ & low) + low) | differ) & high
+    return BINS - np.bitwise_count(unequal).sum(axis=1, dtype=np.int64)
+
+
+def _leaders(rows: DataFrame) -> DataFrame:
+    """One node of each bucket."""
+    return rows.groupBy("band").agg(F.min("node").alias("node")).select("band", "node", F.lit(True).alias("leads"))
 
 
 def links(df: DataFrame, signed: DataFrame, shingle_words: int, stages: Stages, percent: int = LINK_PERCENT, text: str = "text") -> DataFrame:
@@ -220,17 +231,10 @@ def links(df: DataFrame, signed: DataFrame, shingle_words: int, stages: Stages,
     least = bins * (limit - DEVIATIONS * (limit * (1 - limit) / bins) ** 0.5)
 
     def compared(rows: DataFrame) -> DataFrame:
-        """Verified pairs of each leader with the nodes of other components in its bucket, each pair once.
-
-        A pair belongs to the first band that both share; a node that has led was compared already.
-        """
-        lead = rows.where("leads").select(
-            "band", F.col("node").alias("leader"), F.col("component").alias("own"), F.col("n").alias("size"), F.col("sketch").alias("ahead")
-        )
+        """Verified pairs of each bucket's leader with its other nodes; a pair belongs to the first band that both share."""
+        lead = rows.where("leads").select("band", F.col("node").alias("leader"), F.col("n").alias("size"), F.col("sketch").alias("ahead"))
         meet = (
-            (F.col("component") != F.col("own"))
-            & ~F.col("led")
-            & (~F.col("leads") | (F.col("leader") < F.col("node")))
+            ~F.col("leads")
             & alike(F.col("n"), F.col("size"))
             & (first_common(F.col("sketch"), F.col("ahead")) == F.col("place"))
             & (equal_bins(F.col("sketch"), F.col("ahead")) >= least)
@@ -240,27 +244,106 @@ def links(df: DataFrame, signed: DataFrame, shingle_words: int, stages: Stages,
         pairs, count = stages.measured(pairs.coalesce(tasks), F.count(F.lit(1)))
         return verified(pairs).coalesce(tasks_for(count, PAIRS_PER_TASK))
 
-    slots, turn, labels = 1, 0, None
-    rows = members.withColumns({"component": F.col("node"), "led": F.lit(False)})
-    leaders = stages.write(_leaders(rows, slots, turn).coalesce(tasks))
-    while True:
-        marked = rows.join(leaders, ["band", "node"], "left").withColumn("leads", F.coalesce("leads", F.lit(False)))
-        rows = stages.write(marked.coalesce(tasks))
-        # the labels so far stand for all edges found before
-        edges = stages.write(compared(rows))
-        labels = components(edges if labels is None else edges.unionByName(labels.toDF("a", "b")), stages)
-        plain = rows.select("band", "place", "node", "n", "sketch", (F.col("led") | F.col("leads")).alias("led"))
-        placed = plain.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        placed = stages.write(placed.coalesce(tasks))
-        per = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("rows")).coalesce(tasks)
-        largest = per.groupBy("band").agg(F.max(F.struct("rows", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("parts"))
-        rows = stages.write(placed.join(largest.where("parts > 1").select("band", "main"), "band").coalesce(tasks))
-        strays = rows.where((F.col("component") != F.col("main")) & ~F.col("led"))
-        slots, turn = slots * MORE_LEADERS, turn + 1
-        leaders, left = stages.measured(_leaders(strays, slots, turn).coalesce(tasks), F.count(F.lit(1)))
-        if not left:
-            return labels
-        rows = rows.drop("main")
+    rows = members.withColumn("component", F.col("node"))
+    leaders = _leaders(rows).coalesce(tasks)
+    rows = rows.join(leaders, ["band", "node"], "left").withColumn("leads", F.coalesce("leads", F.lit(False)))
+    labels = components(stages.write(compared(stages.write(rows.coalesce(tasks)))), stages)
+    placed = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = stages.write(placed.coalesce(tasks))
+    per = placed.groupBy("band", "component").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles")).coalesce(tasks)
+    open_ = per.groupBy("band").agg(
+        F.max(F.struct("rows", "component", "shingles")).alias("main"),
+        F.sum("rows").alias("rows"),
+        F.sum("shingles").alias("shingles"),
+        F.count(F.lit(1)).alias("parts"),
+    ).where("parts > 1")
+    return components(stages.write(_grid(placed, open_, sets, percent, least)).unionByName(labels.toDF("a", "b")), stages)
+
+
+def _grid(placed: DataFrame, open_: DataFrame, sets: DataFrame, percent: int, least: float) -> DataFrame:
+    """A spanning forest of the links between components in the buckets that have several."""
+
+    def blocks_of(rows: Column, shingles: Column) -> Column:
+        return F.greatest(F.ceil(rows / BLOCK_NODES), F.ceil(shingles / BLOCK_SHINGLES), F.lit(1)).cast("int")
+
+    sized = open_.select(
+        "band",
+        F.col("main.component").alias("main"),
+        blocks_of(F.col("rows") - F.col("main.rows"), F.col("shingles") - F.col("main.shingles")).alias("strays"),
+        blocks_of(F.col("main.rows"), F.col("main.shingles")).alias("rest"),
+    )
+    rows = placed.join(sized, "band").withColumn("inside", F.col("component") == F.col("main"))
+    block = F.pmod(F.xxhash64("node", F.lit("grid")), F.when(F.col("inside"), F.col("rest")).otherwise(F.col("strays"))).cast("int")
+    rows = rows.withColumn("own", F.when(F.col("inside"), block + F.col("strays")).otherwise(block))
+
+    def cell(x: Column, y: Column) -> Column:
+        return F.struct(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"))
+
+    with_strays = F.transform(F.sequence(F.lit(0), F.col("strays") - 1), lambda i: cell(i, F.col("own")))
+    with_rest = F.transform(F.sequence(F.lit(0), F.col("rest") - 1), lambda k: cell(F.col("own"), k + F.col("strays")))
+    cells = F.when(F.col("inside"), with_strays).otherwise(F.concat(with_strays, with_rest))
+    dealt = rows.select("band", "place", "node", "component", "sketch", "own", F.explode(cells).alias("cell"))
+    filled = dealt.select("band", "place", "node", "component", "sketch", "own", "cell.*").join(sets, "node")
+
+    def forest(key: tuple, table: pa.Table) -> pa.Table:
+        a, b = _spanning(table, key[1].as_py(), key[2].as_py(), percent, least)
+        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    return filled.groupBy("band", "x", "y").applyInArrow(forest, "a binary, b binary")
+
+
+def _spanning(table: pa.Table, x: int, y: int, percent: int, least: float) -> tuple[list[bytes], list[bytes]]:
+    """Links between the components of two blocks, as many as join them up."""
+    own = table["own"].to_numpy()
+    node, component = table["node"].to_pylist(), table["component"].to_pylist()
+    sketch = table["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(own), BANDS)
+    shingles = table["shingles"].combine_chunks()
+    size = pc.list_value_length(shingles).to_numpy().astype(np.int64)
+    sets = np.split(shingles.flatten().to_numpy().view(np.uint64), np.cumsum(size)[:-1])  # each sorted
+    place = table["place"][0].as_py()
+    names = {c: i for i, c in enumerate(dict.fromkeys(component))}
+    number = np.array([names[c] for c in component])
+    parent = list(range(len(names)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+    found = []
+    step = max(1, 2_000_000 // max(1, len(right) * BANDS))
+    for start in range(0, len(left), step):
+        some = left[start : start + step]
+        apart = number[some][:, None] != number[right][None, :]
+        if x == y:
+            apart &= some[:, None] < right[None, :]
+        n, m = size[some][:, None], size[right][None, :]
+        i, j = np.nonzero(apart & (100 * n >= percent * m) & (100 * m >= percent * n))
+        i, j = some[i], right[j]
+        for part in range(0, len(i), 100_000):
+            a, b = i[part : part + 100_000], j[part : part + 100_000]
+            differ = sketch[a] ^ sketch[b]
+            # a pair belongs to the first band that both share
+            a, b, differ = (v[(differ == 0).argmax(axis=1) == place] for v in (a, b, differ))
+            equal = _equal_bins(differ)
+            kept = equal >= least
+            found.append(np.stack([equal[kept], a[kept], b[kept]], axis=1))
+    ranked = np.concatenate(found) if found else np.zeros((0, 3), dtype=np.int64)
+    edges: tuple[list[bytes], list[bytes]] = ([], [])
+    for _, i, j in ranked[np.argsort(-ranked[:, 0], kind="stable")].tolist():
+        a, b = root(number[i]), root(number[j])
+        if a == b:
+            continue
+        short, long = (i, j) if size[i] <= size[j] else (j, i)
+        at = np.minimum(np.searchsorted(sets[long], sets[short]), size[long] - 1)
+        common = int(np.count_nonzero(sets[long][at] == sets[short]))
+        if 100 * common >= percent * (size[i] + size[j] - common):
+            parent[max(a, b)] = min(a, b)
+            edges[0].append(node[i])
+            edges[1].append(node[j])
+    return edges
 
 
 def _labelled(df: DataFrame, shingle_words: int, percent: int, text: str) -> DataFrame:
