@@ -63,6 +63,34 @@ def test_language_of_odd_texts(spark):
     assert df.where("doc_id = 6").select(langid.identify(df, one)["score"].alias("s")).first()["s"] == 1.0
 
 
+def test_texts_that_fit_no_codeword_are_foreign(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = langid.train(docs, sampling.remainder("doc_id", 4) != 2)
+    draw = np.random.default_rng(3)
+    odd = ["".join(draw.choice(list(letters), 1500)) for letters in ("abcdefghijklmnopqrstuvwxyz ", "абвгдежзийклмнопрст ") for _ in range(20)]
+    odd = spark.createDataFrame([(t,) for t in odd] + [("xq zv",)], "text string")
+    flags = [r[0] for r in odd.select(langid.identify(odd, model)["foreign"]).collect()]
+    assert sum(flags[:40]) > 30 and not flags[40]
+    held = docs.where((sampling.remainder("doc_id", 4) == 2) & sampling.F.col("lang").isNotNull())
+    assert held.where(langid.identify(held, model)["foreign"]).count() == 0
+
+
+def test_decoding_is_the_least_weighted_loss():
+    """Against a plain restatement, codeword by codeword."""
+    draw = np.random.default_rng(4)
+    features = langid.scaled(draw.integers(0, 5, (60, langid.BUCKETS)).astype(float))
+    labels = [("a", "b", "c")[i % 3] for i in range(60)]
+    features[np.arange(60), np.arange(60) % 3] += 1
+    model = langid.fit(features, labels)
+    best, score, _, least = langid.predict(model, features)
+    for i, row in enumerate(features):
+        loss = []
+        for word, trust in zip(model.code, model.trust):
+            loss.append(sum(t * np.exp(-w * float(row @ model.weights[:, b] + model.bias[b])) for b, (w, t) in enumerate(zip(word, trust))))
+        assert best[i] == int(np.argmin(loss)) and abs(least[i] - min(loss)) < 1e-3
+        assert abs(score[i] - 1 / sum(np.exp(-langid.SHARPNESS * (x - min(loss))) for x in loss)) < 1e-3
+
+
 def test_scores_of_odd_texts(spark):
     docs = spark.createDataFrame([(i, "good words here. " * 9 if i % 2 else "bad *** bad *** bad") for i in range(60)], "doc_id long, text string")
     labels = docs.selectExpr("doc_id", "int(doc_id % 2) AS quality", "int(1 - doc_id % 2) AS toxic")

@@ -12,6 +12,7 @@ split pattern always ends a word (before white space that follows other characte
 
 from __future__ import annotations
 
+import functools
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -58,6 +59,7 @@ def _byte_characters() -> list[str]:
     return [shown[b] for b in range(256)]
 
 
+@functools.cache
 def later_characters() -> frozenset[str]:
     """Characters that the regex module takes for letters or numbers and Python's Unicode tables do not know yet."""
     later = regex.compile(r"[\p{L}\p{N}]")
@@ -253,9 +255,13 @@ def item_groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def encode(df: DataFrame, vocabulary_path: str, text: str = "text", output: str = "ids") -> DataFrame:
-    """Adds the token ids of every whole text; the vocabulary file is read by the driver only."""
-    shared = df.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary_path))
+def _loaded(vocabulary: str | Vocabulary) -> Vocabulary:
+    return load_vocabulary(vocabulary) if isinstance(vocabulary, str) else vocabulary
+
+
+def encode(df: DataFrame, vocabulary: str | Vocabulary, text: str = "text", output: str = "ids") -> DataFrame:
+    """Adds the token ids of every whole text; a vocabulary file is read by the driver only."""
+    shared = df.sparkSession.sparkContext.broadcast(_loaded(vocabulary))
 
     @F.arrow_udf("array<int>")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -272,9 +278,9 @@ def encode(df: DataFrame, vocabulary_path: str, text: str = "text", output: str
     return df.withColumn(output, encoded(F.col(text)))
 
 
-def decode(df: DataFrame, vocabulary_path: str, ids: str = "ids", output: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, vocabulary: str | Vocabulary, ids: str = "ids", output: str = "decoded") -> DataFrame:
     """Adds the text of an array of ids; bytes that are no UTF-8 become replacement characters."""
-    shared = df.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary_path).id_bytes)
+    shared = df.sparkSession.sparkContext.broadcast(_loaded(vocabulary).id_bytes)
 
     @F.arrow_udf("string")
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -3,11 +3,15 @@
 Every language has a codeword of +1 and -1. One linear classifier per bit, fitted by
 ridge regression on hashed byte n-grams, predicts that bit of a whole text. Decoding
 takes the language whose codeword has the smallest loss, each bit weighted by how well
-its classifier knows that language; a small gap to the second best is flagged.
+its classifier knows that language; a small gap to the second best is flagged. A text that
+fits no codeword is flagged as foreign: its smallest loss is more than ``FOREIGN_PART`` of
+the way from that of the worst hundredth of the learning texts to 1, the loss of knowing
+nothing. That is set so that texts in several of the languages are not foreign. Texts of fewer than
+``LEAST_NGRAMS`` n-grams (about 300 bytes) are too short to be told foreign.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0 and
 flagged; so is every text if nothing can be learned from. One learned language is
-predicted with score 1. Repeated rows get the same result. The language, source and id
+predicted with score 1, and nothing is foreign to it. Repeated rows get the same result. The language, source and id
 of a row are not used in its prediction.
 """
 
@@ -31,6 +35,8 @@ SAMPLE_ROWS = 2400
 RIDGE = 0.3
 SHARPNESS = 8.0
 CLOSE = 0.04
+LEAST_NGRAMS = 900
+FOREIGN_PART = 0.7
 
 _SHOWN = np.where(LETTER, LOWER, np.uint8(0x20))
 _SHOWN[0xC3] = 0xC3
@@ -80,6 +86,7 @@ class Model(NamedTuple):
     weights: np.ndarray
     bias: np.ndarray
     trust: np.ndarray  # per language and bit, rows sum to 1
+    limit: float  # smallest loss beyond which a text is foreign
 
 
 def fit(features: np.ndarray, labels: list[str], ridge: float = RIDGE) -> Model:
@@ -95,19 +102,26 @@ def fit(features: np.ndarray, labels: list[str], ridge: float = RIDGE) -> Model:
     for i, language in enumerate(languages):
         own = np.array(labels) == language
         trust[i] = np.clip((fitted[own] * code[i]).mean(axis=0), 0.05, 1)
-    return Model(languages, code, (features.T @ dual).astype(np.float32), mean.astype(np.float32), trust / trust.sum(axis=1, keepdims=True))
+    trust /= trust.sum(axis=1, keepdims=True)
+    worst = np.quantile(losses(code, trust, fitted).min(axis=1), 0.99)
+    limit = float(worst + FOREIGN_PART * (1 - worst)) if len(languages) > 1 and worst < 1 else float("inf")
+    return Model(languages, code, (features.T @ dual).astype(np.float32), mean.astype(np.float32), trust, limit)
 
 
-def predict(model: Model, features: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Language number, score from 0 to 1 and whether the choice is a close one."""
-    bits = features @ model.weights + model.bias
-    loss = np.einsum("lb,nlb->nl", model.trust, np.exp(-bits[:, None, :] * model.code[None]))
+def losses(code: np.ndarray, trust: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Loss of every codeword for each text's bits."""
+    return np.einsum("lb,nlb->nl", trust, np.exp(-bits[:, None, :] * code[None]))
+
+
+def predict(model: Model, features: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Language number, score from 0 to 1, whether the choice is a close one, and the smallest loss."""
+    loss = losses(model.code, model.trust, features @ model.weights + model.bias)
     best = loss.argmin(axis=1)
     chance = np.exp(-SHARPNESS * (loss - loss.min(axis=1, keepdims=True)))
     score = 1 / chance.sum(axis=1)
     ordered = np.sort(loss, axis=1)
     close = (ordered[:, 1] - ordered[:, 0]) < CLOSE if loss.shape[1] > 1 else np.zeros(len(best), dtype=bool)
-    return best, score, close
+    return best, score, close, loss.min(axis=1)
 
 
 def train(docs: DataFrame, learn: Column, sample_rows: int = SAMPLE_ROWS) -> Model | None:
@@ -131,14 +145,21 @@ def train(docs: DataFrame, learn: Column, sample_rows: int = SAMPLE_ROWS) -> Mod
     got = rows.select("label", counted("text").alias("features")).toArrow()
     if not len(got):
         return None
-    features = np.frombuffer(b"".join(got["features"].to_pylist()), dtype=np.float32).reshape(-1, BUCKETS)
-    return fit(features, got["label"].to_pylist())
+    labels = got["label"].to_pylist()
+    features = np.empty((len(labels), BUCKETS), dtype=np.float32)
+    row = 0
+    for chunk in got["features"].chunks:
+        for value in chunk:
+            features[row] = np.frombuffer(value.as_buffer(), dtype=np.float32)
+            row += 1
+    del got
+    return fit(features, labels)
 
 
 def identify(df: DataFrame, model: Model | None, text: str = "text") -> Column:
-    """Struct of lang_pred, score and ambiguous for each whole text."""
-    kind = "lang_pred string, score double, ambiguous boolean"
-    unknown = F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("ambiguous"))
+    """Struct of lang_pred, score, ambiguous and foreign for each whole text."""
+    kind = "lang_pred string, score double, ambiguous boolean, foreign boolean"
+    unknown = F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("ambiguous"), F.lit(False).alias("foreign"))
     if model is None:
         return unknown
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -147,14 +168,16 @@ def identify(df: DataFrame, model: Model | None, text: str = "text") -> Column:
     def identified(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             learned = shared.value
-            names, scores, close = [], [np.zeros(0)], [np.zeros(0, dtype=bool)]
+            names, scores, close, foreign = [], [np.zeros(0)], [np.zeros(0, dtype=bool)], [np.zeros(0, dtype=bool)]
             for *_, counts in count_blocks(batch, BUCKETS, ngrams):
-                best, score, near = predict(learned, scaled(counts))
+                best, score, near, loss = predict(learned, scaled(counts))
                 names += [learned.languages[i] for i in best]
                 scores.append(score)
                 close.append(near)
-            columns = [pa.array(names, pa.string()), pa.array(np.concatenate(scores).astype(float)), pa.array(np.concatenate(close))]
-            yield pa.StructArray.from_arrays(columns, ["lang_pred", "score", "ambiguous"])
+                foreign.append((loss > learned.limit) & (counts.sum(axis=1) >= LEAST_NGRAMS))
+            columns = [pa.array(names, pa.string()), pa.array(np.concatenate(scores).astype(float))]
+            columns += [pa.array(np.concatenate(flags)) for flags in (close, foreign)]
+            yield pa.StructArray.from_arrays(columns, ["lang_pred", "score", "ambiguous", "foreign"])
 
     lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     return F.when(lettered, identified(F.col(text))).otherwise(unknown)
