@@ -19,10 +19,16 @@ SHINGLE_WORDS = 5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that no language can be told of: those without any letter."""
+    """Drops the documents that no language can be told of: those without any letter, and those that fit no codeword.
+
+    Where no language could be learned, only those without any letter go.
+    """
     model = langid.train(docs, sampling.remainder("doc_id", 4) != 2)
+    if model is None:
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     found = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_doc"), langid.identify(docs, model).alias("_found"))
-    return found.where(F.col("_found.lang_pred") != langid.UNKNOWN).select("_doc.*")
+    kept = (F.col("_found.lang_pred") != langid.UNKNOWN) & ~F.col("_found.foreign")
+    return found.where(kept).select("_doc.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +48,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every copy, and a digest of what they decode to."""
-    path = public_tokenizers.path(TOKENIZER)
-    encoded = bpe.encode(docs.select("doc_id", "text"), path).select("doc_id", "ids")
-    return bpe.decode(encoded, path).select(
+    vocabulary = bpe.load_vocabulary(public_tokenizers.path(TOKENIZER))
+    encoded = bpe.encode(docs.select("doc_id", "text"), vocabulary).select("doc_id", "ids")
+    return bpe.decode(encoded, vocabulary).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         "ids",
