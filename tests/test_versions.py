@@ -157,3 +157,32 @@ def test_best_of_equal_versions_and_repeated_rows(spark):
     want = {("a", "*", best), ("a", "^1.0.0", best), ("a", None, None), (None, "*", None), ("z", "*", None)}
     assert {tuple(r) for r in got} == want and len(got) == len(want)
     assert versions.constraint_matches(edges, nodes).count() == 8
+
+
+def test_pruning_moves_only_the_newly_dead(spark, monkeypatch):
+    """A chain that dies from its far end, beside names that stay: each round writes what it kills."""
+    length = 6
+    nodes = spark.createDataFrame(
+        [(i, f"n{i}", "1.0.0", ["a"]) for i in range(length)] + [(100 + i, f"fine{i}", "1.0.0", ["a"]) for i in range(50)]
+        + [(200, "choice", "1.0.0", ["a"]), (201, "choice", "2.0.0", ["b"])],
+        "seq int, name string, version string, capabilities array<string>",
+    )
+    rows = [(f"n{i}", "1.0.0", f"n{i + 1}", "*") for i in range(length - 1)] + [(f"n{length - 1}", "1.0.0", "absent", "*")]
+    rows += [(f"fine{i}", "1.0.0", f"fine{i + 1}", "^1.0.0") for i in range(49)] + [("fine49", "1.0.0", "choice", "*"), ("n0", "1.0.0", None, "*")]
+    edges = spark.createDataFrame(rows, "name string, version string, dep_name string, raw_constraint string")
+    written = []
+    append = resolution.Stages.append
+
+    def counted(self, df, table, measure=None):
+        rows, count = append(self, df, table, measure)
+        written.append((table, count))
+        return rows, count
+
+    monkeypatch.setattr(resolution.Stages, "append", counted)
+    kept = {tuple(r) for r in resolution.prune(nodes, edges).collect()}
+    assert kept == {(f"fine{i}", "1.0.0") for i in range(50)} | {("choice", "1.0.0"), ("choice", "2.0.0")}
+    dead = [n for table, n in written if table == "dead"]
+    assert sum(dead) == length and max(dead) <= 2 and dead[-1] == 0
+    assert all(n <= 2 for n in [n for table, n in written if table == "support"][1:])
+    only_a = {tuple(r) for r in resolution.prune(nodes, edges, ["a"]).collect()}
+    assert only_a == kept - {("choice", "2.0.0")}
