@@ -80,3 +80,27 @@ def test_trust_settles_bottom_up_and_reports_cycles(spark):
     edges = {(1, 2), (1, 3), (2, 3), (4, 5), (5, 4), (6, 4), (7, 99)}
     got = {r.node: r.effective for r in graph.lowest_trust(nodes, frame(spark, edges)).collect()}
     assert got == {3: 1.0, 2: 0.8, 1: pytest.approx(0.4), 4: None, 5: None, 6: None, 7: None}
+
+
+def test_a_round_deals_out_its_candidates_alone(spark, monkeypatch):
+    """What was seen is read in its buckets: neither exchanged nor sorted."""
+    plans = []
+    append = graph.Stages.append_bucketed
+
+    def kept(self, df, *more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return append(self, df, *more)
+
+    monkeypatch.setattr(graph.Stages, "append_bucketed", kept)
+    edges = {(i, i // 2) for i in range(1, 40)}
+    found = {tuple(r) for r in graph.transitive(frame(spark, edges)).collect()}
+    assert found == {(a, b) for a, reached in closure(edges).items() for b in reached if a != b}
+    for plan in plans[1:]:
+        assert "Sort " not in plan and plan.count("Exchange hashpartitioning(root") <= 2
+        assert "Bucketed: true" in plan and "Bucketed: false" not in plan
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("transitive")]
+
+
+def test_edges_with_a_null_end_lead_nowhere(spark):
+    edges = spark.createDataFrame([(1, 2), (2, None), (None, 3), (2, 3)], "src long, dst long")
+    assert {tuple(r) for r in graph.transitive(edges).collect()} == {(1, 2), (1, 3), (2, 3)}

@@ -22,7 +22,10 @@ class Stages:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+        unique = uuid.uuid4().hex
+        self.root = f"{shared_folder(spark)}/{label}-{unique}"
+        self._name = f"{label.replace('-', '_')}_{unique}"
+        self._buckets: dict[str, int] = {}
         self._next = 0
 
     def _save(self, df: DataFrame, path: str, measure: Column) -> tuple[DataFrame, int]:
@@ -49,6 +52,21 @@ class Stages:
         rows = self.spark.read.option("recursiveFileLookup", "true").schema(like.schema)
         return rows.parquet(f"{self.root}/{name}")
 
+    def append_bucketed(self, df: DataFrame, table: str, keys: list[str], turn: int) -> tuple[DataFrame, int]:
+        """Add one round's rows to a table bucketed by ``keys``; returns all rounds with ``_round``, and the number added."""
+        name, seen = f"{self._name}_{table}", Observation()
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = df.withColumn("_round", F.lit(turn)).observe(seen, F.count(F.lit(1)).alias("value"))
+        writer = rows.write.format("parquet").mode("append").option("path", f"{self.root}/{table}")
+        writer.bucketBy(self._buckets.setdefault(name, buckets), *keys).saveAsTable(name)
+        return self.spark.table(name), int(seen.get["value"] or 0)
+
+    def unregister(self) -> None:
+        """Take the bucketed tables' names out of the catalog; their files stay."""
+        for name in self._buckets:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self._buckets.clear()
+
     def drop(self) -> None:
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.root)
@@ -63,13 +81,20 @@ def reach(
     """Fixpoint of ``step`` from ``seed``: every row found once.
 
     ``step`` maps the rows found last round to candidate rows of the same
-    columns. Rows seen before are dropped with an anti-join, so cycles end the
-    loop by themselves: it stops on an empty frontier only.
+    columns. Rows seen before are dropped, so cycles end the loop by themselves: it
+    stops on an empty frontier only. All rows seen stand in buckets of their key: a
+    round deals out its candidates alone, and hashes them, not what was seen before. Rows
+    with a null are left out.
     """
     keys = seed.columns
-    frontier, found = stages.append(seed.distinct(), "seen")
+    turn = 0
+    seen, found = stages.append_bucketed(seed.dropna(subset=keys).distinct(), "seen", keys, turn)
     while found:
-        seen = stages.table("seen", seed)
-        fresh = step(frontier).select(*keys).distinct().join(seen, keys, "left_anti")
-        frontier, found = stages.append(fresh, "seen")
+        reached = step(seen.where(F.col("_round") == turn).select(*keys))
+        candidates = reached.select(*keys).dropna(subset=keys).distinct()
+        known = seen.select(*keys).join(candidates.hint("shuffle_hash"), keys, "left_semi")
+        fresh = candidates.join(known.hint("shuffle_hash"), keys, "left_anti")
+        turn += 1
+        seen, found = stages.append_bucketed(fresh, "seen", keys, turn)
+    stages.unregister()
     return stages.table("seen", seed)
