@@ -37,6 +37,17 @@ def test_verdicts(spark):
     assert got[6]["base_failed"] and not got[3]["base_failed"]
 
 
+def test_clean_documents_stay(spark):
+    article = " ".join(f"Sentence {i} tells of tree {i} and river {i}." for i in range(60)) + " To read on, log in to the library."
+    hindi = "\n".join(" ".join(f"शब्द{i}{k}" for k in range(14)) + " है।" for i in range(12))
+    chinese = "\n".join(" ".join(f"词{i}{k}" for k in range(14)) + "。" for i in range(12))
+    urdu = "\n".join(" ".join(f"لفظ{i}{k}" for k in range(14)) + "۔" for i in range(12))
+    got = rows(spark, [article, hindi, chinese, urdu])
+    assert all(got[i]["kept"] and got[i]["n_lost_chars"] == 0 for i in range(4))
+    menu = rows(spark, ["Click here to log in to your account\n" + article])[0]
+    assert menu["kept"] and menu["n_lost_chars"] == len("Click here to log in to your account")
+
+
 def test_long_and_repeated_texts(spark):
     texts = ["a " * 300_000, "x" * 1_000_000, "\n" * 300_000, "| " * 200_000]
     got = rows(spark, texts)

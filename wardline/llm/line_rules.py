@@ -31,7 +31,14 @@ BOILERPLATE = (
     r"|click here|sign up (now|today)|subscribe to our|enable javascript|log in to|back to top|skip to content"
     r"|licensed under|released under)"
 )
-PUNCTUATION = r"[.!?,;:\x{2026}\x{3002}]"
+#: A phrase fails a line only where it makes up a tenth of it: not an article stored as one line.
+PHRASE_SHARE = 10
+#: Signs that end or part sentences, in the scripts that have their own.
+PUNCTUATION = (
+    r"[.!?,;:\x{2026}\x{3001}\x{3002}\x{FF01}\x{FF0C}\x{FF0E}\x{FF1A}\x{FF1B}\x{FF1F}\x{FF61}\x{0964}\x{0965}\x{060C}\x{061B}"
+    r"\x{061F}\x{06D4}\x{0589}\x{055C}\x{055D}\x{055E}\x{037E}\x{0387}\x{1362}\x{1363}\x{1364}\x{1367}\x{104A}\x{104B}\x{17D4}"
+    r"\x{17D5}\x{0F0D}\x{0F0E}\x{1803}\x{1809}\x{0700}\x{0701}\x{0702}]"
+)
 
 
 def _with(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -90,7 +97,8 @@ def line_fails(line: Column) -> Column:
     noise = _count(line, "#*$%&<>") * 10 > F.length(line)
     shouting = (bangs >= 6) & (bangs * 2 > gaps)
     unpunctuated = (gaps >= 10) & ~line.rlike(PUNCTUATION)
-    return navigation | noise | shouting | unpunctuated | line.rlike(BOILERPLATE)
+    boilerplate = F.length(F.regexp_extract(line, BOILERPLATE, 0)) * PHRASE_SHARE >= F.length(line)
+    return navigation | noise | shouting | unpunctuated | boilerplate
 
 
 def clean(df: DataFrame, text: str = "text", most_lost_percent: int = MOST_LOST_PERCENT) -> DataFrame:

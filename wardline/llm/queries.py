@@ -199,8 +199,8 @@ WITH docs AS (
   SELECT rn, count(*) - count(DISTINCT line) AS dup, sum(size)::BIGINT AS chars,
          COALESCE(sum(size) FILTER (WHERE
            (bars >= 2 AND bars * 4 >= gaps) OR noise * 10 > size OR (bangs >= 6 AND bangs * 2 > gaps)
-           OR (gaps >= 10 AND NOT regexp_matches(line, '[.!?,;:\x{2026}\x{3002}]'))
-           OR regexp_matches(line, '(?i)(accept (all )?cookies|cookie policy|privacy policy|terms of (use|service)|all rights reserved|click here|sign up (now|today)|subscribe to our|enable javascript|log in to|back to top|skip to content|licensed under|released under)')
+           OR (gaps >= 10 AND NOT regexp_matches(line, '__PUNCTUATION__'))
+           OR 10 * len(regexp_extract(line, '(?i)(accept (all )?cookies|cookie policy|privacy policy|terms of (use|service)|all rights reserved|click here|sign up (now|today)|subscribe to our|enable javascript|log in to|back to top|skip to content|licensed under|released under)')) >= len(line)
          ), 0)::BIGINT AS lost
   FROM lines GROUP BY rn
 ), measured AS (
@@ -215,7 +215,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lo
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT 100 * n_lost_chars > 40 * chars AS kept
 FROM measured
-"""
+""".replace("__PUNCTUATION__", line_rules.PUNCTUATION)
 
 
 @case("op4_line_rules", CLEANED_SQL)
