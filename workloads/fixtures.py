@@ -69,7 +69,7 @@ SELECT p_partkey AS seq, concat('pkg-', CAST(floor(p_partkey/4.0) AS BIGINT)) AS
   concat(p_partkey%4, '.', p_size%10, '.', p_partkey%7) AS version,
   concat('pkg-', CAST(floor(p_partkey/6.0) AS BIGINT)) AS dep_name,
   CASE p_size%3 WHEN 0 THEN '<1.0.0' WHEN 1 THEN '^2.0.0' ELSE '==3.1.0' END AS raw_constraint
-FROM part WHERE p_size > 25
+FROM part
 """
 
 REQUIREMENTS = """
@@ -156,11 +156,13 @@ def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 # --- locks ---------------------------------------------------------------------------
 # {sha} is the engine's SHA-256 function applied to the bracketed text.
 
-LOCK_OLD = """
+LOCK_ALL = """
 SELECT concat('skill-', doc_id) AS name, '1.0.0' AS version, concat('sha256:', {sha:text}) AS integrity,
   CASE lang WHEN 'en' THEN 'network:READ' ELSE 'shell:WRITE' END AS capability, CAST(n_chars%10 AS DOUBLE)/CAST(10 AS DOUBLE) AS trust_score
-FROM documents WHERE source <> 'src3'
+FROM documents
 """
+# An older lock lacks one source, so that comparing and checking find missing entries.
+LOCK_OLD = LOCK_ALL.replace("FROM documents", "FROM documents WHERE source <> 'src3'")
 
 LOCK_NEW = """
 SELECT concat('skill-', doc_id) AS name, CASE WHEN n_chars%17 = 0 THEN '1.1.0' ELSE '1.0.0' END AS version,

@@ -282,6 +282,16 @@ def rule_conflicts(spark, sf_dir):
     return resolution.conflict_rules(conflicts(spark, sf_dir), nodes(spark, sf_dir))
 
 
+@case(
+    "conflict_pairs",
+    o.with_(_PKGS, _CONFLICTS, _CONFLICT_WANTS, _MATCHES)
+    + "SELECT DISTINCT c.name, c.version, m.dep_name, m.dep_version AS excluded_version FROM conflicts c JOIN matches m"
+    " USING (dep_name, raw_constraint) WHERE NOT (c.name = m.dep_name AND c.version = m.dep_version)",
+)
+def conflict_pairs(spark, sf_dir):
+    return resolution.conflict_pairs(conflicts(spark, sf_dir), nodes(spark, sf_dir))
+
+
 @case(
     "rule_capabilities",
     o.with_(_PKGS)

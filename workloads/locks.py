@@ -61,9 +61,9 @@ def integrity_verify(spark, sf_dir):
     return lock.verify_integrity(_lock(spark, sf_dir, fx.LOCK_OLD), fx.spread(contents))
 
 
-@case("lock_names", o.with_(_OLD) + "SELECT name FROM old")
+@case("lock_names", o.with_(("whole", fx.duck_sql(fx.LOCK_ALL))) + "SELECT name FROM whole")
 def lock_names(spark, sf_dir):
-    return _lock(spark, sf_dir, fx.LOCK_OLD).select("name").orderBy("name")
+    return _lock(spark, sf_dir, fx.LOCK_ALL).select("name").orderBy("name")
 
 
 _CHECKED = ("checked", fx.duck_sql(fx.LOCK_CHECKED))
