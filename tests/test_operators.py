@@ -203,6 +203,17 @@ def test_fleet_needs_the_tool_folder(spark):
     assert found == {("h", "VS Code (Linux)", 1), ("h", "Unknown (.config)", 1), ("m", "Unknown (.config)", 1)}
 
 
+def test_fleet_depth_is_a_parameter_and_first_skill_wins(spark):
+    deep = ".cursor/" + "/".join("abcdefghij")
+    rows = [("h", "linux", ".cursor", "dir"), ("h", "linux", f"{deep}/mcp.json", "file"), ("h", "linux", f"{deep}/skills", "dir")]
+    paths = spark.createDataFrame(rows, "host string, platform string, path string, kind string")
+    counts = [[(r.config_files, r.skill_dirs) for r in fleet.inventory(paths, *d).collect()] for d in ((), (None, None), (12, None), (11, 11))]
+    assert counts == [[(0, 0)], [(1, 1)], [(1, 1)], [(0, 0)]]
+    named = [("h", "t", "a", "p2", 1), ("h", "t", "a", "p1", 2), ("h", "u", "a", "p3", 3), ("g", "t", "a", "p9", 4), ("h", "t", "b", "p2", 5)]
+    skills = spark.createDataFrame(named, "host string, tool string, name string, path string, x int")
+    assert sorted(r.x for r in fleet.unique_skills(skills).collect()) == [2, 3, 4, 5]
+
+
 def test_framework_head_limit_is_optional(spark):
     files = spark.createDataFrame([(1, "a.py", " " * 5000 + "import crewai")], "seq int, path string, content string")
     assert [r.format for r in frameworks.detect(files).collect()] == ["crewai"]

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import catalog as C
+from wardline.plans.shape import pick
 
 _EVIDENCE = "array<struct<tool:string,short_name:string,platform_rule:string,role:string,inside:boolean>>"
 
@@ -26,22 +27,33 @@ def _evidence(tool: Column | str, short: Column | str, rule: str, role: Column,
     )
 
 
-def _role() -> Column:
+#: How many segments a path may have to be taken for a configuration file or a skill folder.
+CONFIG_DEPTH, SKILL_DEPTH = 4, 3
+
+
+def _role(config_depth: int | None, skill_depth: int | None) -> Column:
     """What a path below a dot directory stands for: a config file, a skill folder or just its presence."""
     parts = F.split("path", "/")
     depth = F.size(parts)
     leaf = F.get(parts, depth - 1)
+
+    def within(limit: int | None) -> Column:
+        return (depth >= 2) if limit is None else (depth >= 2) & (depth <= limit)
+
     return (
-        F.when((depth >= 2) & (depth <= 4) & (F.col("kind") == "file") & leaf.isin(*C.FLEET_CONFIG_FILES), "config")
-        .when((depth >= 2) & (depth <= 3) & (F.col("kind") == "dir") & (leaf == "skills"), "skills")
+        F.when(within(config_depth) & (F.col("kind") == "file") & leaf.isin(*C.FLEET_CONFIG_FILES), "config")
+        .when(within(skill_depth) & (F.col("kind") == "dir") & (leaf == "skills"), "skills")
         .when((depth > 1) | (F.col("kind") == "dir"), "present")
     )
 
 
-def evidence(paths: DataFrame) -> DataFrame:
-    """``host, platform, path, tool, short_name, role``: what each path says about a tool."""
+def evidence(paths: DataFrame, config_depth: int | None = CONFIG_DEPTH, skill_depth: int | None = SKILL_DEPTH) -> DataFrame:
+    """``host, platform, path, tool, short_name, role``: what each path says about a tool.
+
+    ``None`` takes configuration files or skill folders at any depth.
+    """
     top = F.split_part("path", F.lit("/"), F.lit(1))
-    role = _role()
+    role = _role(config_depth, skill_depth)
     hits = []
     for p in C.TOOL_PROFILES:
         listed = F.when(F.col("path").isin(*p.config_paths) & (F.col("kind") == "file"), "config") if p.config_paths else None
@@ -59,7 +71,12 @@ def evidence(paths: DataFrame) -> DataFrame:
     return rows.select("host", "platform", "path", "e.*")
 
 
-def inventory(paths: DataFrame) -> DataFrame:
+def unique_skills(skills: DataFrame) -> DataFrame:
+    """Of skills of one name on one host and tool, the first by path; other columns stay with it."""
+    return pick(skills, ["host", "tool", "name"], ["path"], last=False)
+
+
+def inventory(paths: DataFrame, config_depth: int | None = CONFIG_DEPTH, skill_depth: int | None = SKILL_DEPTH) -> DataFrame:
     """``host, tool, short_name, config_files, skill_dirs``: tools found on each host.
 
     A known tool needs its dot directory; an unknown one needs at least one
@@ -67,7 +84,7 @@ def inventory(paths: DataFrame) -> DataFrame:
     available as rows of :func:`evidence`.
     """
     grouped = (
-        evidence(paths)
+        evidence(paths, config_depth, skill_depth)
         .select("host", "tool", "short_name", "platform_rule", "role", "inside", "path")
         .distinct()
         .groupBy("host", "tool", "short_name", "platform_rule")
