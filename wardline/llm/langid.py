@@ -17,6 +17,7 @@ of a row are not used in its prediction.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -141,19 +142,24 @@ def train(docs: DataFrame, learn: Column, sample_rows: int = SAMPLE_ROWS) -> Mod
             out = [row.tobytes() for *_, counts in count_blocks(batch, BUCKETS, ngrams) for row in scaled(counts)]
             yield pa.array(out, pa.binary())
 
-    rows = sampling.sampled(docs, picked, "string").where(F.col("text").isNotNull())
-    got = rows.select("label", counted("text").alias("features")).toArrow()
-    if not len(got):
-        return None
-    labels = got["label"].to_pylist()
-    features = np.empty((len(labels), BUCKETS), dtype=np.float32)
-    row = 0
-    for chunk in got["features"].chunks:
-        for value in chunk:
-            features[row] = np.frombuffer(value.as_buffer(), dtype=np.float32)
-            row += 1
-    del got
-    return fit(features, labels)
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels: list[str] = []
+        features = np.empty((most, BUCKETS), dtype=np.float32)
+        for batch in batches:
+            for label, value in zip(batch.column("label").to_pylist(), batch.column("features")):
+                features[len(labels)] = np.frombuffer(value.as_buffer(), dtype=np.float32)
+                labels.append(label)
+        if labels:
+            model = pickle.dumps(fit(features[: len(labels)], labels))
+            yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
+
+    # texts are counted where they are read; the bounded sample of counts is fitted in one
+    # task, and the driver only gets the model
+    most = 2 * len(picked) + 1
+    rows = sampling.labelled_rows(docs, picked, "string").where(F.col("text").isNotNull())
+    few = rows.select("label", counted("text").alias("features")).limit(most)
+    got = few.coalesce(1).mapInArrow(fitted, "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else None
 
 
 def identify(df: DataFrame, model: Model | None, text: str = "text") -> Column:

@@ -31,9 +31,14 @@ def labelled_ids(labels: DataFrame, label: str, per_class: int) -> tuple[list[tu
     return picked, totals
 
 
-def sampled(docs: DataFrame, picked: list[tuple], label_type: str) -> DataFrame:
-    """The sampled documents' texts with their labels; the broadcast side has the sample's bounded size."""
+def labelled_rows(docs: DataFrame, picked: list[tuple], label_type: str) -> DataFrame:
+    """Texts of the sampled ids with their labels; the broadcast side has the sample's bounded size."""
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
     ids = spark.createDataFrame(picked, f"doc_id {kind}, label {label_type}")
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").limit(2 * len(picked) + 1)
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+
+
+def sampled(docs: DataFrame, picked: list[tuple], label_type: str) -> DataFrame:
+    """The sampled documents' texts with their labels, bounded even if ids repeat."""
+    return labelled_rows(docs, picked, label_type).limit(2 * len(picked) + 1)
