@@ -62,3 +62,12 @@ def run_once(stream: DataFrame, folder: str, mode: str = "append") -> StreamingQ
 
 def file_stream(spark: SparkSession, folder: str, schema: T.StructType, glob: str = "*.parquet") -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
+
+
+def table_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A Parquet table as a stream, be it one file or a folder of files.
+
+    A plain path must be a folder to be streamed; a pattern that only the path itself
+    matches may be either.
+    """
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")

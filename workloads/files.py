@@ -634,8 +634,8 @@ def fleet_inventory(spark, sf_dir):
 
 
 def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    return streams.file_stream(spark, sf_dir, schema, f"{table}.parquet")
+    path = f"{sf_dir}/{table}.parquet"
+    return streams.table_stream(spark, path, spark.read.parquet(path).schema)
 
 
 def _finished(spark: SparkSession, stream: DataFrame, label: str) -> DataFrame:
