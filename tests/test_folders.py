@@ -7,7 +7,7 @@ import pytest
 from workloads import all_cases, compare
 
 SF_DIR = "/root/testdata/sf0.001"
-STREAMED = {"stream_drift": "documents"}
+STREAMED = {"stream_drift": "documents", "stream_scan": "documents", "stream_evidence": "events"}
 
 
 @pytest.mark.parametrize("name", list(STREAMED))
