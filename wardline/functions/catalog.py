@@ -29,13 +29,18 @@ RESOURCES = (
 
 
 class Rule(NamedTuple):
-    """One detection rule: a pattern and what a hit is reported as."""
+    """One detection rule: a pattern and what a hit is reported as.
+
+    ``leads``, where given, are ASCII texts in lower case of which every match holds at
+    least one, whatever the case of its letters.
+    """
 
     pattern: str
     severity: int
     attack_class: str
     message: str
     flags: str = ""
+    leads: tuple[str, ...] = ()
 
 
 # --- shell, code and information-flow rules (fixed values) -------------------
@@ -164,27 +169,54 @@ _SECRETS = ("credential_harvesting", "Credential or secret access pattern detect
 _BROAD = ("excessive_permissions", "Overly broad permission request detected", HIGH)
 
 
-def _content(kind: tuple[str, str, int], pattern: str) -> Rule:
+def _content(kind: tuple[str, str, int], pattern: str, *leads: str) -> Rule:
     attack_class, message, severity = kind
-    return Rule(pattern, severity, attack_class, message, "i")
+    return Rule(pattern, severity, attack_class, message, "i", leads)
 
 
 CONTENT_RULES = (
-    _content(_EXFIL, r"(requests\.post|httpx\.post|fetch\()\s*\(?\s*['\"]https?://"),
-    _content(_EXFIL, r"(webhook|exfil|phone[_\-]?home|beacon)"),
-    _content(_EXFIL, r"base64\.(b64encode|encode)"),
-    _content(_EXFIL, r"socket\.connect"),
-    _content(_SYSTEM, r"(sudo|chmod\s+[0-7]{3,4}|chown)\b"),
-    _content(_SYSTEM, r"(os\.system|subprocess\.(run|call|Popen))"),
-    _content(_SYSTEM, r"exec\s*\(|eval\s*\("),
-    _content(_SYSTEM, r"__import__\s*\("),
-    _content(_SECRETS, r"(API_KEY|SECRET|TOKEN|PASSWORD|CREDENTIAL)"),
-    _content(_SECRETS, r"os\.environ\["),
-    _content(_SECRETS, r"\.(aws|gcp|azure).*credential"),
-    _content(_SECRETS, r"keyring\.|keychain"),
-    _content(_BROAD, r"(full[_\s]?access|admin|root|superuser|all[_\s]?permissions)"),
-    _content(_BROAD, r"\*\.\*|/\*\*/\*"),
-    _content(_BROAD, r"(read|write|execute)\s*(,\s*(read|write|execute)){2,}+"),
+    _content(
+        _EXFIL, r"(requests\.post|httpx\.post|fetch\()\s*\(?\s*['\"]https?://", "requests.post", "httpx.post", "fetch("
+    ),
+    _content(
+        _EXFIL,
+        r"(webhook|exfil|phone[_\-]?home|beacon)",
+        "webhook",
+        "exfil",
+        "phonehome",
+        "phone_home",
+        "phone-home",
+        "beacon",
+    ),
+    _content(_EXFIL, r"base64\.(b64encode|encode)", "base64."),
+    _content(_EXFIL, r"socket\.connect", "socket.connect"),
+    _content(_SYSTEM, r"(sudo|chmod\s+[0-7]{3,4}|chown)\b", "sudo", "chmod", "chown"),
+    _content(_SYSTEM, r"(os\.system|subprocess\.(run|call|Popen))", "os.system", "subprocess."),
+    _content(_SYSTEM, r"exec\s*\(|eval\s*\(", "exec", "eval"),
+    _content(_SYSTEM, r"__import__\s*\(", "__import__"),
+    _content(
+        _SECRETS,
+        r"(API_KEY|SECRET|TOKEN|PASSWORD|CREDENTIAL)",
+        "api_key",
+        "secret",
+        "token",
+        "password",
+        "credential",
+    ),
+    _content(_SECRETS, r"os\.environ\[", "os.environ["),
+    _content(_SECRETS, r"\.(aws|gcp|azure).*credential", ".aws", ".gcp", ".azure"),
+    _content(_SECRETS, r"keyring\.|keychain", "keyring.", "keychain"),
+    _content(
+        _BROAD,
+        r"(full[_\s]?access|admin|root|superuser|all[_\s]?permissions)",
+        "access",
+        "admin",
+        "root",
+        "superuser",
+        "permissions",
+    ),
+    _content(_BROAD, r"\*\.\*|/\*\*/\*", "*.*", "/**/*"),
+    _content(_BROAD, r"(read|write|execute)\s*(,\s*(read|write|execute)){2,}+", "read", "write", "execute"),
 )
 
 SCRIPT_RULES = tuple(

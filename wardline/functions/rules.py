@@ -7,7 +7,9 @@ nested loop, and the work stays in the stage that read the row.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,19 +63,37 @@ def rule_hits_each(texts: Column, rules: Sequence[C.Rule]) -> Column:
     return F.flatten(F.transform(texts, lambda t: rule_hits(t, rules)))
 
 
+# The letters beside A-Z and a-z that patterns blind to case take for ASCII ones.
+_OTHER_CASES = "\u017f\u0130\u0131\u212a"
+
+
 def first_match_hits(
     text: Column, rules: Sequence[C.Rule], finding_type: str = "pattern_match", limit: int = 120
 ) -> Column:
-    """One finding per matching rule; evidence is the first match, cut for display."""
+    """One finding per matching rule; evidence is the first match, cut for display.
 
-    def hit(rule: C.Rule) -> Column:
-        found = F.substring(F.regexp_extract(text, rx(rule.pattern, rule.flags), 0), 1, limit)
-        return F.when(
-            matches(text, rule.pattern, rule.flags),
-            finding(rule.severity, rule.message, rule.attack_class, finding_type, found),
-        )
+    Patterns blind to case cost far more than looking for a fixed text. A text is lowered
+    once, and a rule's pattern runs only where one of its leads is in it.
+    """
 
-    return collect(*[hit(r) for r in rules])
+    def hit(rule: C.Rule, low: Column) -> Column:
+        found = F.substring(F.regexp_extract(text, rx(rule.pattern, rule.flags), 0), 1, limit)
+        test = matches(text, rule.pattern, rule.flags)
+        if rule.leads:
+            test = F.coalesce(any_of(low, rule.leads), F.lit(True)) & test
+        return F.when(test, finding(rule.severity, rule.message, rule.attack_class, finding_type, found))
+
+    if not any(rule.leads for rule in rules):
+        return collect(*[hit(r, text) for r in rules])
+    # A lambda's parameter is evaluated once; NULL where lowering may hide a lead.
+    other = (F.octet_length(text) > F.length(text)) & reduce(Column.__or__, [text.contains(c) for c in _OTHER_CASES])
+    low = F.when(~other, F.lower(text))
+    return F.flatten(F.transform(F.array(low), lambda one: collect(*[hit(r, one) for r in rules])))
+
+
+def any_of(text: Column, parts: Sequence[str]) -> Column:
+    """Any of some fixed texts; as patterns they are looked for in leaps, many bytes at a time."""
+    return reduce(Column.__or__, [text.rlike(re.escape(p)) for p in parts])
 
 
 _LEVELS = [C.ACCESS_NAMES[level] for level in sorted(C.ACCESS_NAMES)]
