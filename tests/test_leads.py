@@ -1,4 +1,4 @@
-"""Content rules run only where a lead of theirs stands."""
+"""Content rules run only where a lead of theirs stands; dumps are parsed once, where they are made."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import catalog as C
 from wardline.functions import rules as R
+from workloads import all_cases
 
 TEXTS = (
     "requests.post ( 'https://a", "HTTPX.POST(\"http://b", "Fetch('HTTPS://c", "WebHook", "eXfil", "phone-HOME", "PhoneHome", "phone_home",
@@ -27,3 +28,9 @@ def test_leads_hide_no_match(spark):
     assert sum(len(r.hits or ()) for r in found[0]) > 35
     assert all(rule.leads for rule in C.CONTENT_RULES)
 
+
+def test_pypi_documents_are_parsed_once_and_not_dealt_out(spark):
+    df = all_cases()["registry_scan_pypi"].run(spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
+    assert "plain words" not in plan[plan.index("Repartition") :]

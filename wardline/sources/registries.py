@@ -93,7 +93,9 @@ def pypi_entries(dump: DataFrame, shown_chars: int | None = None) -> DataFrame:
         "struct<name:string,project_url:string,summary:string,author:string,maintainer:string,version:string,"
         "description:string,requires_dist:array<string>>"
     )
-    rows = dump.select("seq", F.from_json("payload", f"struct<info:{info}>")["info"].alias("i"))
+    # An array of one: a test on what is parsed would be moved below and parse once more.
+    parsed = F.array(F.from_json("payload", f"struct<info:{info}>")["info"])
+    rows = dump.select("seq", F.explode_outer(parsed).alias("i"))
     project = F.concat(F.lit("https://pypi.org/project/"), F.col("i.name"), F.lit("/"))
     return rows.where("i IS NOT NULL").select(
         "seq",

@@ -18,7 +18,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dump(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return fx.spread(fx.derive(spark, sf_dir, fx.spark_sql(sql, entries=fx.REGISTRY_ENTRIES)))
+    return fx.derive(spark, sf_dir, fx.spark_sql(sql, entries=fx.REGISTRY_ENTRIES), dealt=True)
 
 
 _ENTRIES = ("entries", fx.REGISTRY_ENTRIES)
