@@ -15,7 +15,7 @@ from __future__ import annotations
 import functools
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -255,6 +255,13 @@ def item_groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+def in_groups(batches: Iterator[pa.Array], sizes: Callable[[pa.Array], pa.Array], most: int) -> Iterator[pa.Array]:
+    """The rows of all batches in slices of about ``most`` units; what is made of a slice can leave at once."""
+    for batch in batches:
+        for start, end in item_groups(pc.fill_null(sizes(batch), 0).to_pylist(), most):
+            yield batch.slice(start, end - start)
+
+
 def _loaded(vocabulary: str | Vocabulary) -> Vocabulary:
     return load_vocabulary(vocabulary) if isinstance(vocabulary, str) else vocabulary
 
@@ -266,14 +273,9 @@ def encode(df: DataFrame, vocabulary: str | Vocabulary, text: str = "text", outp
     @F.arrow_udf("array<int>")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(shared.value)
-        for batch in batches:
-            sizes = [x or 0 for x in pc.binary_length(batch).to_pylist()]
-            parts = [pa.array([], pa.list_(pa.int32()))]
-            for start, end in item_groups(sizes, WINDOW_CHARS):
-                texts = [x or "" for x in batch.slice(start, end - start).to_pylist()]
-                ids, offsets = encoder.encode(texts)
-                parts.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids)))
-            yield pa.concat_arrays(parts)
+        for part in in_groups(batches, pc.binary_length, WINDOW_CHARS):
+            ids, offsets = encoder.encode([x or "" for x in part.to_pylist()])
+            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
 
     return df.withColumn(output, encoded(F.col(text)))
 
@@ -285,12 +287,9 @@ def decode(df: DataFrame, vocabulary: str | Vocabulary, ids: str = "ids", output
     @F.arrow_udf("string")
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         decoder = Decoder(shared.value)
-        for batch in batches:
-            sizes = pc.fill_null(pc.list_value_length(batch), 0).to_pylist()
-            texts: list[str] = []
-            for start, end in item_groups(sizes, WINDOW_IDS):
-                ids = batch.slice(start, end - start).flatten().to_numpy(zero_copy_only=False)
-                texts += decoder.decode(ids, np.r_[0, np.cumsum(sizes[start:end])])
-            yield pa.array(texts, pa.string())
+        for part in in_groups(batches, pc.list_value_length, WINDOW_IDS):
+            sizes = pc.fill_null(pc.list_value_length(part), 0).to_pylist()
+            ids = part.flatten().to_numpy(zero_copy_only=False)
+            yield pa.array(decoder.decode(ids, np.r_[0, np.cumsum(sizes)]), pa.string())
 
     return df.withColumn(output, decoded(F.col(ids)))

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.bpe import NO_RANK, gather, item_groups
+from wardline.llm.bpe import NO_RANK, gather, in_groups
 
 WINDOW_CHARS = 100_000
 WINDOW_IDS = 100_000
@@ -418,14 +418,9 @@ def encode(df: DataFrame, model_path: str, text: str = "text", output: str = "id
     @F.arrow_udf("array<int>")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(shared.value)
-        for batch in batches:
-            sizes = [x or 0 for x in pc.binary_length(batch).to_pylist()]
-            parts = [pa.array([], pa.list_(pa.int32()))]
-            for start, end in item_groups(sizes, WINDOW_CHARS):
-                texts = [x or "" for x in batch.slice(start, end - start).to_pylist()]
-                ids, offsets = encoder.encode(texts)
-                parts.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids)))
-            yield pa.concat_arrays(parts)
+        for part in in_groups(batches, pc.binary_length, WINDOW_CHARS):
+            ids, offsets = encoder.encode([x or "" for x in part.to_pylist()])
+            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))
 
     return df.withColumn(output, encoded(F.col(text)))
 
@@ -438,12 +433,9 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids", output: str = "deco
     @F.arrow_udf("string")
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         decoder = Decoder(*shared.value)
-        for batch in batches:
-            sizes = pc.fill_null(pc.list_value_length(batch), 0).to_pylist()
-            texts: list[str] = []
-            for start, end in item_groups(sizes, WINDOW_IDS):
-                ids = batch.slice(start, end - start).flatten().to_numpy(zero_copy_only=False)
-                texts += decoder.decode(ids, np.r_[0, np.cumsum(sizes[start:end])])
-            yield pa.array(texts, pa.string())
+        for part in in_groups(batches, pc.list_value_length, WINDOW_IDS):
+            sizes = pc.fill_null(pc.list_value_length(part), 0).to_pylist()
+            ids = part.flatten().to_numpy(zero_copy_only=False)
+            yield pa.array(decoder.decode(ids, np.r_[0, np.cumsum(sizes)]), pa.string())
 
     return df.withColumn(output, decoded(F.col(ids)))
