@@ -47,7 +47,14 @@ def skills_from_configs(configs: DataFrame) -> DataFrame:
     Within one folder a server name counts once; the file that comes first in
     the fixed file order wins.
     """
-    parsed = servers(configs).select("*", F.from_json("server", _SERVER).alias("s"))
+    # the winners are picked before anything is read from them, so that only short rows are sorted
+    placed = servers(configs).select(
+        "*",
+        F.regexp_extract("path", r"^(.*?)[^/]*$", 1).alias("_folder"),
+        F.array_position(X.literals(C.MCP_CONFIG_FILES), F.regexp_extract("path", r"([^/]+)$", 1)).alias("_rank"),
+    )
+    first = pick(placed.where(F.col("_rank") > 0), ["_folder", "name"], ["_rank", "seq"], last=False)
+    parsed = first.select("seq", "path", "name", "server", F.from_json("server", _SERVER).alias("s"))
     args = F.coalesce("s.args", F.array().cast("array<string>"))
     command = F.coalesce("s.command", F.lit(""))
     line = F.array_join(F.concat(F.array(command), args), " ")
@@ -62,8 +69,5 @@ def skills_from_configs(configs: DataFrame) -> DataFrame:
         F.coalesce(F.array_sort(F.map_keys("s.env")), F.array().cast("array<string>")).alias("env_vars"),
         X.npm_packages(args).alias("dependencies"),
         F.col("server").alias("raw_content"),
-        F.regexp_extract("path", r"^(.*?)[^/]*$", 1).alias("_folder"),
-        F.array_position(X.literals(C.MCP_CONFIG_FILES), F.regexp_extract("path", r"([^/]+)$", 1)).alias("_rank"),
     )
-    first = pick(rows.where(F.col("_rank") > 0), ["_folder", "name"], ["_rank", "seq"], last=False)
-    return as_skills(first)
+    return as_skills(rows)

@@ -291,7 +291,7 @@ def sbom_doc(spark, sf_dir):
 )
 def sbom_dependencies(spark, sf_dir):
     # Every file in a folder of its own, so that no server name is declared twice.
-    configs = fx.derive(spark, sf_dir, fx.MCP_CONFIGS)
+    configs = fx.spread(fx.derive(spark, sf_dir, fx.MCP_CONFIGS))
     apart = configs.withColumn("path", F.concat_ws("/", F.col("seq").cast("string"), F.split_part("path", F.lit("/"), F.lit(3))))
     rows = sbom.components(scan.analyze(skills_from_configs(apart)))
     targets = F.explode(sbom.depends_on(F.col("dependencies"))).alias("target")
