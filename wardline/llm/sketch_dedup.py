@@ -46,6 +46,8 @@ BLOCK_SHINGLES = 1_000_000
 #: Candidates whose estimate is this many standard deviations below the limit are not verified.
 DEVIATIONS = 4
 PAIRS_PER_TASK = 20_000
+#: Pairs of a grid cell whose sketches are compared at once.
+PAIRS_AT_ONCE = 10_000
 _U = np.uint64
 
 
@@ -145,20 +147,32 @@ def _fingerprints(row: np.ndarray, elements: np.ndarray, texts: int) -> list[byt
     return [sums[i].tobytes() if size[i] else None for i in range(texts)]
 
 
+def signed_parts(texts: pa.Array, size: int) -> Iterator[pa.Array]:
+    """n, node and bands of each text, given out block by block."""
+    for start, end, row, elements in text_sets(texts, size):
+        listed = packed_bands(sketch(row, elements, end - start))
+        keys = pa.ListArray.from_arrays(pa.array(np.arange(len(listed) + 1) * BANDS, pa.int32()), pa.array(listed.reshape(-1)))
+        n = pa.array(np.bincount(row, minlength=end - start))
+        node = pa.array(_fingerprints(row, elements, end - start), pa.binary())
+        yield pa.StructArray.from_arrays([n, node, keys], ["n", "node", "bands"])
+
+
+def set_parts(texts: pa.Array, size: int) -> Iterator[pa.Array]:
+    """node and sorted set of hashes of each text, given out block by block."""
+    for start, end, row, elements in text_sets(texts, size):
+        node = pa.array(_fingerprints(row, elements, end - start), pa.binary())
+        ends = np.searchsorted(row, np.arange(end - start + 1))
+        sets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(elements.view(np.int64)))
+        yield pa.StructArray.from_arrays([node, sets], ["node", "shingles"])
+
+
 def signatures(df: DataFrame, shingle_words: int, text: str = "text") -> DataFrame:
     """doc_id, _key, n_shingles, node (null for an empty set) and bands of each row."""
 
     @F.arrow_udf("struct<n: bigint, node: binary, bands: array<bigint>>")
     def signed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            n, node, bands = [np.zeros(0, dtype=np.int64)], [], [np.zeros((0, BANDS), dtype=np.int64)]
-            for start, end, row, elements in text_sets(batch, shingle_words):
-                n.append(np.bincount(row, minlength=end - start))
-                node += _fingerprints(row, elements, end - start)
-                bands.append(packed_bands(sketch(row, elements, end - start)))
-            listed = np.concatenate(bands)
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(listed) + 1) * BANDS, pa.int32()), pa.array(listed.reshape(-1)))
-            yield pa.StructArray.from_arrays([pa.array(np.concatenate(n)), pa.array(node, pa.binary()), keys], ["n", "node", "bands"])
+            yield from signed_parts(batch, shingle_words)
 
     whole = F.coalesce(F.col(text), F.lit(""))
     made = df.select("doc_id", F.xxhash64(whole).alias("_key"), signed(whole).alias("_s"))
@@ -171,11 +185,7 @@ def shingle_sets(df: DataFrame, shingle_words: int, text: str = "text") -> Colum
     @F.arrow_udf("struct<node: binary, shingles: array<bigint>>")
     def listed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            node, sets = [], []
-            for start, end, row, elements in text_sets(batch, shingle_words):
-                node += _fingerprints(row, elements, end - start)
-                sets += np.split(elements.view(np.int64), np.searchsorted(row, np.arange(1, end - start)))
-            yield pa.StructArray.from_arrays([pa.array(node, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+            yield from set_parts(batch, shingle_words)
 
     return listed(F.coalesce(F.col(text), F.lit("")))
 
@@ -322,8 +332,8 @@ def _spanning(table: pa.Table, x: int, y: int, percent: int, least: float) -> tu
         n, m = size[some][:, None], size[right][None, :]
         i, j = np.nonzero(apart & (100 * n >= percent * m) & (100 * m >= percent * n))
         i, j = some[i], right[j]
-        for part in range(0, len(i), 100_000):
-            a, b = i[part : part + 100_000], j[part : part + 100_000]
+        for part in range(0, len(i), PAIRS_AT_ONCE):
+            a, b = i[part : part + PAIRS_AT_ONCE], j[part : part + PAIRS_AT_ONCE]
             differ = sketch[a] ^ sketch[b]
             # a pair belongs to the first band that both share
             a, b, differ = (v[(differ == 0).argmax(axis=1) == place] for v in (a, b, differ))

@@ -1,8 +1,8 @@
 """Numpy helpers over the UTF-8 bytes of whole texts, in pieces of bounded size.
 
 A batch of texts is one flat byte array with offsets, as Arrow holds it. Work is done
-on pieces of about ``PIECE_BYTES``: many short texts, or one stretch of a long text,
-cut at white space, so that memory does not grow with the longest text.
+on short texts of about ``BLOCK_BYTES`` together, or on one text, a long one in stretches
+of about ``PIECE_BYTES`` cut at white space, so that memory does not grow with the longest text.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE_BYTES = 1 << 20
+#: Bytes of the texts of one block together; a longer text is a block of its own.
+BLOCK_BYTES = 1 << 18
 
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -32,7 +34,7 @@ def _power_table(base: int, size: int) -> np.ndarray:
     """1, base, base**2, ... modulo 2**64."""
     table = _powers[base]
     if len(table) < size:
-        table = np.full(max(size, PIECE_BYTES), base, dtype=np.uint64)
+        table = np.full(max(size, BLOCK_BYTES), base, dtype=np.uint64)
         table[0] = 1
         _powers[base] = table = np.multiply.accumulate(table)
     return table
@@ -106,7 +108,7 @@ def blocks(
     content = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
     row = 0
     while row < len(texts):
-        fits = int(np.searchsorted(offsets, offsets[row] + PIECE_BYTES, side="right")) - 1
+        fits = int(np.searchsorted(offsets, offsets[row] + min(BLOCK_BYTES, PIECE_BYTES), side="right")) - 1
         end = min(max(row + 1, fits), row + most_rows, len(texts))
         own = content[offsets[row] : offsets[end]]
         if len(own) > PIECE_BYTES:
