@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import re
 
+import pytest
+
 from wardline.sources.mcp import skills_from_configs
 from workloads import all_cases
 
 SF_DIR = "/root/testdata/sf0.001"
 
 
-def test_configurations_are_dealt_out(spark):
-    plan = all_cases()["sbom_dependencies"].run(spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+@pytest.mark.parametrize("name", ["sbom_dependencies", "lock_validate"])
+def test_small_tables_are_dealt_out(name, spark):
+    plan = all_cases()[name].run(spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert "RoundRobinPartitioning" in plan
 
 

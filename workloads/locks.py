@@ -84,7 +84,7 @@ _CHECKED = ("checked", fx.duck_sql(fx.LOCK_CHECKED))
     " UNION ALL SELECT 'total_skills', '', CAST(count(*) AS VARCHAR) FROM checked HAVING count(*) <> 1",
 )
 def lock_validate(spark, sf_dir):
-    rows = fx.derive(spark, sf_dir, fx.spark_sql(fx.LOCK_CHECKED))
+    rows = fx.derive(spark, sf_dir, fx.spark_sql(fx.LOCK_CHECKED), dealt=True)
     none = F.create_map().cast("map<string,string>")
     deps = F.map_concat(
         F.create_map("below", F.lit("*")),
