@@ -363,8 +363,9 @@ FRAMEWORKS = (
 )
 
 # (format, path pattern, content pattern): a file belongs to a format when any of
-# the format's rows fits both its path and its content ("" fits everything).
-FRAMEWORK_MARKERS = (
+# the format's rows fits both its path and its content ("" fits everything). Texts after the
+# content pattern are its leads: whatever it matches holds one of them.
+FRAMEWORK_MARKERS: tuple[tuple[str, ...], ...] = (
     ("claude", r"(^|/)\.claude/skills/[^/]*\.md$", ""),
     (
         "mcp",
@@ -373,42 +374,52 @@ FRAMEWORK_MARKERS = (
         "",
     ),
     ("openclaw", r"(^|/)\.(claw|openclaw)/[^/]*\.ya?ml$", ""),
-    ("mcp_server", r"\.py$", r"from\s+mcp\.server\s+import|from\s+mcp\s+import\s+Server"),
+    ("mcp_server", r"\.py$", r"from\s+mcp\.server\s+import|from\s+mcp\s+import\s+Server", "mcp"),
     (
         "mcp_server",
         r"\.(ts|js)$",
         r"import\s+\{[^}]*Server[^}]*\}\s+from\s+[\"']@modelcontextprotocol/sdk"
         r"|require\s*\(\s*[\"']@modelcontextprotocol/sdk",
+        "@modelcontextprotocol/sdk",
     ),
     (
         "openai_agents",
         r"\.py$",
         r"from agents import|from agents\.|from agents |import agents|from openai\.agents",
+        "agents",
     ),
-    ("google_adk", r"\.py$", r"from google\.adk|import google\.adk|from google import adk"),
-    ("langchain", r"\.py$", r"from langchain|import langchain|@tool\b|class\s+\w+\s*\(\s*BaseTool\s*\)"),
-    ("crewai", r"\.py$", r"from crewai|import crewai"),
+    ("google_adk", r"\.py$", r"from google\.adk|import google\.adk|from google import adk", "google"),
+    (
+        "langchain",
+        r"\.py$",
+        r"from langchain|import langchain|@tool\b|class\s+\w+\s*\(\s*BaseTool\s*\)",
+        "langchain",
+        "@tool",
+        "BaseTool",
+    ),
+    ("crewai", r"\.py$", r"from crewai|import crewai", "crewai"),
     ("crewai", r"(^|/)(crew|agents)\.ya?ml$", ""),
-    ("autogen", r"\.py$", r"from autogen|import autogen|from pyautogen|import pyautogen"),
+    ("autogen", r"\.py$", r"from autogen|import autogen|from pyautogen|import pyautogen", "autogen"),
     ("dify", r"(^|/)\.dify/[^/]*\.(ya?ml|json)$", ""),
     ("dify", r"(^|/)(provider|tools)/[^/]*\.ya?ml$", r"(?i)\b(tool|provider)_?(type|name)?\s*:|\bidentity\s*:"),
     ("dify", r"(^|/)manifest\.(ya?ml|json)$", r"(?i)\btype[\"']?\s*:\s*[\"']?(tool|model|extension|bundle)\b"),
-    ("composio", r"\.py$", r"from composio|import composio"),
-    ("semantic_kernel", r"\.py$", r"from semantic_kernel|import semantic_kernel|@kernel_function"),
-    ("llamaindex", r"\.py$", r"from llama_index|import llama_index"),
-    ("n8n", r"\.json$", r"\"type\"\s*:\s*\"n8n-nodes-"),
-    ("flowise", r"\.json$", r"\"type\"\s*:\s*\"(?:" + "|".join(FLOWISE_NODE_TYPES) + r")\""),
+    ("composio", r"\.py$", r"from composio|import composio", "composio"),
+    ("semantic_kernel", r"\.py$", r"from semantic_kernel|import semantic_kernel|@kernel_function", "semantic_kernel", "@kernel_function"),
+    ("llamaindex", r"\.py$", r"from llama_index|import llama_index", "llama_index"),
+    ("n8n", r"\.json$", r"\"type\"\s*:\s*\"n8n-nodes-", "n8n-nodes-"),
+    ("flowise", r"\.json$", r"\"type\"\s*:\s*\"(?:" + "|".join(FLOWISE_NODE_TYPES) + r")\"", '"type"'),
     (
         "mastra",
         r"\.(ts|js|tsx|jsx)$",
         r"import\s+.*from\s+[\"']@mastra/core|require\s*\(\s*[\"']@mastra/core",
+        "@mastra/core",
     ),
-    ("pydanticai", r"\.py$", r"from pydantic_ai|import pydantic_ai"),
-    ("agno", r"\.py$", r"from agno|import agno|from phi|import phi"),
-    ("camel", r"\.py$", r"from camel|import camel"),
-    ("metagpt", r"\.py$", r"from metagpt|import metagpt"),
-    ("haystack", r"\.py$", r"from haystack|import haystack"),
-    ("anthropic_sdk", r"\.py$", r"from claude_agent_sdk|import claude_agent_sdk"),
+    ("pydanticai", r"\.py$", r"from pydantic_ai|import pydantic_ai", "pydantic_ai"),
+    ("agno", r"\.py$", r"from agno|import agno|from phi|import phi", "agno", "from phi", "import phi"),
+    ("camel", r"\.py$", r"from camel|import camel", "camel"),
+    ("metagpt", r"\.py$", r"from metagpt|import metagpt", "metagpt"),
+    ("haystack", r"\.py$", r"from haystack|import haystack", "haystack"),
+    ("anthropic_sdk", r"\.py$", r"from claude_agent_sdk|import claude_agent_sdk", "claude_agent_sdk"),
 )
 
 CAMEL_TOOLKITS = {
@@ -450,6 +461,7 @@ MASTRA_OBJECTS = {
     "tool": (r"createTool\s*+\(\s*+\{", "id", "description"),
     "agent": (r"new\s++Agent\s*+\(\s*+\{", "name", "instructions"),
 }
+MASTRA_LEADS = {"tool": "createTool", "agent": "Agent"}
 AGNO_BUILTIN_IMPORTS = r"from\s++(?:agno|phi)\.tools\.\w++\s++import\s++([^\n]++)"
 
 # --- trust (fixed values) ----------------------------------------------------

@@ -168,7 +168,7 @@ _NONE: Reader = lambda text: F.array().cast("array<string>")
 class Kind(NamedTuple):
     """One kind of definition: a pattern, the group with its text, and how that text is read.
 
-    ``scans_body`` tells whether URLs, variables and commands come from the definition's own
+    Every match of the pattern holds one of the ``leads``. ``scans_body`` tells whether URLs, variables and commands come from the definition's own
     text alone or from its whole file. A definition without a name is none.
     """
 
@@ -177,23 +177,24 @@ class Kind(NamedTuple):
     pattern: str
     group: int
     name: Reader
+    leads: tuple[str, ...]
     description: Reader = _NO_TEXT
     capabilities: Reader = _NONE
     scans_body: bool = True
     body: Reader = lambda text: text
 
 
-def _function(format: str, kind: str, marker: str, **more) -> Kind:
+def _function(format: str, kind: str, marker: str, *leads: str, **more) -> Kind:
     readers = {"name": lambda t: function_name(own_text(t)), "description": lambda t: docstring(own_text(t))}
-    return Kind(format, kind, decorated(marker), 1, body=own_text, **readers | more)
+    return Kind(format, kind, decorated(marker), 1, leads=leads, body=own_text, **readers | more)
 
 
 def _class(format: str, kind: str, base: str, name: Reader, **more) -> Kind:
-    return Kind(format, kind, subclass(base), 2, name, **more)
+    return Kind(format, kind, subclass(base), 2, name, (base,), **more)
 
 
-def _call(format: str, kind: str, callee: str, name: Reader, **more) -> Kind:
-    return Kind(format, kind, call(callee), 1, name, **more)
+def _call(format: str, kind: str, callee: str, lead: str, name: Reader, **more) -> Kind:
+    return Kind(format, kind, call(callee), 1, name, (lead,), **more)
 
 
 def _fixed(value: str) -> Reader:
@@ -308,13 +309,13 @@ _READERS = "(?:" + "|".join(C.INDEX_READERS) + ")"
 _INDEX_AGENT = "(?:" + "|".join(C.INDEX_AGENTS) + ")"
 
 KINDS: tuple[Kind, ...] = (
-    _function("openai_agents", "function_tool", r"@(?:\w+\.)?function_tool\b"),
+    _function("openai_agents", "function_tool", r"@(?:\w+\.)?function_tool\b", "function_tool"),
     _call(
-        "openai_agents", "agent", r"\bAgent", lambda t: keyword(t, "name"),
+        "openai_agents", "agent", r"\bAgent", "Agent", lambda t: keyword(t, "name"),
         description=lambda t: keyword(t, "handoff_description"), capabilities=_agent_caps,
     ),
     _call(
-        "openai_agents", "mcp_server", rf"\b{_SERVER}",
+        "openai_agents", "mcp_server", rf"\b{_SERVER}", "MCPServer",
         lambda t: _or(_or(keyword(t, "command"), keyword(t, "url")), _callee(t)),
         description=lambda t: F.concat(F.lit("MCP server connection via "), _callee(t)),
         capabilities=lambda t: F.array(F.concat(F.lit("mcp:"), _callee(t))),
@@ -323,22 +324,25 @@ KINDS: tuple[Kind, ...] = (
         Kind(
             "openai_agents", "hosted_tool",
             rf"(?<![^\n])[^\S\n]*+from[^\S\n]++[\w.]++[^\S\n]++import[^\S\n]++(?:\((?:(?!\b(?:{n}|import)\b)[^()])*+|[^\n(]*?)\b({n})\b",
-            1, _fixed(n), _fixed(f"OpenAI hosted tool: {n}"), lambda t, n=n: F.array(F.lit(f"hosted:{n}")),
+            1, _fixed(n), (n,), _fixed(f"OpenAI hosted tool: {n}"), lambda t, n=n: F.array(F.lit(f"hosted:{n}")),
         )
         for n in C.HOSTED_TOOLS
     ],
     _call(
-        "google_adk", "agent", "Agent", _named_or("unnamed_agent"), description=_adk_agent,
+        "google_adk", "agent", "Agent", "Agent", _named_or("unnamed_agent"), description=_adk_agent,
         capabilities=lambda t: references(listed_names(t, "tools"), X.literals(C.ADK_BUILTIN_TOOLS)),
     ),
-    Kind("google_adk", "callback", r"\b((?:before|after)_(?:agent|model|tool)_callback\s*+=\s*+\w++)", 1, lambda t: _cut(t, r"(\w++)\z")),
+    Kind(
+        "google_adk", "callback", r"\b((?:before|after)_(?:agent|model|tool)_callback\s*+=\s*+\w++)", 1,
+        lambda t: _cut(t, r"(\w++)\z"), ("_callback",),
+    ),
     _call(
-        "google_adk", "mcp_toolset", r"\bMCPToolset", _fixed("MCPToolset"),
+        "google_adk", "mcp_toolset", r"\bMCPToolset", "MCPToolset", _fixed("MCPToolset"),
         description=lambda t: F.concat(F.lit("MCP connection: "), F.array_join(_server_parameters(t), " ")),
         capabilities=lambda t: _prefixed("mcp:", _server_parameters(t)),
     ),
     _call(
-        "google_adk", "openapi_toolset", r"\bOpenAPIToolset", _fixed("OpenAPIToolset"),
+        "google_adk", "openapi_toolset", r"\bOpenAPIToolset", "OpenAPIToolset", _fixed("OpenAPIToolset"),
         description=lambda t: F.concat(
             F.lit("OpenAPI toolset (spec_type="), _or(keyword(t, "spec_str_type"), F.lit("unknown")), F.lit(")")
         ),
@@ -349,43 +353,43 @@ KINDS: tuple[Kind, ...] = (
         for format in ("langchain", "crewai")
         for kind in (
             _class(format, "class", "BaseTool", _own_class, description=lambda t: class_value(t, "description")),
-            _function(format, "function", r"@(?:\w+\.)?tool\b"),
+            _function(format, "function", r"@(?:\w+\.)?tool\b", "@tool", ".tool"),
         )
     ],
-    _function("autogen", "function", r"@\w+\.register_for_llm\b"),
+    _function("autogen", "function", r"@\w+\.register_for_llm\b", ".register_for_llm"),
     Kind(
         "autogen", "schema",
         r"([\"']type[\"']\s*+:\s*+[\"']function[\"']\s*+,\s*+[\"']function[\"']\s*+:\s*+\{\s*+[\"']name[\"']\s*+:\s*+[\"'][^\"']++[\"'])",
-        1, lambda t: _cut(t, r"[\"']([^\"']++)[\"']\z"),
+        1, lambda t: _cut(t, r"[\"']([^\"']++)[\"']\z"), ("function",),
     ),
     _function(
-        "composio", "action", r"@(?:\w+\.)?action\b",
+        "composio", "action", r"@(?:\w+\.)?action\b", "@action", ".action",
         name=lambda t: _or(keyword(decorator(t), "toolname"), function_name(own_text(t))),
     ),
     _call(
-        "llamaindex", "function_tool", r"\bFunctionTool\.from_defaults",
+        "llamaindex", "function_tool", r"\bFunctionTool\.from_defaults", "FunctionTool.from_defaults",
         lambda t: _or(_or(keyword(t, "name"), _index_function(t)), F.lit("unnamed_function_tool")),
         description=lambda t: keyword(t, "description"),
         capabilities=lambda t: _prefixed("tool:", F.filter(F.array(_index_function(t)), lambda n: n != "")),
         scans_body=False,
     ),
     _call(
-        "llamaindex", "query_engine_tool", r"\bQueryEngineTool",
+        "llamaindex", "query_engine_tool", r"\bQueryEngineTool", "QueryEngineTool",
         lambda t: _or(_metadata(t, "name"), F.lit("unnamed_query_tool")), description=lambda t: _metadata(t, "description"),
         capabilities=lambda t: F.array(F.lit("query_engine:read")), scans_body=False,
     ),
     _call(
-        "llamaindex", "agent", rf"\b{_INDEX_AGENT}\.from_tools", _callee,
+        "llamaindex", "agent", rf"\b{_INDEX_AGENT}\.from_tools", ".from_tools", _callee,
         description=lambda t: F.concat(F.lit("LlamaIndex "), _callee(t), F.lit(" agent")),
         capabilities=lambda t: _prefixed("tool:", _index_tools(t)), scans_body=False,
     ),
     _call(
-        "llamaindex", "reader", rf"\b{_READERS}", _callee,
+        "llamaindex", "reader", rf"\b{_READERS}", "Reader", _callee,
         description=lambda t: F.concat(F.lit("Data connector: "), _callee(t)),
         capabilities=lambda t: _prefixed("reader:", F.array(_callee(t))), scans_body=False,
     ),
     _call(
-        "pydanticai", "agent", r"\bAgent",
+        "pydanticai", "agent", r"\bAgent", "Agent",
         lambda t: F.when(_model(t) == "", "unnamed_agent").otherwise(F.concat(F.lit("agent_"), F.translate(_model(t), ":", "_"))),
         description=lambda t: _or(
             _joined(keyword(t, "system_prompt"), _shown("model", _model(t)), _shown("deps_type", keyword(t, "deps_type"))),
@@ -394,27 +398,27 @@ KINDS: tuple[Kind, ...] = (
         capabilities=lambda t: F.concat(_present(_shown("model", _model(t), ":")), _prefixed("mcp_server:", listed_names(t, "mcp_servers"))),
     ),
     _function(
-        "pydanticai", "function", r"@\w+\.(?:tool_plain|tool)\b",
+        "pydanticai", "function", r"@\w+\.(?:tool_plain|tool)\b", ".tool",
         capabilities=lambda t: _prefixed("decorator:", F.array(_cut(t, r"\A@\w+\.(\w+)"))),
     ),
     # what its tools may do depends on the file's imports: see frameworks.py
-    _call("agno", "agent", r"\bAgent", _named_or("unnamed_agent"), description=_agno_instructions),
+    _call("agno", "agent", r"\bAgent", "Agent", _named_or("unnamed_agent"), description=_agno_instructions),
     _class("agno", "toolkit", "Toolkit", class_name, capabilities=_registered),
-    _call("camel", "function_tool", r"\bFunctionTool", lambda t: _cut(t, r"\A\w++\s*+\(\s*+(?:func\s*+=\s*+)?+(\w++)"), scans_body=False),
+    _call("camel", "function_tool", r"\bFunctionTool", "FunctionTool", lambda t: _cut(t, r"\A\w++\s*+\(\s*+(?:func\s*+=\s*+)?+(\w++)"), scans_body=False),
     _class("metagpt", "class", "Role", _own_class, description=_role),
     _class("metagpt", "class", "Action", _own_class, description=_fixed("[Action]")),
     _function(
-        "metagpt", "function", r"@(?:\w+\.)?register_tool\b",
+        "metagpt", "function", r"@(?:\w+\.)?register_tool\b", "register_tool",
         description=lambda t: X.strip(F.concat(F.lit("[Tool] "), docstring(own_text(t)))),
     ),
     _call(
-        "haystack", "component", r"\.add_component", lambda t: _cut(t, r"\A[^(]*+\(\s*+(?:name\s*+=\s*+)?+[\"']([^\"']++)[\"']"),
+        "haystack", "component", r"\.add_component", ".add_component", lambda t: _cut(t, r"\A[^(]*+\(\s*+(?:name\s*+=\s*+)?+[\"']([^\"']++)[\"']"),
         description=lambda t: F.concat(F.lit("Haystack component: "), _component(t)),
         capabilities=lambda t: component_capabilities(_component(t)),
     ),
-    _function("anthropic_sdk", "function", r"@(?:\w+\.)?tool\b"),
+    _function("anthropic_sdk", "function", r"@(?:\w+\.)?tool\b", "@tool", ".tool"),
     _call(
-        "anthropic_sdk", "agent", r"\bAgent", lambda t: keyword(t, "name"),
+        "anthropic_sdk", "agent", r"\bAgent", "Agent", lambda t: keyword(t, "name"),
         description=lambda t: _or(
             keyword(t, "instructions"), F.concat(F.lit("Anthropic SDK agent (model="), keyword(t, "model"), F.lit(")"))
         ),
@@ -425,7 +429,7 @@ KINDS: tuple[Kind, ...] = (
         ),
     ),
     _call(
-        "anthropic_sdk", "mcp_server", r"\bMCPServer", lambda t: _or(keyword(t, "command"), F.lit("MCPServer")),
+        "anthropic_sdk", "mcp_server", r"\bMCPServer", "MCPServer", lambda t: _or(keyword(t, "command"), F.lit("MCPServer")),
         description=lambda t: F.concat(F.lit("MCP server connection via MCPServer (command="), keyword(t, "command"), F.lit(")")),
         capabilities=lambda t: F.array(F.concat(F.lit("mcp:"), _or(keyword(t, "command"), F.lit("unknown")))),
     ),
@@ -435,15 +439,15 @@ KINDS: tuple[Kind, ...] = (
     ),
     Kind(
         "anthropic_sdk", "agent", rf"[\"'](?=([\w-]++[\"']\s*+:\s*+AgentDefinition\s*+\({inside(4)}\)?+))", 1,
-        lambda t: _cut(t, r"\A([\w-]++)"),
+        lambda t: _cut(t, r"\A([\w-]++)"), ("AgentDefinition",),
     ),
     _call(
-        "anthropic_sdk", "mcp_server", r"\bcreate_sdk_mcp_server",
+        "anthropic_sdk", "mcp_server", r"\bcreate_sdk_mcp_server", "create_sdk_mcp_server",
         lambda t: _cut(t, r"\A\w++\s*+\(\s*+(?:name\s*+=\s*+)?+[\"']([^\"']++)[\"']"),
     ),
-    _call("anthropic_sdk", "hook", r"\bHookMatcher", _fixed("hook")),
-    _function("mcp_server", "tool", r"@\w+\.tool\b", scans_body=False),
-    Kind("mcp_server", "tool", r"(?<![@\w.])\w++\.tool\s*+\(\s*+[\"']([^\"']++)[\"']", 1, lambda t: t, scans_body=False),
+    _call("anthropic_sdk", "hook", r"\bHookMatcher", "HookMatcher", _fixed("hook")),
+    _function("mcp_server", "tool", r"@\w+\.tool\b", ".tool", scans_body=False),
+    Kind("mcp_server", "tool", r"(?<![@\w.])\w++\.tool\s*+\(\s*+[\"']([^\"']++)[\"']", 1, lambda t: t, (".tool",), scans_body=False),
 )
 
 
@@ -463,7 +467,7 @@ def record(
 def read(kind: Kind, content: Column) -> Column:
     """Definitions of one kind in a file, in text order."""
     found = F.transform(
-        X.find_all(content, kind.pattern, kind.group),
+        X.find_all(content, kind.pattern, kind.group, leads=kind.leads),
         lambda t: record(
             kind.format, kind.kind, kind.name(t), kind.description(t), kind.capabilities(t), F.rtrim(kind.body(t))
         ),
@@ -483,18 +487,19 @@ def plugin_functions(content: Column) -> Column:
 
         return F.transform(X.find_all(text, decorated(r"@(?:\w+\.)?kernel_function\b"), 1), entry)
 
-    return F.flatten(F.transform(X.find_all(content, ANY_CLASS, 2), of_class))
+    return F.flatten(F.transform(X.find_all(content, ANY_CLASS, 2, leads=("kernel_function",)), of_class))
 
 
 def functions_named(format: str, kind: str, content: Column, names: Column) -> Column:
     """Functions of a file that are among some names."""
-    own = F.filter(X.find_all(content, ANY_FUNCTION, 2), lambda t: F.array_contains(names, function_name(t)))
+    named = F.when(F.size(names) > 0, X.find_all(content, ANY_FUNCTION, 2)).otherwise(F.array().cast("array<string>"))
+    own = F.filter(named, lambda t: F.array_contains(names, function_name(t)))
     return F.transform(own, lambda t: record(format, kind, function_name(t), docstring(t), None, F.rtrim(t)))
 
 
-def imported_names(content: Column, pattern: str) -> Column:
+def imported_names(content: Column, pattern: str, *leads: str) -> Column:
     """Names of the import lists that a pattern's first group gives."""
-    lists = F.flatten(F.transform(X.find_all(content, pattern, 1), lambda names: F.split(names, ",")))
+    lists = F.flatten(F.transform(X.find_all(content, pattern, 1, leads=leads), lambda names: F.split(names, ",")))
     return F.filter(F.transform(lists, lambda n: _cut(n, r"\A\s*+(\w++)")), lambda n: n != "")
 
 

@@ -24,12 +24,15 @@ def formats(path: Column, content: Column, head_chars: int | None = None) -> Col
     """Array of the formats a file belongs to.
 
     The path is tested first, so a file's content is only searched for formats
-    its name allows. ``head_chars`` limits the search to the file's beginning.
+    its name allows, by a rule of which a lead stands in it. ``head_chars`` limits the
+    search to the file's beginning.
     """
     text = content if head_chars is None else F.substring(content, 1, head_chars)
     by_format: dict[str, Column] = {}
-    for name, path_rule, content_rule in C.FRAMEWORK_MARKERS:
+    for name, path_rule, content_rule, *leads in C.FRAMEWORK_MARKERS:
         fits = path.rlike(path_rule)
+        if leads:
+            fits = fits & X.any_of(text, leads)
         if content_rule:
             fits = fits & X.matches(text, content_rule)
         by_format[name] = by_format[name] | fits if name in by_format else fits
@@ -45,7 +48,7 @@ def _mastra_values(content: Column, kind: str, key: str) -> Column:
     """Value of a key in each object of a kind, up to the first closing brace."""
     begin = C.MASTRA_OBJECTS[kind][0]
     given = rf"{key}\s*+:\s*+[\"']"
-    return X.find_all(content, rf"{begin}(?:(?!{given}|{begin})[^}}])*+{given}([^\"']++)[\"']", 1)
+    return X.find_all(content, rf"{begin}(?:(?!{given}|{begin})[^}}])*+{given}([^\"']++)[\"']", 1, leads=(C.MASTRA_LEADS[kind],))
 
 
 def _mastra(content: Column, kind: str) -> Column:
@@ -67,49 +70,57 @@ def _mastra(content: Column, kind: str) -> Column:
 
 def _adk_functions(content: Column) -> Column:
     """Functions of the file that an agent's tools or a function tool name."""
-    listed = F.array_join(X.find_all(content, r"\btools\s*+=\s*+\[((?:(?!\btools\s*+=)[^\]])*+)\]", 1), " ")
-    wrapped = X.find_all(content, r"\bFunctionTool\s*+\(\s*+(?:func\s*+=\s*+)?+(\w++)", 1)
+    listed = F.array_join(X.find_all(content, r"\btools\s*+=\s*+\[((?:(?!\btools\s*+=)[^\]])*+)\]", 1, leads=("tools",)), " ")
+    wrapped = X.find_all(content, r"\bFunctionTool\s*+\(\s*+(?:func\s*+=\s*+)?+(\w++)", 1, leads=("FunctionTool",))
     names = F.array_except(F.concat(F.split(listed, r"\W+"), wrapped), X.literals([*C.ADK_BUILTIN_TOOLS, ""]))
-    return D.functions_named("google_adk", "function_tool", content, names)
+    return X.once(names, lambda n: D.functions_named("google_adk", "function_tool", content, n))
 
 
 def _haystack_tools(content: Column) -> Column:
     """Functions made into tools; one that is not in the file is known by its name alone."""
-    names = F.array_distinct(X.find_all(content, r"create_tool_from_function\s*+\(\s*+(?:function\s*+=\s*+)?+(\w++)", 1))
-    own = D.functions_named("haystack", "tool", content, names)
-    absent = F.array_except(names, F.transform(own, lambda d: d["name"]))
-    return F.concat(own, F.transform(absent, lambda n: D.record("haystack", "tool", n, F.lit(""))))
+    maker = "create_tool_from_function"
+    made = F.array_distinct(X.find_all(content, rf"{maker}\s*+\(\s*+(?:function\s*+=\s*+)?+(\w++)", 1, leads=(maker,)))
+
+    def with_absent(names: Column, own: Column) -> Column:
+        absent = F.array_except(names, F.transform(own, lambda d: d["name"]))
+        return F.concat(own, F.transform(absent, lambda n: D.record("haystack", "tool", n, F.lit(""))))
+
+    return X.once(made, lambda names: X.once(D.functions_named("haystack", "tool", content, names), lambda own: with_absent(names, own)))
 
 
 def _agno_tools(definitions: Column, content: Column) -> Column:
     """An agent's tools as capabilities: built-in where the file imports them from the kit."""
-    builtins = D.imported_names(content, C.AGNO_BUILTIN_IMPORTS)
-    return F.transform(
-        definitions,
-        lambda d: F.when(
-            d["kind"] == "agent",
-            d.withField("capabilities", D.references(D.listed_names(d["body"], "tools"), builtins)),
-        ).otherwise(d),
-    )
+    def known(builtins: Column) -> Column:
+        return F.transform(
+            definitions,
+            lambda d: F.when(
+                d["kind"] == "agent",
+                d.withField("capabilities", D.references(D.listed_names(d["body"], "tools"), builtins)),
+            ).otherwise(d),
+        )
+
+    return X.once(D.imported_names(content, C.AGNO_BUILTIN_IMPORTS, "agno.tools", "phi.tools"), known)
 
 
 def file_stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
 
 
-def _server(content: Column, path: Column) -> Column:
-    """A server file as one definition that lists its tools."""
-    tools = F.concat(*[F.transform(D.read(k, content), lambda d: d["name"]) for k in D.KINDS if k.format == "mcp_server"])
-    about = F.concat(
-        F.lit("MCP server ("), F.size(tools).cast("string"), F.lit(" tools): "), F.array_join(F.slice(tools, 1, C.SHOWN_SERVER_TOOLS), ", ")
-    )
-    return F.array(D.record("mcp_server", "server", file_stem(path), about))
+def _with_server(found: Column, path: Column) -> Column:
+    """A server file's tools, and the file itself as one definition that lists them."""
+
+    def listed(tools: Column) -> Column:
+        names = F.array_join(F.transform(F.slice(tools, 1, C.SHOWN_SERVER_TOOLS), lambda d: d["name"]), ", ")
+        about = F.concat(F.lit("MCP server ("), F.size(tools).cast("string"), F.lit(" tools): "), names)
+        return F.concat(tools, F.array(D.record("mcp_server", "server", file_stem(path), about)))
+
+    return X.once(found, listed)
 
 
 def _composio_module(content: Column, path: Column) -> Column:
     """A module that only refers to actions or applications."""
-    action = next(k.pattern for k in D.KINDS if k.format == "composio")
-    bare = ~X.matches(content, action) & (F.size(X.action_refs(content)) > 0)
+    action = next(k for k in D.KINDS if k.format == "composio")
+    bare = ~(X.any_of(content, action.leads) & X.matches(content, action.pattern)) & (F.size(X.action_refs(content)) > 0)
     return F.filter(F.array(D.record("composio", "module", file_stem(path), F.lit(""))), lambda _: bare)
 
 
@@ -118,7 +129,7 @@ def _camel_words(content: Column) -> Column:
     for kind, names in (("toolkit", tuple(C.CAMEL_TOOLKITS)), ("agent", C.CAMEL_AGENTS)):
         for n in names:
             own = D.record("camel", kind, F.lit(n), F.lit(f"CAMEL-AI {n}"))
-            hits.append(F.when(X.matches(content, rf"\b{n}\s*\("), own))
+            hits.append(F.when(X.any_of(content, (n,)) & X.matches(content, rf"\b{n}\s*\("), own))
     return F.array_compact(F.array(*hits))
 
 
@@ -132,7 +143,7 @@ def definitions_column(content: Column, present: Column, path: Column) -> Column
     of_format["semantic_kernel"] = [D.plugin_functions(content)]
     of_format["google_adk"].append(_adk_functions(content))
     of_format["haystack"].append(_haystack_tools(content))
-    of_format["mcp_server"].append(_server(content, path))
+    of_format["mcp_server"] = [_with_server(F.concat(*of_format["mcp_server"]), path)]
     of_format["composio"].append(_composio_module(content, path))
     of_format["camel"].append(_camel_words(content))
     none = F.array().cast(D.DEFINITION)
