@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,9 +67,11 @@ def file_stream(spark: SparkSession, folder: str, schema: T.StructType, glob: st
 
 
 def table_stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A Parquet table as a stream, be it one file or a folder of files.
+    """A Parquet table as a stream, be it one file, a folder of files or partition folders.
 
-    A plain path must be a folder to be streamed; a pattern that only the path itself
-    matches may be either.
+    A plain path must be a folder to be streamed, and only below a plain path are the names
+    of partition folders read; one file needs a pattern that only its own path matches.
     """
-    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
+    files = spark.read.schema(schema).parquet(path).inputFiles()
+    one = len(files) == 1 and unquote(files[0]).endswith("/" + path.rsplit("/", 1)[-1])
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]" if one else path)

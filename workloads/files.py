@@ -647,7 +647,8 @@ def _finished(spark: SparkSession, stream: DataFrame, label: str) -> DataFrame:
 @case("stream_scan", o.scan(f"SELECT {o.HIT_COLUMNS} FROM findings"))
 def stream_scan(spark, sf_dir):
     """The corpus arriving as a stream gives the findings of the batch scan."""
-    corpus = spark.sql(fx.SKILL_CORPUS.replace("FROM documents", "FROM {arriving}"), arriving=_stream(spark, sf_dir, "documents"))
+    texts = fx.null_free(fx.SKILL_CORPUS).replace("FROM documents", "FROM {arriving}")
+    corpus = spark.sql(texts, arriving=_stream(spark, sf_dir, "documents"))
     rows = corpus.select(
         "seq",
         "version",
