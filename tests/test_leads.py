@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wardline.functions import catalog as C
 from wardline.functions import definitions as D
 from wardline.functions import rules as R
+from wardline.functions import text as X
 from wardline.operators import frameworks
 from workloads import all_cases
 from workloads import fixtures as fx
@@ -83,3 +84,18 @@ def test_leads_hide_no_format(spark, monkeypatch):
 
 def test_content_patterns_have_leads():
     assert [m for m in C.FRAMEWORK_MARKERS if m[2] and not m[2].startswith("(?i)") and len(m) < 4] == []
+
+
+def test_capabilities_read_imports_and_variables_once(spark):
+    content = F.col("content")
+    rows = spark.createDataFrame([("import os, httpx\nimport shutil\nfrom subprocess import run\nk = os.getenv('API_KEY')",), (None,)], "content string")
+    python = frameworks.python_capabilities(content, X.python_imports(content), X.env_in_python(content))
+    script = frameworks.js_capabilities(F.concat(content, F.lit("fs.x; process.env.MY_TOKEN")), X.env_in_js(F.lit("process.env.MY_TOKEN")))
+    df = rows.select(python.alias("python"), script.alias("script"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count(r"^[^\s.;]*") == 1 and plan.count(C.ENV_JS_BRACKET) == 1
+    got = df.collect()
+    assert got[0].python == sorted(
+        ["credentials:read", "env:read", "filesystem:read", "filesystem:write", "network:read", "network:write", "system:execute"]
+    )
+    assert got[0].script == ["credentials:read", "env:read", "filesystem:read", "filesystem:write"] and got[1].python == []

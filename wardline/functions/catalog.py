@@ -78,10 +78,10 @@ SHELL_RULES = (
 
 CODE_RULES = (
     Rule(
-        r"\beval\s*\(", HIGH, "privilege_escalation", "Dynamic code evaluation: eval() can run arbitrary code"
+        r"\beval\s*\(", HIGH, "privilege_escalation", "Dynamic code evaluation: eval() can run arbitrary code", leads=("eval",)
     ),
     Rule(
-        r"\bexec\s*\(", HIGH, "privilege_escalation", "Dynamic code evaluation: exec() can run arbitrary code"
+        r"\bexec\s*\(", HIGH, "privilege_escalation", "Dynamic code evaluation: exec() can run arbitrary code", leads=("exec",)
     ),
 )
 

@@ -43,11 +43,19 @@ def none() -> Column:
 
 
 def rule_hits(text: Column, rules: Sequence[C.Rule]) -> Column:
-    """One finding per rule that matches, with the whole text as evidence."""
+    """One finding per rule that matches, with the whole text as evidence.
+
+    A rule that heeds case runs only where one of its leads is in the text.
+    """
+
+    def test(rule: C.Rule) -> Column:
+        found = matches(text, rule.pattern, rule.flags)
+        return any_of(text, rule.leads) & found if rule.leads and "(?" not in rule.pattern and not rule.flags else found
+
     return collect(
         *[
             F.when(
-                matches(text, r.pattern, r.flags),
+                test(r),
                 finding(r.severity, r.message, r.attack_class, "pattern_match", text),
             )
             for r in rules

@@ -164,23 +164,28 @@ def definitions(files: DataFrame) -> DataFrame:
 # --- capabilities of code -----------------------------------------------------
 
 
-def _sorted(*items: Column) -> Column:
-    return X.sorted_set(F.array_compact(F.array(*items)))
+def _granted(*grants: tuple[Column, tuple[str, ...]]) -> Column:
+    """Capabilities of the conditions that hold; each condition is tested once."""
+    return X.sorted_set(F.flatten(F.array_compact(F.array(*[F.when(holds, X.literals(caps)) for holds, caps in grants]))))
+
+
+_NETWORK, _FILES = ("network:read", "network:write"), ("filesystem:read", "filesystem:write")
 
 
 def python_capabilities(content: Column, imports: Column, env: Column) -> Column:
     """Capabilities shown by a Python server's imports, file opens and secret names."""
-    network = F.arrays_overlap(imports, X.literals(C.PY_NETWORK_MODULES))
-    files = F.arrays_overlap(imports, X.literals(C.PY_FILE_MODULES)) | X.matches(content, r"(?<![\w.])open\s*\(")
-    return _sorted(
-        F.when(network, "network:read"),
-        F.when(network, "network:write"),
-        F.when(F.array_contains(imports, "subprocess"), "system:execute"),
-        F.when(files, "filesystem:read"),
-        F.when(files, "filesystem:write"),
-        F.when(F.array_contains(imports, "os"), "env:read"),
-        F.when(F.exists(env, X.is_sensitive_code_env), "credentials:read"),
-    )
+    opens = X.any_of(content, ("open",)) & X.matches(content, r"(?<![\w.])open\s*\(")
+
+    def shown(names: Column) -> Column:
+        return _granted(
+            (F.arrays_overlap(names, X.literals(C.PY_NETWORK_MODULES)), _NETWORK),
+            (F.array_contains(names, "subprocess"), ("system:execute",)),
+            (F.arrays_overlap(names, X.literals(C.PY_FILE_MODULES)) | opens, _FILES),
+            (F.array_contains(names, "os"), ("env:read",)),
+            (F.exists(env, X.is_sensitive_code_env), ("credentials:read",)),
+        )
+
+    return X.once(imports, shown)
 
 
 def js_capabilities(content: Column, env: Column, markers: Sequence[str] = C.JS_EXEC_MARKERS_SERVER) -> Column:
@@ -188,15 +193,17 @@ def js_capabilities(content: Column, env: Column, markers: Sequence[str] = C.JS_
     network = X.matches(content, C.JS_NETWORK)
     files = X.matches(content, C.JS_FILES)
     runs = reduce(lambda a, b: a | b, [X.matches(content, m) for m in markers])
-    return _sorted(
-        F.when(F.size(env) > 0, "env:read"),
-        F.when(network, "network:read"),
-        F.when(network, "network:write"),
-        F.when(files, "filesystem:read"),
-        F.when(files, "filesystem:write"),
-        F.when(runs, "system:execute"),
-        F.when(F.exists(env, X.is_sensitive_code_env), "credentials:read"),
-    )
+
+    def shown(names: Column) -> Column:
+        return _granted(
+            (F.size(names) > 0, ("env:read",)),
+            (network, _NETWORK),
+            (files, _FILES),
+            (runs, ("system:execute",)),
+            (F.exists(names, X.is_sensitive_code_env), ("credentials:read",)),
+        )
+
+    return X.once(env, shown)
 
 
 def code_capabilities(files: DataFrame) -> DataFrame:
