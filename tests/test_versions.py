@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import itertools
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from wardline.functions import semver
 from wardline.operators import resolution, versions
+from workloads import all_cases, compare
 
 VERSIONS = ["0.0.1", "0.2.0", "0.2.9", "0.3.0", "1.0.0", "1.2.3", "1.10.0", "2.0.0", "10.0.1", "1.0.0-rc.1", "1.0.0+b"]
 BROKEN = ["1.0", "01.0.0", "v1.0.0", "", "latest", "1.0.0.0"]
@@ -84,6 +86,38 @@ def test_general_diagnosis_only_without_reasons(spark):
     assert [r.reason for r in resolution.diagnose(broken, nodes, none, none).collect()] == ["missing"]
 
 
+def test_diagnosis_lists_every_version_newest_first(spark):
+    own = ["1.9.0", "bad", "0.9.0", "1.10.0", "1.10.0-rc", "1.9.0", "99999999999999999999.0.0", "10.0.0"]
+    nodes = spark.createDataFrame([(i, "a", v) for i, v in enumerate(own)] + [(50, "b", "1.0.0"), (51, "only", "bad")], "seq int, name string, version string")
+    none = spark.createDataFrame([], "name string, version string, dep_name string, raw_constraint string")
+    wants = [("a", "==9.9.9"), ("b", "^1.0.0"), ("only", "*"), ("c", "*"), ("a", "~3.0.0")]
+    asked = spark.createDataFrame(wants, "name string, raw_constraint string")
+    newest_first = "99999999999999999999.0.0, 10.0.0, 1.10.0, 1.10.0-rc, 1.9.0, 0.9.0, bad"
+    assert sorted(r.message for r in resolution.diagnose(asked, nodes, none, none).collect()) == [
+        f"No version of 'a' satisfies constraint '==9.9.9' (available: {newest_first})",
+        f"No version of 'a' satisfies constraint '~3.0.0' (available: {newest_first})",
+        "No version of 'only' satisfies constraint '*' (available: bad)",
+        "Skill 'c' is not available in the graph",
+    ]
+
+
+@pytest.mark.parametrize("keys", [0, 400])
+def test_diagnosis_agrees_with_its_sql_on_repeated_and_null_parts(spark, tmp_path, keys):
+    """Packages of several versions of a major and unreadable ones; no part leaves the general line alone."""
+    rows = [(i % 97 if i % 31 else None, i * 7 % 50 if i % 17 else None) for i in range(keys)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    case = all_cases()["resolve_diagnose"]
+    df = case.run(spark, str(tmp_path))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = compare.expected(db, case.sql)
+    assert compare.difference(compare.ordered(df.columns, [tuple(r) for r in df.collect()]), want) == ""
+    if keys:
+        assert any("'pkg-' " in m and "(available: .., .0., " in m for m, _ in want[1])
+    else:
+        assert [reason for _, reason in want[1]] == ["general"]
+
+
 def test_valid_assignment_breaks_nothing(spark):
     nodes = spark.createDataFrame([(1, "a", "1.0.0"), (2, "b", "2.0.0"), (3, "b", "1.0.0")], "seq int, name string, version string")
     edges = spark.createDataFrame([("a", "1.0.0", "b", "<2.0.0")], "name string, version string, dep_name string, raw_constraint string")
